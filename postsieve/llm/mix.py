@@ -17,21 +17,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Blocks of a source; the unit of drawing.
-BLOCKS = 256
+from .common import saved
+
+#: Records are hashed into this many buckets of their source; a block is one bucket, or several where a source has few records.
+BUCKETS = 256
+#: A block has about this many records at least, so that the last one can be filled closely.
+BLOCK_RECORDS = 64
 #: Sources are few, as each has a weight of its own: their table is read by the driver and must not have more rows than this.
 MOST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """(source, source_size, weight, target) from (source, source_size). Sources by code point, null last, take the weights in turn.
+    """``sizes`` (source, source_size) with weight and target. Sources by code point, null last, take the weights in turn.
 
     Sharing again until none is above its limit ends at target = min(limit, level * weight) with one common level. Sources
     reach their limit in the order of limit / weight, so the level follows from running sums in that order.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.select("source", "source_size", turn.alias("weight")).withColumn("limit_", F.lit(float(most)) * F.col("source_size"))
+    rows = sizes.withColumn("weight", turn).withColumn("limit_", F.lit(float(most)) * F.col("source_size"))
     everything = Window.partitionBy()
     order = Window.orderBy((F.col("limit_") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     rows = rows.withColumns(
@@ -46,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     rows = rows.withColumn("level_", F.when(level * F.col("weight") <= F.col("limit_"), level))
     rows = rows.withColumn("level_", F.max("level_").over(everything))
     target = F.when(F.col("level_").isNull(), F.col("limit_")).otherwise(F.least("limit_", F.col("level_") * F.col("weight")))
-    return rows.select("source", "source_size", "weight", target.alias("target"))
+    return rows.select(*sizes.columns, "weight", target.alias("target"))
 
 
 def split_quotas(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
@@ -83,7 +87,7 @@ def mix_sources(
     """One row for each record of ``docs``: its ``columns`` (all by default), mix_size, source_size, source_target,
     mix_copies (how often the mix reads it) and mix_shards (array<int>: the output shard of each reading).
 
-    ``mixed_rows`` turns this into the rows of the mix. The readings of a source come within one record of its target; none exceeds ``most``.
+    ``mixed_rows`` turns this into the rows of the mix. The readings of a source come near its target (by less than half of the smallest record left unread in its last block); none exceeds ``most``.
     The order within a source depends on the seed, id and size only, so reruns agree; rows with
     equal id and size are interchangeable. A null size counts as 0; null is a source of its own. A source
     without words is read once and has the target 0. An empty table gives no rows.
@@ -92,23 +96,26 @@ def mix_sources(
     columns = list(columns if columns is not None else docs.columns)
     coin = lambda *more: F.xxhash64(F.lit(seed), *more)
     rows = docs.select(*columns, F.col(source_col).alias("source_"), F.coalesce(size, F.lit(0)).cast("long").alias("mix_size"), F.col(id_col).alias("id_"))
-    rows = rows.withColumn("block_", F.pmod(coin(F.lit("block"), "id_", "mix_size"), F.lit(BLOCKS)).cast("int"))
-    blocks = rows.groupBy("source_", "block_").agg(F.sum("mix_size").alias("words_"))
-    sizes = blocks.groupBy(F.col("source_").alias("source")).agg(F.sum("words_").alias("source_size"))
+    rows = rows.withColumn("bucket_", F.pmod(coin(F.lit("block"), "id_", "mix_size"), F.lit(BUCKETS)).cast("int"))
+    buckets = saved(rows.groupBy("source_", "bucket_").agg(F.sum("mix_size").alias("words_"), F.count("*").alias("records_")), "mix-buckets")
+    sizes = buckets.groupBy(F.col("source_").alias("source")).agg(F.sum("words_").alias("source_size"), F.sum("records_").alias("records"))
     targets = source_targets(sizes, weights, share, most)
     listed = targets.orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
     if len(listed) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    schema = "number_ int, source_ string, source_size long, source_target double, full_ int, rest_ double"
+    schema = "number_ int, source_ string, blocks_ int, source_size long, source_target double, full_ int, rest_ double"
     plan = []
     for n, r in enumerate(listed):
         full = int(r.target // r.source_size) if r.source_size else 1
-        plan.append((n, r.source, r.source_size, float(r.target), full, float(r.target - full * r.source_size)))
+        blocks = min(BUCKETS, 1 << max(0, (r.records // BLOCK_RECORDS).bit_length() - 1))
+        plan.append((n, r.source, blocks, r.source_size, float(r.target), full, float(r.target - full * r.source_size)))
     sources = F.broadcast(spark.createDataFrame(plan, schema))
 
     # blocks of each source in their seeded order, with the words before them: whole, last or no part of the reading that is not full
     by_source = Window.partitionBy("source_").orderBy(coin(F.lit("order"), "block_"), "block_")
-    ranked = blocks.join(sources, blocks["source_"].eqNullSafe(sources["source_"])).select("number_", "full_", "rest_", "source_size", "source_target", "block_", "words_", blocks["source_"])
+    ranked = buckets.join(sources, buckets["source_"].eqNullSafe(sources["source_"])).drop(sources["source_"])
+    ranked = ranked.groupBy("source_", "number_", "full_", "rest_", "source_size", "source_target", F.pmod("bucket_", "blocks_").alias("block_"))
+    ranked = ranked.agg(F.sum("words_").alias("words_"), F.collect_set("bucket_").alias("buckets_"))
     ranked = ranked.withColumn("before_", F.coalesce(F.sum("words_").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     more = F.when(F.col("before_") + F.col("words_") <= F.col("rest_"), 2).when(F.col("before_") < F.col("rest_"), 1).otherwise(0)
     ranked = ranked.withColumn("more_", more).withColumn("left_", F.col("rest_") - F.col("before_"))
@@ -123,16 +130,26 @@ def mix_sources(
     ranked = ranked.join(dealt, "number_")
     shard = lambda unit: F.size(F.filter("ends_", lambda e: e <= unit)).cast("int")
     wanted = F.when(F.col("units_") > 0, F.transform(F.sequence(F.lit(0), F.col("units_") - 1), lambda i: shard(F.col("unit_") + i))).otherwise(F.array().cast("array<int>"))
-    ranked = ranked.withColumn("shards_", wanted).select("source_", "block_", "full_", "more_", "left_", "source_size", "source_target", "shards_")
-
-    # at most BLOCKS rows for each source: broadcast where that is few, else an ordinary join
-    ranked = F.broadcast(ranked) if len(plan) * BLOCKS <= 200_000 else ranked
-    joined = rows.alias("r").join(ranked.alias("b"), F.col("r.source_").eqNullSafe(F.col("b.source_")) & (F.col("r.block_") == F.col("b.block_")))
-    joined = joined.select(*[F.col(f"r.`{c}`") for c in columns], F.col("r.source_"), "mix_size", "id_", F.col("r.block_"), "full_", "more_", "left_", "source_size", "source_target", "shards_")
-    # only the last block of each source is read in part: its records in a seeded order, as far as half of the next one fits
-    part = joined.where("more_ = 1")
-    inner = Window.partitionBy("source_", "block_").orderBy(coin(F.lit("row"), "id_", "mix_size"), "id_", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("taken_", F.coalesce(F.sum("mix_size").over(inner), F.lit(0)) + F.col("mix_size") / 2 <= F.col("left_"))
+    ranked = ranked.withColumn("shards_", wanted).select("source_", F.explode("buckets_").alias("bucket_"), "block_", "full_", "more_", "left_", "source_size", "source_target", "shards_")
+
+    # at most BUCKETS rows for each source: broadcast where that is few, else an ordinary join
+    ranked = F.broadcast(ranked) if len(plan) * BUCKETS <= 200_000 else ranked
+    joined = rows.alias("r").join(ranked.alias("b"), F.col("r.source_").eqNullSafe(F.col("b.source_")) & (F.col("r.bucket_") == F.col("b.bucket_")))
+    joined = joined.select(*[F.col(f"r.`{c}`") for c in columns], F.col("r.source_"), "mix_size", "id_", "block_", "full_", "more_", "left_", "source_size", "source_target", "shards_")
+    # only the last block of each source is read in part: its records in a seeded order while they fit, then, largest first, the
+    # ones that still fit, and at last one more if that comes nearer
+    block = Window.partitionBy("source_", "block_")
+    before = lambda *order: F.coalesce(F.sum("fit_").over(block.orderBy(*order, "id_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeded = coin(F.lit("row"), "id_", "mix_size")
+    part = joined.where("more_ = 1").withColumn("fit_", F.col("mix_size"))
+    part = part.withColumn("taken_", before(seeded) + F.col("mix_size") <= F.col("left_"))
+    gap = F.col("left_") - F.sum(F.when(F.col("taken_"), F.col("mix_size")).otherwise(0)).over(block)
+    for _ in range(3):
+        part = part.withColumn("gap_", gap).withColumn("fit_", F.when(~F.col("taken_") & (F.col("mix_size") <= F.col("gap_")), F.col("mix_size")).otherwise(0))
+        part = part.withColumn("taken_", F.col("taken_") | ((F.col("fit_") > 0) & (before(F.col("fit_").desc(), seeded) + F.col("fit_") <= F.col("gap_"))))
+    part = part.withColumn("gap_", gap).withColumn("off_", F.when(~F.col("taken_"), F.abs(F.col("mix_size") - F.col("gap_"))))
+    nearest = (F.row_number().over(block.orderBy(F.col("off_").asc_nulls_last(), seeded, "id_")) == 1) & F.coalesce(F.col("off_") < F.col("gap_"), F.lit(False))
+    part = part.withColumn("taken_", F.col("taken_") | nearest).drop("fit_", "gap_", "off_")
     whole = joined.where("more_ <> 1").withColumn("taken_", F.col("more_") == 2)
     rows = whole.unionByName(part).withColumn("mix_copies", F.col("full_") + F.col("taken_").cast("int"))
     return rows.select(*columns, "mix_size", "source_size", "source_target", "mix_copies", F.slice("shards_", F.lit(1), F.col("mix_copies")).alias("mix_shards"))
