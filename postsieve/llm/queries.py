@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mix, ngramjoin, quality, shards
+from . import chat, decontam, licenses, lmscore, mix, ngramjoin, pii, quality, shards, urlfilter
 from .common import table, word_count
 
 
@@ -35,12 +35,47 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Rules of the URL query, as text: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    # the listed URLs: those of the pages whose id is divisible by 50
+    judged = urlfilter.filter_urls(pages, rules, pages.where("page_id % 50 = 0").select("url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.pseudonymize(docs)
+    kinds = F.array_join(F.transform("pii", lambda x: x["kind"]), ",")
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), kinds.alias("kinds"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
     counts = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, "base_failed", "kept", "distance")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the tables have no paths: a document is a file in the folder of its source, language and a bucket of ids, and every
+    # document whose id is divisible by 50 is the license file of its bucket, or of one of the folders above
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.lit("b"), F.pmod("doc_id", F.lit(7))))
+    depth = F.pmod(F.floor(F.col("doc_id") / 50), F.lit(3)).cast("int")
+    place = F.when(F.col("doc_id") % 50 == 0, F.concat(F.array_join(F.slice(F.split(folder, "/"), F.lit(1), depth + 1), "/"), F.lit("/LICENSE"))).otherwise(F.concat(folder, F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", place.alias("path"))
+    return licenses.scan_licenses(files, ["doc_id"])
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -56,6 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_chat": op2_chat,
     "op3_decontamination": op3_decontamination,
+    "op4_url_filter": op4_url_filter,
+    "op5_pii": op5_pii,
+    "op6_lm_score": op6_lm_score,
+    "op8_licenses": op8_licenses,
     "op7_quality": op7_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_shards": op10_shards,
