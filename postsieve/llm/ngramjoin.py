@@ -237,6 +237,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = payload.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "low", "sh")
+    # dealt out by block pairs: else rows that a join above has dealt by cluster would stay so, and a cluster would be one task's work
+    dealt = dealt.repartition(parts, "cluster", "i", "j")
     found = saved(dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), _FOUND), "join-found")
 
     classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "join-classes")
