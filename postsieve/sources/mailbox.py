@@ -18,24 +18,25 @@ def read_mbox(spark: SparkSession, path: str, limit: int | None = None, unquote:
     cannot tell the last one and gives one to each message without. ``numbered`` adds message_num over all files; ``limit`` (0 or None: all) keeps the first ones and numbers them.
     """
     reader = (spark.readStream if stream else spark.read).option("lineSep", _BOUNDARY)
-    records = reader.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_id")
-    )
+    columns = [F.col("value"), F.col("_metadata.file_path").alias("file_path")]
+    if not stream:
+        columns += [F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_id")]
+    records = reader.text(path).select(*columns)
     if stream:
         ended = F.when(F.col("value").endswith("\n"), F.col("value")).otherwise(F.concat("value", F.lit("\n")))
     else:
         last = records.groupBy("file_path").agg(F.max(F.struct("block_start", "row_id")).alias("_last"))
-        records = records.join(last, "file_path")
+        records = records.join(last, "file_path")  # a row for each file
         at_end = (F.col("_last.block_start") == F.col("block_start")) & (F.col("_last.row_id") == F.col("row_id"))
         ended = F.when(at_end, F.col("value")).otherwise(F.concat("value", F.lit("\n")))
     records = records.withColumn("value", ended)
     # every record starts with what is left of its envelope line
     rest = F.when(F.contains("value", F.lit("\n")), F.substr("value", F.instr("value", "\n") + 1)).otherwise(F.lit(""))
     raw = F.regexp_replace(rest, r"(?m)^>(>*From )", "$1") if unquote else rest
-    rows = records.select(raw.alias("raw"), "file_path", "block_start", "row_id").where("raw <> ''")
-    if stream:
-        return rows.drop("row_id", "block_start")
-    return first_messages(number_messages(rows, [F.col("file_path"), F.col("block_start")]), limit) if limit else number_messages(rows, [F.col("file_path"), F.col("block_start")]) if numbered else rows
+    rows = records.withColumn("raw", raw).where("raw <> ''").drop("value", "_last")
+    if limit or numbered:
+        rows = number_messages(rows, [F.col("file_path"), F.col("block_start")])
+    return first_messages(rows, limit)
 
 
 def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbered: bool = False, stream: bool = False) -> DataFrame:
