@@ -8,6 +8,8 @@ format of what it stands for, and equal values have equal pseudonyms in all docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +17,26 @@ ROUNDS = 8
 
 # What the kinds of personal data look like. Tried in this order at each place of a text.
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
     "phone": r"\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){2,3}(?![0-9])",
 }
-PATTERN = "|".join(KINDS.values())
+#: All kinds; the characters that a match can start with come first, so most places of a text are passed over at once.
+PATTERN = r"(?=[0-9A-Za-z+])(?:" + "|".join(KINDS.values()) + ")"
+#: What a text must hold to have a match at all.
+HINT = r"[0-9@]"
 _KIND_TESTS = {k: f"^(?:{p})$" for k, p in KINDS.items()}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of an array of decimal digits whose last one is the check digit."""
     n = F.size(digits)
@@ -47,13 +57,15 @@ def feistel(digits: Column, radix: Column, key: str, label: Column) -> Column:
         left_turn = F.pmod(turn, F.lit(2)) == 0
         still = F.when(left_turn, F.slice(state, half + 1, n - half)).otherwise(F.slice(state, F.lit(1), half))
         seed = F.concat_ws(",", F.lit(key), label, turn.cast("string"), F.array_join(F.transform(still, lambda d: d.cast("string")), "."))
+        # a hash has room for five digits of twelve hex digits each
+        hashes = F.transform(F.sequence(F.lit(0), F.floor(n / 5).cast("int")), lambda j: F.sha2(F.concat_ws(":", seed, j.cast("string")), 256))
 
-        def shifted(d: Column, i: Column) -> Column:
-            hashed = F.conv(F.substring(F.sha2(F.concat_ws(":", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long")
+        def shifted(d: Column, i: Column, hashed: Column) -> Column:
+            part = F.substr(F.get(hashed, F.floor(i / 5).cast("int")), F.pmod(i, F.lit(5)) * 12 + 1, F.lit(12))
             own = F.when(left_turn, i < half).otherwise(i >= half)
-            return F.when(own, F.pmod(d + hashed, F.get(radix, i)).cast("int")).otherwise(d)
+            return F.when(own, F.pmod(d + F.conv(part, 16, 10).cast("long"), F.get(radix, i)).cast("int")).otherwise(d)
 
-        return F.transform(state, shifted)
+        return bound(hashes, lambda hashed: F.transform(state, lambda d, i: shifted(d, i, hashed)))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), digits, move)
 
@@ -71,18 +83,17 @@ def _permuted_characters(value: Column, key: str, label: str, letters: int = 26)
     # the characters again: each known one is the next of the moved ones
     at = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: which(x) < 3)) - 1)
     spell = lambda c, d: F.substr(F.element_at(F.array(*[F.lit(s) for s in sets]), which(c) + 1), d + 1, F.lit(1))
-    return F.array_join(F.zip_with(chars, at, lambda c, a: F.when(which(c) < 3, spell(c, F.get(moved, a))).otherwise(c)), "")
+    return bound(moved, lambda m: F.array_join(F.zip_with(chars, at, lambda c, a: F.when(which(c) < 3, spell(c, F.get(m, a))).otherwise(c)), ""))
 
 
 def _pseudo_card(value: Column, key: str) -> Column:
     digits = F.transform(F.split(F.regexp_replace(value, "[ -]", ""), ""), lambda c: c.cast("int"))
-    body = feistel(F.slice(digits, 1, 15), F.array_repeat(F.lit(10), 15), key, F.lit("card"))
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.array(F.lit(0)))), F.lit(10)), F.lit(10))
-    made = F.array_join(F.transform(F.concat(body, F.array(check)), lambda d: d.cast("string")), "")
-    blank = F.regexp_extract(value, "^[0-9]{4}([ -]?)", 1)
-    grouped = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substr(made, 4 * i + 1, F.lit(4))), "\x00")
-    mixed = F.regexp_replace(value, "[0-9]{4}", "\x00")
-    return F.when(F.length(mixed) == 4, made).otherwise(F.regexp_replace(grouped, "\x00", blank))
+    moved = feistel(F.slice(digits, 1, 15), F.array_repeat(F.lit(10), 15), key, F.lit("card"))
+    check = lambda body: F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.array(F.lit(0)))), F.lit(10)), F.lit(10))
+    made = bound(moved, lambda body: F.array_join(F.transform(F.concat(body, F.array(check(body))), lambda d: d.cast("string")), ""))
+    # blanks and hyphens stay where they are: between groups of four
+    marks = F.split(value, "[0-9]{4}")
+    return bound(made, lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.get(marks, i), F.substr(m, 4 * i + 1, F.lit(4)))), ""))
 
 
 def _pseudo_ip(value: Column, key: str) -> Column:
@@ -98,7 +109,7 @@ def _pseudo_date(value: Column, key: str) -> Column:
     once = lambda pair: feistel(pair, F.array_repeat(F.lit(192), 2), key, F.concat(F.lit("date"), F.substring(value, 1, 2)))
     pair = F.array(F.floor(number / 192).cast("int"), F.pmod(number, F.lit(192)).cast("int"))
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(12)), once(pair), lambda p, _: F.when(p[0] * 192 + p[1] < days, p).otherwise(once(p)))
-    return F.date_format(F.date_add(first, walked[0] * 192 + walked[1]), "yyyy-MM-dd")
+    return bound(walked, lambda p: F.date_format(F.date_add(first, p[0] * 192 + p[1]), "yyyy-MM-dd"))
 
 
 def kind_of(value: Column) -> Column:
@@ -141,7 +152,7 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = "postsieve"
     """
     text = F.col(f"`{text_col}`")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "pii")]
-    cut = docs.select(*kept, text.alias("text_"), F.when(text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")).alias("found_"))
+    cut = docs.select(*kept, text.alias("text_"), F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")).alias("found_"))
     cut = cut.withColumn("found_", F.coalesce("found_", F.array().cast("array<string>")))
     made = F.transform("found_", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     cut = cut.withColumn("found_", made).withColumn("made_", F.transform("found_", lambda x: pseudonym(x["value"], x["kind"], key)))
