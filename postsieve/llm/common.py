@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,5 +48,15 @@ def hinted(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def packed(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The columns (all by default) as one struct named row_, so none of their names can clash with those that an operator makes."""
+    return F.struct(*[F.col(f"`{c}`") for c in (columns if columns is not None else df.columns)]).alias("row_")
+
+
+def unpacked(columns: Sequence[str], made: Sequence[str] = ()) -> list[Column]:
+    """The columns of row_ again, without those that are made anew."""
+    return [F.col(f"row_.`{c}`").alias(c) for c in columns if c not in made]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

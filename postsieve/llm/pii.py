@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 ROUNDS = 8
 
 # What the kinds of personal data look like. Tried in this order at each place of a text.
@@ -151,8 +153,9 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = "postsieve"
     A column pii is replaced; others stay. Repeated rows get equal results. The key must be kept secret to keep pseudonyms so.
     """
     text = F.col(f"`{text_col}`")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "pii")]
-    cut = docs.select(*kept, text.alias("text_"), F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")).alias("found_"))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
+    rest = [c for c in docs.columns if c not in (text_col, "pii")]
+    cut = docs.select(packed(docs, rest), text.alias("text_"), found.alias("found_")) if rest else docs.select(text.alias("text_"), found.alias("found_"))
     cut = cut.withColumn("found_", F.coalesce("found_", F.array().cast("array<string>")))
     made = F.transform("found_", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     cut = cut.withColumn("found_", made).withColumn("made_", F.transform("found_", lambda x: pseudonym(x["value"], x["kind"], key)))
@@ -161,4 +164,4 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = "postsieve"
     finds = F.filter(F.zip_with("found_", "made_", lambda x, m: F.struct(x["kind"].alias("kind"), F.length(x["value"]).alias("length"), m.alias("pseudonym"))), lambda x: x["kind"].isNotNull())
     names = [c for c in docs.columns if c != "pii"]
     out = cut.withColumn("new_", F.when(F.size("made_") > 0, joined).otherwise(F.col("text_")))
-    return out.select(*[F.col("new_").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], finds.alias("pii"))
+    return out.select(*[F.col("new_").alias(c) if c == text_col else F.col(f"row_.`{c}`").alias(c) for c in names], finds.alias("pii"))

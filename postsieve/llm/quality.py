@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.functions import pandas_udf
 
-from .common import hinted, saved
+from .common import hinted, packed, saved, unpacked
 
 #: Symbols of the base rules, and the least words of a text.
 SYMBOLS = "#*$%&|<>"
@@ -173,7 +173,7 @@ def fit(vectors: DataFrame) -> tuple[DataFrame, int]:
     return saved(named, "quality-estimates"), n_groups
 
 
-def judged(docs: DataFrame, params: DataFrame, n_groups: int, language: str = "lang", source: str = "source") -> DataFrame:
+def judged(docs: DataFrame, params: DataFrame, n_groups: int, language: str, source: str) -> DataFrame:
     """``docs``, which has a column stats, with base_failed, distance (null without an estimate) and kept."""
     rows = docs.withColumn("grp", group_key(F.col(language), F.col(source))).join(hinted(params, n_groups, BROADCAST_GROUPS), "grp", "left")
     rows = rows.withColumn("base_failed", base_failed(F.col("stats"))).withColumn("distance", squared_distance(F.col("stats.x"), F.col("center"), F.col("inverse")))
@@ -184,17 +184,19 @@ def quality_rules(docs: DataFrame, columns: list[str], language: str = "lang", s
     """For each row of ``docs``: ``columns``, stats (struct), base_failed, distance and kept. The text is read once; statistics are then kept as a table.
 
     A null or empty text has zero counts and fails the base rules. Null languages and sources are groups of their own.
-    Repeated rows get equal verdicts. Estimates use the texts that pass the base rules, all of them. An empty table gives no rows.
+    Repeated rows get equal verdicts. Columns with the new names are replaced. Estimates use the texts that pass the base rules, all of them. An empty table gives no rows.
     """
-    rows = docs.select(*columns, F.col(language).alias("language_"), F.col(source).alias("source_"), stats(text).alias("stats"))
+    rows = docs.select(packed(docs, columns), F.col(language).alias("language_"), F.col(source).alias("source_"), stats(text).alias("stats"))
     rows = saved(rows, "quality-stats")
     passed = rows.where(~base_failed(F.col("stats")))
     params, n_groups = fit(passed.select(F.col("language_").alias("language"), F.col("source_").alias("source"), "stats.x"))
-    return judged(rows, params, n_groups, "language_", "source_").drop("language_", "source_")
+    made = ("stats", "base_failed", "distance", "kept")
+    return judged(rows, params, n_groups, "language_", "source_").select(*unpacked(columns, made), *made)
 
 
 def keep_good(docs: DataFrame, language: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns. The text is read twice: for the estimates and for the verdicts."""
     vectors = docs.select(F.col(language).alias("language"), F.col(source).alias("source"), stats(text).alias("stats")).where(~base_failed(F.col("stats")))
     params, n_groups = fit(vectors.select("language", "source", "stats.x"))
-    return judged(docs.withColumn("stats", stats(text)), params, n_groups, language, source).where("kept").select(*docs.columns)
+    rows = docs.select(packed(docs), F.col(language).alias("language_"), F.col(source).alias("source_"), stats(text).alias("stats"))
+    return judged(rows, params, n_groups, "language_", "source_").where("kept").select(*unpacked(docs.columns))

@@ -28,7 +28,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql("select -1L conv_id, 0L turn, 'user' role, '' text union all select -1L, 1L, 'assistant', ''").withColumn("text", F.lit(said))
-    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+    return chat.read_back(chat.format_turns(turns.unionByName(extra))).drop("n_tokens")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +100,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
 }
 
-ORACLES: dict[str, str] = {}
+_TURNS_SQL = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (SELECT *, regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') AS r, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(17 + length(r) + length(t)) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id"""
+
+#: The shingles of a table's texts: runs of five words, or all words of a shorter text.
+_SHINGLES_SQL = r"""SELECT DISTINCT {id} AS id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s FROM (
+  SELECT {id}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {id}, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM {table}) WHERE len(w) > 0)"""
+
+_CONTAINED_SQL = f"""WITH d AS ({_SHINGLES_SQL.format(id="doc_id", text="text", table="documents")}),
+b AS ({_SHINGLES_SQL.format(id="item_id", text="text", table="benchmark")}), n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared, any_value(n.n) AS item_shingles, count(*) / any_value(n.n) AS containment
+FROM b JOIN d USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9"""
+
+_JOIN_SQL = f"""WITH RECURSIVE d AS MATERIALIZED ({_SHINGLES_SQL.format(id="doc_id", text="text", table="documents")}), n AS MATERIALIZED (SELECT id, count(*) AS n FROM d GROUP BY id),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS n_both FROM d a JOIN d b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE n_both >= 0.8 * (x.n + y.n - n_both) - 1e-9),
+reach AS (SELECT a AS id, a AS to_id FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.to_id = l.a),
+classes AS (SELECT id, min(to_id) AS class_id FROM reach GROUP BY id), degrees AS (SELECT a AS id, count(*) AS k FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(k, 0) AS n_links, coalesce(n, 0) AS n_shingles
+FROM documents LEFT JOIN classes c ON c.id = doc_id LEFT JOIN degrees g ON g.id = doc_id LEFT JOIN n ON n.id = doc_id"""
+
+_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_URL_SQL = rf"""WITH cut AS (SELECT page_id, url, contains(url, '://') AS has,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '{urlfilter.TRACKING}'))) AS args FROM pages),
+forms AS (SELECT *, CASE WHEN has THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS form FROM cut),
+rules(verdict, h, p) AS (VALUES {_RULES_SQL}),
+fits AS (SELECT DISTINCT url, first_value(h || p) OVER o AS rule, first_value(verdict) OVER o AS verdict FROM (SELECT DISTINCT url, host, path FROM forms) f
+  JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) WINDOW o AS (PARTITION BY url ORDER BY length(h || p) DESC, h || p)),
+listed AS (SELECT DISTINCT form FROM forms WHERE page_id % 50 = 0 AND form IS NOT NULL)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN form IN (SELECT form FROM listed) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(form IN (SELECT form FROM listed), false) AS listed
+FROM forms LEFT JOIN fits USING (url)"""
+
+#: The others have hashes, draws or estimates that SQL cannot express; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op2_chat": _TURNS_SQL, "op3_decontamination": _CONTAINED_SQL, "op4_url_filter": _URL_SQL, "op9_ngram_join": _JOIN_SQL}

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import packed, unpacked
+
 #: Three hex digits of a hash.
 SLOTS = 4096
 
@@ -83,13 +85,15 @@ def shard_by_slots(records: DataFrame, keys: list[str], size: Column, shards: in
     interchangeable and get places in any order. Null keys and sizes are allowed (a null size counts as 0). Columns
     named like the new ones are replaced. An empty table gives no rows.
     """
-    sized = records.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "vslot": slot_of(*[F.col(k) for k in keys])})
+    made = ("size", "vslot", "shard", "slot")
+    own = {f"k{i}_": F.col(f"`{k}`") for i, k in enumerate(keys)}
+    sized = records.select(packed(records), *[c.alias(k) for k, c in own.items()], F.coalesce(size, F.lit(0)).cast("long").alias("size"), slot_of(*own.values()).alias("vslot"))
     if mapping is None:
         mapping = slot_map(slot_bytes(sized), shards)
     counts = sized.groupBy("vslot").agg(F.count("*").alias("rows_"))
     mapping = mapping.select(F.col("slot").alias("vslot"), "shard").join(counts, "vslot")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     mapping = mapping.select("vslot", "shard", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("first_"))
-    within = Window.partitionBy("vslot").orderBy(*[F.col(k) for k in keys])
-    placed = sized.drop("shard", "slot").withColumn("place_", F.row_number().over(within) - 1)
-    return placed.join(F.broadcast(mapping), "vslot").withColumn("slot", (F.col("first_") + F.col("place_")).cast("long")).drop("first_", "place_")
+    within = Window.partitionBy("vslot").orderBy(*own)
+    placed = sized.withColumn("place_", F.row_number().over(within) - 1).join(F.broadcast(mapping), "vslot")
+    return placed.select(*unpacked(records.columns, made), "size", "vslot", "shard", (F.col("first_") + F.col("place_")).cast("long").alias("slot"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 #: Entries for each block of 256 bits (one false positive in several thousand), and the blocks that may be broadcast.
 KEYS_PER_BLOCK, MOST_BLOCKS = 12, 1 << 17
@@ -79,7 +79,6 @@ def filter_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     rule and is not listed. Each distinct URL is judged once; a URL that very many rows share is met in a join that
     Spark may split. Columns of ``urls`` with the new names are replaced; others stay. Empty tables are allowed.
     """
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "listed")]
     distinct = saved(urls.select(F.col(url_col).alias("url_")).where("url_ is not null").distinct(), "url-distinct")
     known = distinct.select("url_", host_of(F.col("url_")).alias("host_"), path_of(F.col("url_")).alias("path_"), canonical(F.col("url_")).alias("form_"))
 
@@ -107,12 +106,13 @@ def filter_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
         F.min(F.when(F.col("rule_").isNotNull(), F.struct((-F.length("rule_")).alias("less"), "rule_", "rule_verdict_"))).alias("best"),
         F.max(F.col("rule_").isNull()).alias("listed_"),
     )
-    out = urls.select(*[F.col(f"`{c}`") for c in kept]).join(hits, F.col(f"`{url_col}`") == F.col("url_"), "left")
+    rows = urls.select(packed(urls), F.col(f"`{url_col}`").alias("own_url_"))
+    out = rows.join(hits, F.col("own_url_") == F.col("url_"), "left")
     otherwise = F.when(F.coalesce("listed_", F.lit(False)), F.lit(listed_verdict)).otherwise(F.lit(default))
     return out.select(
-        *[F.col(f"`{c}`") for c in kept],
-        host_of(F.col(url_col)).alias("host"),
-        path_of(F.col(url_col)).alias("path"),
+        *unpacked(urls.columns, ("host", "path", "rule", "verdict", "listed")),
+        host_of(F.col("own_url_")).alias("host"),
+        path_of(F.col("own_url_")).alias("path"),
         F.col("best.rule_").alias("rule"),
         F.coalesce("best.rule_verdict_", otherwise).alias("verdict"),
         F.coalesce("listed_", F.lit(False)).alias("listed"),
