@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 #: Records are hashed into this many buckets of their source; a block is one bucket, or several where a source has few records.
 BUCKETS = 256
@@ -90,12 +90,12 @@ def mix_sources(
     ``mixed_rows`` turns this into the rows of the mix. The readings of a source come near its target (by less than half of the smallest record left unread in its last block); none exceeds ``most``.
     The order within a source depends on the seed, id and size only, so reruns agree; rows with
     equal id and size are interchangeable. A null size counts as 0; null is a source of its own. A source
-    without words is read once and has the target 0. An empty table gives no rows.
+    without words is read once and has the target 0. Columns with the new names are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     columns = list(columns if columns is not None else docs.columns)
     coin = lambda *more: F.xxhash64(F.lit(seed), *more)
-    rows = docs.select(*columns, F.col(source_col).alias("source_"), F.coalesce(size, F.lit(0)).cast("long").alias("mix_size"), F.col(id_col).alias("id_"))
+    rows = docs.select(packed(docs, columns), F.col(source_col).alias("source_"), F.coalesce(size, F.lit(0)).cast("long").alias("mix_size"), F.col(id_col).alias("id_"))
     rows = rows.withColumn("bucket_", F.pmod(coin(F.lit("block"), "id_", "mix_size"), F.lit(BUCKETS)).cast("int"))
     buckets = saved(rows.groupBy("source_", "bucket_").agg(F.sum("mix_size").alias("words_"), F.count("*").alias("records_")), "mix-buckets")
     sizes = buckets.groupBy(F.col("source_").alias("source")).agg(F.sum("words_").alias("source_size"), F.sum("records_").alias("records"))
@@ -135,14 +135,15 @@ def mix_sources(
     # at most BUCKETS rows for each source: broadcast where that is few, else an ordinary join
     ranked = F.broadcast(ranked) if len(plan) * BUCKETS <= 200_000 else ranked
     joined = rows.alias("r").join(ranked.alias("b"), F.col("r.source_").eqNullSafe(F.col("b.source_")) & (F.col("r.bucket_") == F.col("b.bucket_")))
-    joined = joined.select(*[F.col(f"r.`{c}`") for c in columns], F.col("r.source_"), "mix_size", "id_", "block_", "full_", "more_", "left_", "source_size", "source_target", "shards_")
-    # only the last block of each source is read in part: its records in a seeded order while they fit, then, largest first, the
-    # ones that still fit, and at last one more if that comes nearer
+    joined = joined.select("row_", F.col("r.source_"), "mix_size", "id_", "block_", "full_", "more_", "left_", "source_size", "source_target", "shards_")
+    # only the last block of each source is read in part: the larger half of its records in a seeded order while they fit, then,
+    # largest first, the ones that still fit, so small ones close the gap, and at last one more if that comes nearer
     block = Window.partitionBy("source_", "block_")
     before = lambda *order: F.coalesce(F.sum("fit_").over(block.orderBy(*order, "id_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seeded = coin(F.lit("row"), "id_", "mix_size")
-    part = joined.where("more_ = 1").withColumn("fit_", F.col("mix_size"))
-    part = part.withColumn("taken_", before(seeded) + F.col("mix_size") <= F.col("left_"))
+    large = F.percent_rank().over(block.orderBy(F.col("mix_size").desc())) < 0.5
+    part = joined.where("more_ = 1").withColumn("fit_", F.when(large, F.col("mix_size")).otherwise(0))
+    part = part.withColumn("taken_", (F.col("fit_") > 0) & (before(seeded) + F.col("fit_") <= F.col("left_")))
     gap = F.col("left_") - F.sum(F.when(F.col("taken_"), F.col("mix_size")).otherwise(0)).over(block)
     for _ in range(3):
         part = part.withColumn("gap_", gap).withColumn("fit_", F.when(~F.col("taken_") & (F.col("mix_size") <= F.col("gap_")), F.col("mix_size")).otherwise(0))
@@ -152,13 +153,14 @@ def mix_sources(
     part = part.withColumn("taken_", F.col("taken_") | nearest).drop("fit_", "gap_", "off_")
     whole = joined.where("more_ <> 1").withColumn("taken_", F.col("more_") == 2)
     rows = whole.unionByName(part).withColumn("mix_copies", F.col("full_") + F.col("taken_").cast("int"))
-    return rows.select(*columns, "mix_size", "source_size", "source_target", "mix_copies", F.slice("shards_", F.lit(1), F.col("mix_copies")).alias("mix_shards"))
+    kept = unpacked(columns, ("mix_size", "source_size", "source_target", "mix_copies", "mix_shards"))
+    return rows.select(*kept, "mix_size", "source_size", "source_target", "mix_copies", F.slice("shards_", F.lit(1), F.col("mix_copies")).alias("mix_shards"))
 
 
 def mixed_rows(mix: DataFrame, columns: Sequence[str], id_col: str = "doc_id", seed: int = 17) -> DataFrame:
-    """The rows of the mix: ``columns`` and mix_shard, once for each reading; dealt by shard and, for each shard, a piece of the
+    """The rows of the mix: ``columns`` (without a mix_shard) and mix_shard, once for each reading; dealt by shard and, for each shard, a piece of the
     seeded order, and shuffled within it. Records that the mix does not take have no row."""
-    out = mix.select(*columns, F.posexplode("mix_shards").alias("reading_", "mix_shard"))
-    order = F.xxhash64(F.lit(seed), F.lit("local"), "mix_shard", "reading_", id_col)
+    out = mix.select(packed(mix, columns), F.col(id_col).alias("id_"), F.posexplode("mix_shards").alias("reading_", "mix_shard"))
+    order = F.xxhash64(F.lit(seed), F.lit("local"), "mix_shard", "reading_", "id_")
     out = out.withColumn("order_", order).repartition("mix_shard", F.pmod("order_", F.lit(64)))
-    return out.sortWithinPartitions("mix_shard", "order_").drop("order_", "reading_")
+    return out.sortWithinPartitions("mix_shard", "order_").select(*unpacked(columns), "mix_shard")
