@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import saved
+from .common import hinted, packed, saved, unpacked
 
 # Short statements by which works are put under public licenses, by SPDX id.
 TEMPLATES = [
@@ -44,6 +44,8 @@ TEMPLATES = [
 ]
 THRESHOLD = 0.8
 WINDOW = 3
+#: Directories whose nearest licenses may be broadcast: some 200 bytes each.
+BROADCAST_DIRS = 50_000
 _TERM = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
 
 
@@ -143,7 +145,7 @@ def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path",
     are replaced. An empty table gives no rows.
     """
     scanner = Scanner(*document_frequencies(files, text_col))
-    found = files.select(*columns, F.col(path_col).alias("path"), _scanned(scanner, F.col(text_col)).alias("own_"))
+    found = files.select(packed(files, columns), F.col(path_col).alias("path"), _scanned(scanner, F.col(text_col)).alias("own_"))
     found = saved(found.select("*", F.col("own_.license").alias("license_"), F.when(F.col("own_.license").isNotNull(), F.col("own_.cosine")).alias("cosine_")).drop("own_"), "license-own")
     parts = F.split("path", "/")
     home = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
@@ -155,10 +157,12 @@ def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path",
     steps = F.split("home", "/")
     above = homes.select("home", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("dir")).distinct()
     nearest = above.join(dirs, "dir").groupBy("home").agg(F.max_by(F.struct("dir", "dir_license"), F.when(F.col("dir") == "", -1).otherwise(F.length("dir"))).alias("from_"))
-    out = found.join(nearest, home == F.col("home"), "left")
+    # as a table of its own it is either small enough to be broadcast or a plain side of a join, in which Spark may split a hot directory
+    nearest = saved(nearest, "license-nearest")
+    out = found.join(hinted(nearest, nearest.count(), BROADCAST_DIRS), home == F.col("home"), "left")
     own = F.col("license_").isNotNull()
     return out.select(
-        *[F.col(c) for c in columns],
+        *unpacked(columns, ("path", "license", "cosine", "origin", "license_dir")),
         "path",
         F.coalesce("license_", "from_.dir_license").alias("license"),
         F.col("cosine_").alias("cosine"),
