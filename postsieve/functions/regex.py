@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-_W = "[0-9A-Za-z_]"
+#: A word character, whatever case folding is on.
+_W = "(?-iu:[0-9A-Za-z_])"
 # What each escape becomes outside of a class, and inside of one.
 _OUTSIDE = {
     "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "b": f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))",
@@ -17,6 +18,12 @@ _OUTSIDE = {
 }
 _INSIDE = {"s": r"\t\n\f\r ", "S": r"\S\x0B", "v": r"\x0B", "a": r"\x07"} | {c: "\\" + c for c in "dDwWfnrt"}
 _POSIX = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "word": "w", "xdigit": "XDigit"}
+#: A part of a pattern that is one word character, for word boundaries next to it, and a quantifier that may leave it out.
+_WORD_ATOM = re.compile(r"\\[dw]|[0-9A-Za-z_]")
+#: The same where case is folded: k and s have equals that are no ASCII letters.
+_FOLDED_ATOM = re.compile(r"\\[dw]|[0-9A-JL-RT-Za-jl-rt-z_]")
+_FOLDING = re.compile(r"\(\?[a-zA-Z]*i")
+_OPTIONAL = re.compile(r"[*?]|\{0")
 _COUNT = re.compile(r"\{(\d+)(,(\d*))?\}")
 _MOST_REPEATS = 1000
 
@@ -79,10 +86,23 @@ def translate(p: str) -> str | None:
         return None
 
 
+def _boundary(p: str, i: int, after_word: bool, atom: re.Pattern) -> str:
+    """The translation of the word boundary at p[i]. Next to a part that is surely a word character, only the other side is looked at,
+    and first of all whether that part is there, which it is in few places of a text."""
+    if after_word:
+        return f"(?!{_W})"
+    m = atom.match(p, i + 2)
+    if m and not _OPTIONAL.match(p, m.end()):
+        return f"(?={m[0]})(?<!{_W})"
+    return _OUTSIDE["b"]
+
+
 def _translate(p: str) -> str:
     out: list[str] = []
     many, stack = False, []  # whether (?m) holds; its value outside of each open group
     i, repeatable, repeated = 0, False, False
+    atom = _FOLDED_ATOM if _FOLDING.search(p) else _WORD_ATOM
+    after_word = False  # whether what was read last is surely a word character
     while i < len(p):
         c = p[i]
         if c in "*+?" or c == "{" and _COUNT.match(p, i):
@@ -100,9 +120,15 @@ def _translate(p: str) -> str:
                 piece, i = piece + "?", i + 1
             out.append(piece)
             repeated = True
+            after_word = after_word and not _OPTIONAL.match(piece)
             continue
         repeatable, repeated = True, False
-        if c == "\\":
+        before, after_word = after_word, False
+        if p.startswith("\\b", i):
+            out.append(_boundary(p, i, before, atom))
+            i += 2
+        elif c == "\\":
+            after_word = p[i + 1 : i + 2] in ("d", "w")
             piece, i = _escape(p, i, False)
             out.append(piece)
         elif c == "[":
@@ -144,6 +170,7 @@ def _translate(p: str) -> str:
             repeatable = False
             i += 1
         else:
+            after_word = bool(atom.match(c))
             out.append({"$": r"(?=\n|\z)" if many else r"\z", "^": r"(?:\A|(?<=\n))" if many else r"\A", "{": r"\{", "}": r"\}", "]": r"\]"}.get(c, c))
             i += 1
     if stack:

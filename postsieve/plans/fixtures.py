@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.messages import from_columns
+from ..sources.tables import read_table
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -22,7 +23,7 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: message_num, sender, recipient, subject, body, spam_score, sender_domain, src_no."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     rows = docs.join(labels, "doc_id", "left")
     number, inside = F.col("doc_id").cast("string"), F.col("doc_id") % 10 == 0

@@ -119,10 +119,11 @@ def test_sender_domain(spark, sender, raw, address):
     ("pattern", "text", "hit"),
     [
         (r"company\.com$", "u@company.com\n", False), (r"(?m)com$", "u@company.com\nx", True), (r"\b\d{3}-\d{2}-\d{4}\b", "é123-45-6789", True), ("a.b", "a\u0085b", True),
-        ("a.b", "a\nb", False), ("(?s)a.b", "a\nb", True), (r"a\sb", "a\x0bb", False), (r"a[\s]b", "a\tb", True), ("(?i)k", "K", True), ("(", "(", False), ("a(?=b)", "ab", False),
+        ("a.b", "a\nb", False), ("(?s)a.b", "a\nb", True), (r"a\sb", "a\x0bb", False), (r"a[\s]b", "a\tb", True), ("(?i)k", "\u212a", True), ("(", "(", False), ("a(?=b)", "ab", False),
         (r"(a)\1", "aa", False), ("a++", "aa", False), ("a**", "aa", False), ("*a", "a", False), ("[[:digit:]]+x", "12x", True), ("[a[]", "[", True), ("[a&&b]", "&", True), ("x{,2}", "x{,2}", True),
         ("x{2}", "xx", True), ("x{1001}", "x", False), (r"(?P<n>a)b", "ab", True), (r"\Aab\z", "ab", True), ("a|", "zzz", True), (r"\x41", "A", True), (r"\101", "A", True), ("(?i:A)b", "ab", True), ("(?i:A)b", "aB", False),
-        ("(?m)^$", "a\n", True), (r"[^\S]", "a", False), (r"[\S]", "\x0b", True), (r"\B", "ab", True),
+        ("(?m)^$", "a\n", True), (r"[^\S]", "a", False), (r"[\S]", "\x0b", True), (r"\B", "ab", True), (r"(?i)\bk", "\u212a", False),
+        (r"(?i)\bof the\b", "kind OF THE x", True), (r"\bd+\b", "ad", False), (r"a\b\b", "a-", True), (r"a*\b", "-", False), (r"x?\by", "xy", False), (r"\w\b", "aé", True), (r"\b\d", "é1", True), (r"\b\d", "a1", False),
     ],
 )
 def test_patterns(spark, pattern, text, hit):
