@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import bounded_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The published split pattern of the byte-level vocabulary, and the control strings with their reserved ids above it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -79,6 +81,7 @@ def format_turns(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant"
     equal turn numbers are ordered by role and text, and repeated rows are kept. A null conv_id is a
     conversation of its own. Texts may be of any length. Other columns are not looked at.
     """
+    bounded_batches(turns.sparkSession)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("place", F.row_number().over(order))

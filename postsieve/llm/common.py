@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
+#: Rows of texts in a batch for Python.
+BATCH_ROWS = 500
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or a new local folder where that is unset."""
@@ -38,6 +41,14 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of BATCH_ROWS rows, unless the session asks for less. Spark's usual 10,000 rows of long texts
+    would be held several times over, in the executor's Arrow buffers and in each worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def word_count(text: Column) -> Column:
     """Number of words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import SHINGLE_WORDS, SIMILARITY
+from .common import SHINGLE_WORDS, SIMILARITY, bounded_batches
 from .words import mixed, shingles, texts_words, word_hashes
 
 PROBES = 32
@@ -106,6 +106,7 @@ class Matcher:
 
 def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text", k: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> Iterator[Matcher]:
     """The items in blocks of about BLOCK_BYTES, one after the other."""
+    bounded_batches(items.sparkSession)
     items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(size / BLOCK_BYTES))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import hinted, packed, saved, unpacked
+from .common import bounded_batches, hinted, packed, saved, unpacked
 
 # Short statements by which works are put under public licenses, by SPDX id.
 TEMPLATES = [
@@ -144,6 +144,7 @@ def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path",
     empty text has no statement; a null path has no directory. Repeated rows get equal results. Columns named like the new ones
     are replaced. An empty table gives no rows.
     """
+    bounded_batches(files.sparkSession)
     scanner = Scanner(*document_frequencies(files, text_col))
     found = files.select(packed(files, columns), F.col(path_col).alias("path"), _scanned(scanner, F.col(text_col)).alias("own_"))
     found = saved(found.select("*", F.col("own_.license").alias("license_"), F.when(F.col("own_.license").isNotNull(), F.col("own_.cosine")).alias("cosine_")).drop("own_"), "license-own")

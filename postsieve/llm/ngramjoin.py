@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, hinted, saved
+from .common import SHINGLE_WORDS, SIMILARITY, bounded_batches, hinted, saved
 from .components import components
 from .words import mixed, shingles, texts_words
 
@@ -220,6 +220,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that share an id but not a text are told apart by their texts. A null id takes part, but never names a
     class while another id does. Other columns of ``docs`` are not looked at. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = saved(rows.mapInArrow(_keyed(k), "id long, node binary, short long, n_shingles long, bands array<long>"), "join-keys")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

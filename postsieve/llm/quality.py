@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.functions import pandas_udf
 
-from .common import hinted, packed, saved, unpacked
+from .common import bounded_batches, hinted, packed, saved, unpacked
 
 #: Symbols of the base rules, and the least words of a text.
 SYMBOLS = "#*$%&|<>"
@@ -186,6 +186,7 @@ def quality_rules(docs: DataFrame, columns: list[str], language: str = "lang", s
     A null or empty text has zero counts and fails the base rules. Null languages and sources are groups of their own.
     Repeated rows get equal verdicts. Columns with the new names are replaced. Estimates use the texts that pass the base rules, all of them. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(packed(docs, columns), F.col(language).alias("language_"), F.col(source).alias("source_"), stats(text).alias("stats"))
     rows = saved(rows, "quality-stats")
     passed = rows.where(~base_failed(F.col("stats")))
@@ -196,6 +197,7 @@ def quality_rules(docs: DataFrame, columns: list[str], language: str = "lang", s
 
 def keep_good(docs: DataFrame, language: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns. The text is read twice: for the estimates and for the verdicts."""
+    bounded_batches(docs.sparkSession)
     vectors = docs.select(F.col(language).alias("language"), F.col(source).alias("source"), stats(text).alias("stats")).where(~base_failed(F.col("stats")))
     params, n_groups = fit(vectors.select("language", "source", "stats.x"))
     rows = docs.select(packed(docs), F.col(language).alias("language_"), F.col(source).alias("source_"), stats(text).alias("stats"))
