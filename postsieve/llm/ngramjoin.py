@@ -33,8 +33,10 @@ HASHES = BANDS * BAND_ROWS
 STEP = 16
 #: A pair is pruned when the posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-6
-#: Texts in a block of a large cluster; a task compares two blocks.
-BLOCK = 400
+#: Least and most texts in a block of a large cluster; a task compares two blocks. Small blocks deal a cluster out evenly, and in a
+#: very large cluster large ones keep down how often a text is sent, which is once for each block.
+BLOCK = (128, 1024)
+BLOCKS = 20
 #: Candidate ids that may be broadcast to the scan of the texts (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -234,7 +236,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.join(hinted(chosen, chosen.count(), BROADCAST_IDS), rows["id"].eqNullSafe(chosen["id"])).select("cluster", "node", "copies", "text")
     payload = saved(texts.mapInArrow(_payload(k), "cluster long, node binary, copies long, low binary, sh binary").dropDuplicates(["node"]), "join-payload")
 
-    blocks = payload.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks")).where("cluster is not null")
+    n = F.count("*")
+    block = F.least(F.greatest(F.ceil(n / BLOCKS), F.lit(BLOCK[0])), F.lit(BLOCK[1]))
+    blocks = payload.groupBy("cluster").agg(F.ceil(n / block).cast("int").alias("n_blocks"))
     dealt = payload.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "low", "sh")

@@ -130,7 +130,7 @@ def near_copies(n, seed=5, length=120, edits=2):
 
 
 def test_join_of_a_large_group_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "BLOCK", 16)
+    monkeypatch.setattr(ngramjoin, "BLOCK", (16, 16))
     texts = near_copies(70) + near_copies(9, seed=6) + ["alone " + str(i) + " b c d e f" for i in range(5)]
     sets = [shingle_set(t) for t in texts]
     links = {i: [j for j in range(len(sets)) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9] for i in range(len(sets))}
