@@ -32,7 +32,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("message_num"),
         F.concat(F.lit("u"), number, F.lit("@"), domain).alias("sender"),
         F.lit("inbox@company.com").alias("recipient"),
-        F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("subject"),
+        F.trim(F.substring_index("text", "\n", 1)).alias("subject"),
         F.col("text").alias("body"),
         F.when(F.col("toxic") == 1, 8.5).when(F.col("quality") == 0, 6.0).otherwise(0.0).alias("spam_score"),
         domain.alias("sender_domain"),
