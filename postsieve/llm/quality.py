@@ -72,10 +72,14 @@ def text_stats(text: str | None) -> tuple:
 
 
 @pandas_udf(_STATS)
-def stats(text: pd.Series) -> pd.DataFrame:
+def _stats(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_stats(t) for t in text], columns=_STATS.names)
 
 
+#: Marked so that Spark works it out once for each row, and not again for a filter on what it gives.
+stats = _stats.asNondeterministic()
+
+
 def base_failed(s: Column) -> Column:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
