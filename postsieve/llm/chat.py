@@ -76,8 +76,8 @@ def format_turns(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant"
     """One row for each turn of ``turns`` (conv_id, turn, role, text): conv_id, turn, place (1-based, in the conversation), ids,
     loss_mask and start, the position of its first token in the conversation (a prefix sum over the turns before).
 
-    A conversation is its rows in the order of place. Turns are encoded where they lie, so a long
-    conversation is spread over many tasks; nothing gathers it. Null text and role are empty; a null turn comes first;
+    A conversation is its rows in the order of place. The turns of one conversation are sorted by one task, which spills, and
+    are encoded one after the other; no task holds a conversation as a whole. Null text and role are empty; a null turn comes first;
     equal turn numbers are ordered by role and text, and repeated rows are kept. A null conv_id is a
     conversation of its own. Texts may be of any length. Other columns are not looked at.
     """
