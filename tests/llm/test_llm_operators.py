@@ -433,6 +433,29 @@ def test_scores_of_odd_rows(spark):
     assert lmscore.cross_entropy_difference(rows, targets.limit(0)).count() == 11
 
 
+def test_characters_beyond_the_first_hundreds_stay_apart(spark):
+    # about 2,000 ideographs, those of the target not among the most frequent ones: a capped vocabulary would make them one symbol
+    rare = ["".join(chr(0x5000 + (17 * i * n + n) % 1500) for i in range(400)) for n in range(1, 13)]
+    often = ["".join(chr(0x4E00 + (13 * i * n + n) % 500) for i in range(3000)) for n in range(1, 13)]
+    texts = [x for x in [*rare, *often] for _ in range(2)]
+    df = docs(spark, *enumerate(texts)).repartition(3)
+    got = lmscore.cross_entropy_difference(df, spark.createDataFrame([(n,) for n in range(0, 12, 2)], "doc_id long"))
+    rows = {r.doc_id: r for r in got.collect()}
+    assert all(rows[n].n_tokens == len(t) for n, t in enumerate(texts))
+    # the copies of target documents are known to the target, other texts of the same characters are not
+    assert max(rows[n].difference for n in range(12)) < min(rows[n].difference for n in range(12, 24)) - 1
+    assert max(rows[n].difference for n in range(24)) < min(rows[n].difference for n in range(24, 48)) - 1
+
+
+def test_blocks_do_not_change_scores(spark, monkeypatch):
+    frame = queries.table(spark, SF, "documents").select("doc_id", "text").limit(200)
+    targets = frame.where("doc_id % 3 = 0").select("doc_id")
+    whole = sorted(map(tuple, lmscore.cross_entropy_difference(frame, targets).collect()))
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(lmscore, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, lmscore.cross_entropy_difference(frame, targets).collect())) == whole
+
+
 # 7: quality rules
 
 
