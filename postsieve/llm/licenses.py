@@ -1,8 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above that has a license file.
 
-Every line of a whole text, and every run of up to WINDOW lines, is a candidate statement. Its TF-IDF vector is compared with those of
+Every line of a whole text, every run of up to WINDOW lines and every run of as many terms as a template has, across line ends, is a
+candidate statement. Its TF-IDF vector is compared with those of
 the templates, with document frequencies over all files. Only runs that hold a telling term are compared: terms are telling
 unless the other ones of some template could reach the threshold by themselves, so nothing that could match is passed over.
+Where no grant is stated, the title of a license text counts, if its terms follow each other.
 """
 
 from __future__ import annotations
@@ -42,6 +44,22 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal public domain"),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
+#: Titles of license texts, compared term by term: a cosine of so few terms would take one of them for the whole.
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("MIT", "MIT License"),
+    ("GPL-3.0", "GNU General Public License Version 3"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+]
+#: The template that grants nothing; a title that stands beside it counts more.
+RESERVED = "LicenseRef-all-rights-reserved"
 THRESHOLD = 0.8
 WINDOW = 3
 #: Directories whose nearest licenses may be broadcast: some 200 bytes each.
@@ -55,6 +73,7 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+_TITLES = [(name, f" {' '.join(terms(text))} ") for name, text in TITLES]
 
 
 def document_frequencies(files: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
@@ -80,7 +99,7 @@ class Scanner:
         self.threshold = threshold
         self.idf = {t: log((n_files + 1) / (frequency.get(t, 0) + 1)) + 1 for t in VOCABULARY}
         self.unknown = log(n_files + 1) + 1
-        self.names, self.vectors = [], []
+        self.names, self.vectors, self.lengths = [], [], [len(terms(text)) for _, text in TEMPLATES]
         for name, text in TEMPLATES:
             v = {t: c * self.idf[t] for t, c in Counter(terms(text)).items()}
             norm = sqrt(sum(x * x for x in v.values()))
@@ -124,13 +143,59 @@ class Scanner:
                 best = s
         return (self.names[best[1]], best[0]) if best[0] >= self.threshold else (None, None)
 
+    def near(self, found: list[str], n: int) -> Iterator[int]:
+        """First places of the runs of terms, of the length of template ``n``, that reach the threshold with it; those with a telling term of it are tried."""
+        v, size = self.vectors[n], min(self.lengths[n], len(found))
+        weight = lambda t: self.idf.get(t, self.unknown)
+        done = -1
+        counts, dot, norm = Counter(), 0.0, 0.0
+        for i in (i for i, t in enumerate(found) if t in v and t in self.telling):
+            for a in range(max(0, i - size + 1, done + 1), min(i, len(found) - size) + 1):
+                if a == done + 1 and counts:
+                    moves = ((found[a - 1], -1), (found[a + size - 1], 1))
+                else:
+                    counts, dot, norm = Counter(), 0.0, 0.0
+                    moves = ((t, 1) for t in found[a : a + size])
+                for t, step in moves:
+                    w = weight(t)
+                    norm += w * w * (1 + 2 * step * counts[t])
+                    dot += step * w * v.get(t, 0.0)
+                    counts[t] += step
+                done = a
+                if dot >= (self.threshold - 1e-6) * sqrt(max(norm, 0.0)):
+                    yield a
+
+    def statement(self, text: str | None) -> tuple[str | None, float | None]:
+        """(license, cosine) of the best run of lines or of terms, else of a title (cosine 1), or nothing where there is none."""
+        license, cosine = self.scan(text)
+        found = terms(text or "")
+        present = set(found)
+        if not self.telling.isdisjoint(present) and cosine != 1.0:
+            best = (cosine, self.names.index(license)) if license else (self.threshold, len(self.names))
+            for n, v in enumerate(self.vectors):
+                # no run has a higher cosine than the template's share of the terms that the text has at all
+                if sum(x * x for t, x in v.items() if t in present) < self.threshold**2 - 1e-6:
+                    continue
+                for a in self.near(found, n):
+                    s = self.score(found[a : a + self.lengths[n]])
+                    if s[0] > best[0] or s[0] == best[0] and s[1] < best[1]:
+                        best = s
+            if best[1] < len(self.names):
+                cosine, license = best[0], self.names[best[1]]
+        if license in (None, RESERVED) and not present.isdisjoint(("license", "creative", "cc0")):
+            joined = f" {' '.join(found)} "
+            for name, title in _TITLES:
+                if title in joined:
+                    return name, 1.0
+        return license, cosine
+
 
 def _scanned(scanner: Scanner, text: Column) -> Column:
     kind = T.StructType([T.StructField("license", T.StringType()), T.StructField("cosine", T.DoubleType())])
 
     @pandas_udf(kind)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        found = [scanner.scan(t) for t in texts]
+        found = [scanner.statement(t) for t in texts]
         return pd.DataFrame({"license": [f[0] for f in found], "cosine": np.array([f[1] for f in found], float)})
 
     return scan(text)

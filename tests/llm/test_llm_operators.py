@@ -559,6 +559,38 @@ def test_nothing_that_could_match_is_passed_over():
         assert (found or 0) == (best if best >= licenses.THRESHOLD else 0)
 
 
+def test_statements_inside_of_lines_and_over_many_lines():
+    scanner = licenses.Scanner(1000, dict.fromkeys(["the", "of", "is", "this", "by", "to"], 900))
+    find = scanner.statement
+    permission = licenses.TEMPLATES[4][1] + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies'
+    assert find("Copyright (c) 2020 Acme Corp. All rights reserved.") == ("LicenseRef-all-rights-reserved", 1.0)
+    assert find(permission) == ("MIT", 1.0) and find("MIT License") == ("MIT", 1.0)
+    assert find("The code is released under the MIT License, see the file LICENSE for details.") == ("MIT", 1.0)
+    assert find("Copyright 2020 X. All rights reserved. MIT License")[0] == "MIT"
+    narrow = "\n".join(f" * {w}" for w in ("x y z " + licenses.TEMPLATES[7][1] + ", or any later one").split())
+    assert scanner.scan(narrow) == (None, None) and find(narrow) == ("GPL-3.0", 1.0)
+    assert find("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Everyone is permitted to copy")[0] == "GPL-3.0"
+    assert find("License license\nLicense\nmit mit Rights") == find(None) == find("") == find("the is of this by to") == (None, None)
+
+
+def test_no_run_of_terms_is_passed_over():
+    """Sliding over the places near telling terms finds what trying all runs finds."""
+    rng = random.Random(5)
+    scanner = licenses.Scanner(5000, {t: 1 + i % 10 for i, t in enumerate(licenses.VOCABULARY)} | dict.fromkeys(["the", "of", "is", "this", "by", "to", "in", "and"], 4500))
+    tried = 0
+    for _ in range(60):
+        text = " ".join(rng.choice([*licenses.VOCABULARY, "zz"]) if rng.random() < 0.8 else rng.choice(licenses.TEMPLATES)[1] for _ in range(12))
+        found = licenses.terms(text)
+        best = 0.0
+        for n, size in enumerate(scanner.lengths):
+            for a in range(max(1, len(found) - size + 1)):
+                weights = {t: c * scanner.idf.get(t, scanner.unknown) for t, c in Counter(found[a : a + size]).items()}
+                best = max(best, sum(w * scanner.vectors[n].get(t, 0) for t, w in weights.items()) / math.sqrt(sum(w * w for w in weights.values())))
+        tried += best >= licenses.THRESHOLD
+        assert best < licenses.THRESHOLD or scanner.statement(text)[1] >= best - 1e-6
+    assert tried > 20
+
+
 def test_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
