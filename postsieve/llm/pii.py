@@ -20,7 +20,7 @@ ROUNDS = 8
 # What the kinds of personal data look like. Tried in this order at each place of a text.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
@@ -60,7 +60,9 @@ def feistel(digits: Column, radix: Column, key: str, label: Column) -> Column:
         still = F.when(left_turn, F.slice(state, half + 1, n - half)).otherwise(F.slice(state, F.lit(1), half))
         seed = F.concat_ws(",", F.lit(key), label, turn.cast("string"), F.array_join(F.transform(still, lambda d: d.cast("string")), "."))
         # a hash has room for five digits of twelve hex digits each
-        hashes = F.transform(F.sequence(F.lit(0), F.floor(n / 5).cast("int")), lambda j: F.sha2(F.concat_ws(":", seed, j.cast("string")), 256))
+        # a long seed goes in as its own hash, so the time stays linear
+        short = F.when(n > 128, F.sha2(seed, 256)).otherwise(seed)
+        hashes = bound(short, lambda s: F.transform(F.sequence(F.lit(0), F.floor(n / 5).cast("int")), lambda j: F.sha2(F.concat_ws(":", s, j.cast("string")), 256)))
 
         def shifted(d: Column, i: Column, hashed: Column) -> Column:
             part = F.substr(F.get(hashed, F.floor(i / 5).cast("int")), F.pmod(i, F.lit(5)) * 12 + 1, F.lit(12))
@@ -74,18 +76,20 @@ def feistel(digits: Column, radix: Column, key: str, label: Column) -> Column:
 
 def _permuted_characters(value: Column, key: str, label: str, letters: int = 26) -> Column:
     """Digits, small letters and capitals permuted within their class, letters among the first ``letters``; other characters stay where they are."""
-    chars = F.split(value, "")
     sets = ["0123456789", LETTERS, LETTERS.upper()]
     which = lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
-    known = F.filter(chars, lambda c: which(c) < 3)
-    digits = F.transform(known, lambda c: F.when(which(c) == 0, F.ascii(c) - 48).when(which(c) == 1, F.ascii(c) - 97).otherwise(F.ascii(c) - 65))
-    radix = F.transform(known, lambda c: F.when(which(c) == 0, 10).otherwise(letters))
-    shape = F.array_join(F.transform(chars, lambda c: F.when(which(c) < 3, which(c).cast("string")).otherwise(c)), "")
-    moved = feistel(digits, radix, key, F.concat(F.lit(label), shape))
-    # the characters again: each known one is the next of the moved ones
-    at = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: which(x) < 3)) - 1)
     spell = lambda c, d: F.substr(F.element_at(F.array(*[F.lit(s) for s in sets]), which(c) + 1), d + 1, F.lit(1))
-    return bound(moved, lambda m: F.array_join(F.zip_with(chars, at, lambda c, a: F.when(which(c) < 3, spell(c, F.get(m, a))).otherwise(c)), ""))
+
+    def permuted(chars: Column, known: Column) -> Column:
+        digits = F.transform(known, lambda c: F.when(which(c) == 0, F.ascii(c) - 48).when(which(c) == 1, F.ascii(c) - 97).otherwise(F.ascii(c) - 65))
+        radix = F.transform(known, lambda c: F.when(which(c) == 0, 10).otherwise(letters))
+        shape = F.array_join(F.transform(chars, lambda c: F.when(which(c) < 3, which(c).cast("string")).otherwise(c)), "")
+        moved = bound(digits, lambda d: bound(radix, lambda r: bound(F.concat(F.lit(label), shape), lambda s: feistel(d, r, key, s))))
+        # the characters again: each known one is the next of the moved ones
+        at = F.transform(chars, lambda c, i: F.when(F.size(known) == F.size(chars), i).otherwise(F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: which(x) < 3)) - 1))
+        return bound(moved, lambda m: F.array_join(F.zip_with(chars, at, lambda c, a: F.when(which(c) < 3, spell(c, F.get(m, a))).otherwise(c)), ""))
+
+    return bound(F.split(value, ""), lambda chars: bound(F.filter(chars, lambda c: which(c) < 3), lambda known: permuted(chars, known)))
 
 
 def _pseudo_card(value: Column, key: str) -> Column:

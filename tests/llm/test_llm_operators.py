@@ -361,6 +361,17 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(df.limit(0)).count() == 0
 
 
+def test_secrets_of_any_case_and_length(spark):
+    tokens = ["9233A8EC" * 4, "0123456789abcdef" * 8, "AbCdEf01" * 5, "c0ffee" * 200]
+    df = docs(spark, (1, f'TOKEN = "{tokens[0]}" {tokens[1]}, {tokens[2]}'), (2, tokens[3]), (3, "g" + tokens[0]), (4, tokens[0][:31]), (5, tokens[0]), (6, "A" * 100_000 + "g"))
+    rows = {r.doc_id: r for r in pii.pseudonymize(df).collect()}
+    made = [p.pseudonym for n in (1, 2) for p in rows[n].pii]
+    case = lambda t: re.sub("[a-f]", "a", re.sub("[A-F]", "A", re.sub("[0-9]", "0", t)))
+    assert [p.kind for n in (1, 2) for p in rows[n].pii] == ["secret"] * 4 and [case(m) for m in made] == [case(t) for t in tokens]
+    assert not any(t in rows[n].text for t in tokens for n in (1, 2, 5)) and rows[5].text == made[0]
+    assert not rows[3].pii and not rows[4].pii and not rows[6].pii
+
+
 def test_dates_are_permuted_within_their_century(spark):
     days = spark.range(0, 36525, 7).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     made = [r[0] for r in days.select(pii.pseudonym(F.col("d"), F.lit("date"), "k")).collect()]
