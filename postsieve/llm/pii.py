@@ -24,8 +24,12 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
-    "phone": r"\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){2,3}(?![0-9])",
 }
+# A group of a telephone number is not the start of another find, and its third one ends where no decimals follow.
+_GROUP = rf"(?![ -]?(?:{KINDS['ip']}|{KINDS['date']}|{KINDS['card']}(?![ -][0-9]{{4}})))[ -]?[0-9]{{2,4}}"
+KINDS["phone"] = rf"\+[0-9]{{1,3}} ?\(?[0-9]{{2,4}}\)?(?:{_GROUP}){{2}}(?:{_GROUP}(?![0-9]|\.[0-9]))?(?![0-9])"
+# The country code of a telephone number: set off by a blank or parenthesis, else by the length that calling codes have.
+_COUNTRY = r"^\+(?:[0-9]{1,3}(?: |(?=\())|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: All kinds; the characters that a match can start with come first, so most places of a text are passed over at once.
 PATTERN = r"(?=[0-9A-Za-z+])(?:" + "|".join(KINDS.values()) + ")"
 #: What a text must hold to have a match at all.
@@ -74,8 +78,10 @@ def feistel(digits: Column, radix: Column, key: str, label: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), digits, move)
 
 
-def _permuted_characters(value: Column, key: str, label: str, letters: int = 26) -> Column:
-    """Digits, small letters and capitals permuted within their class, letters among the first ``letters``; other characters stay where they are."""
+def _permuted_characters(value: Column, key: str, label: str, letters: int = 26, spaced: bool = True) -> Column:
+    """Digits, small letters and capitals permuted within their class, letters among the first ``letters``; other characters stay where they are.
+
+    Not ``spaced``: the other characters do not bear on what stands for the known ones."""
     sets = ["0123456789", LETTERS, LETTERS.upper()]
     which = lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
     spell = lambda c, d: F.substr(F.element_at(F.array(*[F.lit(s) for s in sets]), which(c) + 1), d + 1, F.lit(1))
@@ -83,7 +89,7 @@ def _permuted_characters(value: Column, key: str, label: str, letters: int = 26)
     def permuted(chars: Column, known: Column) -> Column:
         digits = F.transform(known, lambda c: F.when(which(c) == 0, F.ascii(c) - 48).when(which(c) == 1, F.ascii(c) - 97).otherwise(F.ascii(c) - 65))
         radix = F.transform(known, lambda c: F.when(which(c) == 0, 10).otherwise(letters))
-        shape = F.array_join(F.transform(chars, lambda c: F.when(which(c) < 3, which(c).cast("string")).otherwise(c)), "")
+        shape = F.array_join(F.transform(chars, lambda c: F.when(which(c) < 3, which(c).cast("string")).otherwise(c)), "") if spaced else F.lit("")
         moved = bound(digits, lambda d: bound(radix, lambda r: bound(F.concat(F.lit(label), shape), lambda s: feistel(d, r, key, s))))
         # the characters again: each known one is the next of the moved ones
         at = F.transform(chars, lambda c, i: F.when(F.size(known) == F.size(chars), i).otherwise(F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: which(x) < 3)) - 1))
@@ -135,8 +141,8 @@ def kind_of(value: Column) -> Column:
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """What stands for ``value``; ``value`` itself where the kind is null."""
     at = F.instr(value, "@").cast("int")
-    prefix = F.regexp_extract(value, r"^\+[0-9]{1,3} ?", 0)  # of a telephone number: its country code stays
-    phone = F.concat(prefix, _permuted_characters(F.substr(value, F.length(prefix) + 1), key, "phone"))
+    prefix = F.regexp_extract(value, _COUNTRY, 0)  # of a telephone number: its country code stays
+    phone = F.concat(prefix, _permuted_characters(F.substr(value, F.length(prefix) + 1), key, "phone", spaced=False))
     email = F.concat(_permuted_characters(F.substr(value, F.lit(1), at - 1), key, "email"), F.substr(value, at))
     return (
         F.when(kind == "email", email)

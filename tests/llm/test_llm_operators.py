@@ -372,6 +372,18 @@ def test_secrets_of_any_case_and_length(spark):
     assert not rows[3].pii and not rows[4].pii and not rows[6].pii
 
 
+def test_phones_end_before_other_numbers_and_link(spark):
+    phone = "+1 (826) 555-4081"
+    texts = [phone, f"{phone} 190.137.223.204", f"{phone} 4111 1111 1111 1111", f"{phone} 2024-02-29", f"{phone} 190.5", "+1 826 555 4081", "+18265554081", "+44 20 7946 0958"]
+    rows = {r.doc_id: r for r in pii.pseudonymize(docs(spark, *enumerate(texts))).collect()}
+    kinds = [[p.kind for p in rows[n].pii] for n in range(len(texts))]
+    assert kinds == [["phone"], ["phone", "ip"], ["phone", "card"], ["phone", "date"], ["phone"], ["phone"], ["phone"], ["phone"]]
+    made = rows[0].pii[0].pseudonym
+    assert made != phone and all(rows[n].pii[0].pseudonym == made for n in range(5)) and "137.223.204" not in rows[1].text and rows[4].text.endswith(" 190.5")
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert digits(rows[5].text) == digits(rows[6].text) == digits(made)
+
+
 def test_dates_are_permuted_within_their_century(spark):
     days = spark.range(0, 36525, 7).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     made = [r[0] for r in days.select(pii.pseudonym(F.col("d"), F.lit("date"), "k")).collect()]
