@@ -19,7 +19,7 @@ ROUNDS = 8
 
 # What the kinds of personal data look like. Tried in this order at each place of a text.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
@@ -31,7 +31,7 @@ KINDS["phone"] = rf"\+[0-9]{{1,3}} ?\(?[0-9]{{2,4}}\)?(?:{_GROUP}){{2}}(?:{_GROU
 # The country code of a telephone number: set off by a blank or parenthesis, else by the length that calling codes have.
 _COUNTRY = r"^\+(?:[0-9]{1,3}(?: |(?=\())|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: All kinds; the characters that a match can start with come first, so most places of a text are passed over at once.
-PATTERN = r"(?=[0-9A-Za-z+])(?:" + "|".join(KINDS.values()) + ")"
+PATTERN = r"(?=[0-9A-Za-z._%+-])(?:" + "|".join(KINDS.values()) + ")"
 #: What a text must hold to have a match at all.
 HINT = r"[0-9@]"
 _KIND_TESTS = {k: f"^(?:{p})$" for k, p in KINDS.items()}

@@ -384,6 +384,13 @@ def test_phones_end_before_other_numbers_and_link(spark):
     assert digits(rows[5].text) == digits(rows[6].text) == digits(made)
 
 
+def test_addresses_after_marks(spark):
+    texts = ["_john@x.com_", "-john@x.com", "...john@x.com", "%+john@x.com", "see +john.doe@x.com.", "._%+-" * 20_000]
+    rows = {r.doc_id: r for r in pii.pseudonymize(docs(spark, *enumerate(texts))).collect()}
+    assert all([p.kind for p in rows[n].pii] == ["email"] and "john" not in rows[n].text and "@x.com" in rows[n].text for n in range(5))
+    assert rows[0].text[0] == rows[0].text[-1] == "_" and rows[2].text.startswith("...") and rows[5].text == texts[5]
+
+
 def test_dates_are_permuted_within_their_century(spark):
     days = spark.range(0, 36525, 7).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     made = [r[0] for r in days.select(pii.pseudonym(F.col("d"), F.lit("date"), "k")).collect()]
