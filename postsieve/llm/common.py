@@ -16,8 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
-#: Rows of texts in a batch for Python.
-BATCH_ROWS = 500
+#: Rows of texts in a batch for Python, and their bytes (a single row may have more).
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,11 +42,12 @@ def saved(df: DataFrame, what: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python workers in batches of BATCH_ROWS rows, unless the session asks for less. Spark's usual 10,000 rows of long texts
-    would be held several times over, in the executor's Arrow buffers and in each worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Hand texts to Python workers in batches of BATCH_ROWS rows and BATCH_BYTES bytes, unless the session asks for less. Spark's usual 10,000 rows
+    of long texts would be held several times over, in the executor's Arrow buffers and in each worker. The setting stays for the session."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(str(spark.conf.get(name)).removesuffix("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def word_count(text: Column) -> Column:

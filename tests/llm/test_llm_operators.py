@@ -117,6 +117,32 @@ def test_join_of_odd_rows(spark):
     assert ngramjoin.ngram_jaccard_join(odd_rows(spark).limit(0)).count() == 0
 
 
+def test_rows_with_one_id_or_none_are_not_multiplied(spark):
+    """Each candidate meets the text of its own row only, however many rows share its id."""
+    texts = near_copies(30) + [f"alone{i} b c d e f g" for i in range(270)]
+    rows = ngramjoin._rows(docs(spark, *[(None, t) for t in texts]), "doc_id", "text")
+    nodes = rows.select(F.col("text").cast("binary").alias("node"), "id", "crc")
+    met = ngramjoin._fetched(rows, nodes)
+    assert met.count() == met.select("node", "text").distinct().count() == len(set(texts))
+    joined = ngramjoin.ngram_jaccard_join(docs(spark, *[(7, t) for t in texts]))
+    assert joined.count() == 300 and {r.class_id for r in joined.select("class_id").distinct().collect()} == {7}
+
+
+def test_one_of_each_class_loses_no_text(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (3, "D"), (None, "E"), (None, "E"), (None, "A"), (9, "E"), (5, ""), (5, ""), (6, None)]
+    frame = docs(spark, *[(i, text(c) if c else c, "en", "s") for i, c in rows])
+    for width in (0, ngramjoin.BROADCAST_IDS):
+        ngramjoin_ids, ngramjoin.BROADCAST_IDS = ngramjoin.BROADCAST_IDS, width
+        try:
+            got = Counter((r.doc_id, r.text) for r in ngramjoin.one_of_each_class(clashing(frame)).collect())
+        finally:
+            ngramjoin.BROADCAST_IDS = ngramjoin_ids
+        assert got == Counter({(1, text("A")): 1, (2, text("B")): 1, (3, text("C")): 1, (3, text("D")): 1, (9, text("E")): 1, (5, ""): 2, (6, None): 1})
+    assert ngramjoin.one_of_each_class(frame).columns == frame.columns
+    assert ngramjoin.one_of_each_class(frame.limit(0)).count() == 0
+
+
 def near_copies(n, seed=5, length=120, edits=2):
     rng = random.Random(seed)
     base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
@@ -130,7 +156,7 @@ def near_copies(n, seed=5, length=120, edits=2):
 
 
 def test_join_of_a_large_group_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "BLOCK", (16, 16))
+    monkeypatch.setattr(ngramjoin, "BLOCK_TEXTS", 16)
     texts = near_copies(70) + near_copies(9, seed=6) + ["alone " + str(i) + " b c d e f" for i in range(5)]
     sets = [shingle_set(t) for t in texts]
     links = {i: [j for j in range(len(sets)) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9] for i in range(len(sets))}

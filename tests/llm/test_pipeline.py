@@ -75,5 +75,21 @@ def test_odd_rows(spark):
             frame = saved(stage(spark, frame, SF), "odd")
             assert frame.columns == COLUMNS, name
         assert frame.count() == want
-        for _, stage in P.STAGES[3:]:
-            frame = saved(stage(spark, frame, SF), "odd")
+        mixed = saved(P.STAGES[3][1](spark, frame, SF), "odd")
+        # a source of one document has the target of at most twice its words
+        copies = Counter(r.text for r in mixed.collect())
+        assert set(copies) <= {r.text for r in frame.collect()} and all(1 <= n <= 2 for n in copies.values()) and bool(copies) == bool(want)
+        last = P.STAGES[4][1](spark, mixed, SF)
+        assert {"size", "shard", "slot"} <= set(last.columns)
+        placed = last.toPandas()
+        assert len(placed) == mixed.count() and placed["size"].sum() == sum(n * (len(t) + 1) for t, n in copies.items())
+        assert all(sorted(p.slot) == list(range(len(p))) for _, p in placed.groupby("shard"))
+
+
+def test_texts_that_share_an_id(spark):
+    """No unique text is lost over an id that a copy has too."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("A")), (2, text("A")), (2, text("B")), (3, text("C")), (3, text("D"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = P.STAGES[1][1](spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [rows[0], *rows[2:]]
