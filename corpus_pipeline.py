@@ -20,13 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id, once where its row is repeated.
 
-    Documents with a null id cannot be named by the join and stay.
+    A document is known by its id and its text, so different texts that share an id, or have none, are told apart.
     """
-    classes = ngramjoin.ngram_jaccard_join(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(ngramjoin.hinted(gone, gone.count(), ngramjoin.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat a document that stays: few are left, as copies under other ids have gone
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return ngramjoin.one_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
