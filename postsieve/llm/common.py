@@ -20,13 +20,16 @@ SIMILARITY = 0.8
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a new local folder where that is unset."""
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names. Where that is unset, as in tests, a new local folder
+    is set for the session; on a cluster it has to be set, as executors do not share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return f"{root}/postsieve/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -35,10 +38,9 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     This cuts the lineage: executors that are lost later cannot make Spark compute ``df`` again, and
     the table can be read several times at the price of one.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/postsieve/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

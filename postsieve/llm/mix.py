@@ -6,23 +6,26 @@ target is met by whole readings of all blocks, then by whole blocks in a seeded
 Splitting tree: the exact numbers of units of all sources are split in two, again and again, by draws from a
 multivariate hypergeometric distribution, until each output shard has its own numbers. Units of a source, in a seeded
 order, then go to the shards by these numbers, so shards draw disjoint units; each shard shuffles its own rows.
+
+All this is worked out on a table of groups (source, id, size, hash of the columns, number of rows): texts are read once to make it and once
+to give each row its decision, and are in no window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import packed, saved, unpacked
+from .common import hinted, packed, saved, unpacked
 
-#: Records are hashed into this many buckets of their source; a block is one bucket, or several where a source has few records.
-BUCKETS = 256
-#: A block has about this many records at least, so that the last one can be filled closely.
-BLOCK_RECORDS = 64
+#: A block has about this many records at least, so that the last one can be filled closely, and a source at most so many blocks.
+BLOCK_RECORDS, MOST_BLOCKS = 64, 1 << 15
+#: Rows of decisions (for blocks, or for records of last blocks) that may be broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Sources are few, as each has a weight of its own: their table is read by the driver and must not have more rows than this.
 MOST_SOURCES = 100_000
 
@@ -88,75 +91,98 @@ def mix_sources(
     mix_copies (how often the mix reads it) and mix_shards (array<int>: the output shard of each reading).
 
     ``mixed_rows`` turns this into the rows of the mix. The readings of a source come near its target (by less than half of the smallest record left unread in its last block); none exceeds ``most``.
-    The order within a source depends on the seed, id and size only, so reruns agree; rows with
-    equal id and size are interchangeable. A null size counts as 0; null is a source of its own. A source
-    without words is read once and has the target 0. Columns with the new names are replaced. An empty table gives no rows.
+    The order within a source depends on the seed, id, size and a hash of the columns only, so reruns agree; rows in which these are
+    equal are the same row several times. A null size counts as 0; null is a source of its own. A source
+    without words is read once and has the target 0. Columns with the new names are replaced; columns have to be of types that Spark can hash. An empty table gives no rows.
     """
     spark = docs.sparkSession
     columns = list(columns if columns is not None else docs.columns)
     coin = lambda *more: F.xxhash64(F.lit(seed), *more)
-    rows = docs.select(packed(docs, columns), F.col(source_col).alias("source_"), F.coalesce(size, F.lit(0)).cast("long").alias("mix_size"), F.col(id_col).alias("id_"))
-    rows = rows.withColumn("bucket_", F.pmod(coin(F.lit("block"), "id_", "mix_size"), F.lit(BUCKETS)).cast("int"))
-    buckets = saved(rows.groupBy("source_", "bucket_").agg(F.sum("mix_size").alias("words_"), F.count("*").alias("records_")), "mix-buckets")
-    sizes = buckets.groupBy(F.col("source_").alias("source")).agg(F.sum("words_").alias("source_size"), F.sum("records_").alias("records"))
+    key = ["source_", "id_", "mix_size", "content_"]
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(0).cast("long")
+    own = (F.col(source_col).alias("source_"), F.col(id_col).alias("id_"), F.coalesce(size, F.lit(0)).cast("long").alias("mix_size"), content.alias("content_"))
+    groups = saved(docs.select(*own).groupBy(*key).agg(F.count("*").alias("rows_")), "mix-groups")
+    words = F.col("mix_size") * F.col("rows_")
+    sizes = groups.groupBy(F.col("source_").alias("source")).agg(F.sum(words).alias("source_size"), F.sum("rows_").alias("records"))
     targets = source_targets(sizes, weights, share, most)
     listed = targets.orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
     if len(listed) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    schema = "number_ int, source_ string, blocks_ int, source_size long, source_target double, full_ int, rest_ double"
+    schema = "number_ int, of_ string, blocks_ int, source_size long, source_target double, full_ int, rest_ double"
     plan = []
     for n, r in enumerate(listed):
         full = int(r.target // r.source_size) if r.source_size else 1
-        blocks = min(BUCKETS, 1 << max(0, (r.records // BLOCK_RECORDS).bit_length() - 1))
+        blocks = min(MOST_BLOCKS, 1 << max(0, (r.records // BLOCK_RECORDS).bit_length() - 1))
         plan.append((n, r.source, blocks, r.source_size, float(r.target), full, float(r.target - full * r.source_size)))
     sources = F.broadcast(spark.createDataFrame(plan, schema))
+    block = F.pmod(coin(F.lit("block"), "id_", "mix_size", "content_"), F.col("blocks_")).cast("int").alias("block_")
 
     # blocks of each source in their seeded order, with the words before them: whole, last or no part of the reading that is not full
-    by_source = Window.partitionBy("source_").orderBy(coin(F.lit("order"), "block_"), "block_")
-    ranked = buckets.join(sources, buckets["source_"].eqNullSafe(sources["source_"])).drop(sources["source_"])
-    ranked = ranked.groupBy("source_", "number_", "full_", "rest_", "source_size", "source_target", F.pmod("bucket_", "blocks_").alias("block_"))
-    ranked = ranked.agg(F.sum("words_").alias("words_"), F.collect_set("bucket_").alias("buckets_"))
+    by_source = Window.partitionBy("number_").orderBy(coin(F.lit("order"), "block_"), "block_")
+    placed = groups.join(sources, F.col("source_").eqNullSafe(F.col("of_"))).select(*key, "rows_", block, "number_", "full_", "rest_", "source_size", "source_target")
+    ranked = placed.groupBy("number_", "full_", "rest_", "source_size", "source_target", "block_").agg(F.sum(words).alias("words_"))
     ranked = ranked.withColumn("before_", F.coalesce(F.sum("words_").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    more = F.when(F.col("before_") + F.col("words_") <= F.col("rest_"), 2).when(F.col("before_") < F.col("rest_"), 1).otherwise(0)
+    inside = (F.col("rest_") > 0) & (F.col("before_") < F.col("rest_"))
+    more = F.when(inside & (F.col("before_") + F.col("words_") <= F.col("rest_")), 2).when(inside, 1).otherwise(0)
     ranked = ranked.withColumn("more_", more).withColumn("left_", F.col("rest_") - F.col("before_"))
     # units: one for each full reading of a block and one for the part; numbered within the source
     ranked = ranked.withColumn("units_", F.col("full_") + F.when(F.col("more_") > 0, 1).otherwise(0))
-    ranked = ranked.withColumn("unit_", F.coalesce(F.sum("units_").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    ranked = saved(ranked.withColumn("unit_", F.coalesce(F.sum("units_").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")), "mix-blocks")
 
     counts = {r.number_: r.units for r in ranked.groupBy("number_").agg(F.sum("units_").cast("long").alias("units")).collect()}
     quotas = split_quotas([counts.get(n, 0) for n in range(len(plan))], shards, seed) if plan else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(quotas, axis=0)
     dealt = F.broadcast(spark.createDataFrame([(n, [int(x) for x in ends[:, n]]) for n in range(len(plan))], "number_ int, ends_ array<long>"))
-    ranked = ranked.join(dealt, "number_")
     shard = lambda unit: F.size(F.filter("ends_", lambda e: e <= unit)).cast("int")
     wanted = F.when(F.col("units_") > 0, F.transform(F.sequence(F.lit(0), F.col("units_") - 1), lambda i: shard(F.col("unit_") + i))).otherwise(F.array().cast("array<int>"))
-    ranked = ranked.withColumn("shards_", wanted).select("source_", F.explode("buckets_").alias("bucket_"), "block_", "full_", "more_", "left_", "source_size", "source_target", "shards_")
-
-    # at most BUCKETS rows for each source: broadcast where that is few, else an ordinary join
-    ranked = F.broadcast(ranked) if len(plan) * BUCKETS <= 200_000 else ranked
-    joined = rows.alias("r").join(ranked.alias("b"), F.col("r.source_").eqNullSafe(F.col("b.source_")) & (F.col("r.bucket_") == F.col("b.bucket_")))
-    joined = joined.select("row_", F.col("r.source_"), "mix_size", "id_", "block_", "full_", "more_", "left_", "source_size", "source_target", "shards_")
-    # only the last block of each source is read in part: the larger half of its records in a seeded order while they fit, then,
-    # largest first, the ones that still fit, so small ones close the gap, and at last one more if that comes nearer
-    block = Window.partitionBy("source_", "block_")
-    before = lambda *order: F.coalesce(F.sum("fit_").over(block.orderBy(*order, "id_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seeded = coin(F.lit("row"), "id_", "mix_size")
-    large = F.percent_rank().over(block.orderBy(F.col("mix_size").desc())) < 0.5
-    part = joined.where("more_ = 1").withColumn("fit_", F.when(large, F.col("mix_size")).otherwise(0))
-    part = part.withColumn("taken_", (F.col("fit_") > 0) & (before(seeded) + F.col("fit_") <= F.col("left_")))
-    gap = F.col("left_") - F.sum(F.when(F.col("taken_"), F.col("mix_size")).otherwise(0)).over(block)
-    for _ in range(3):
-        part = part.withColumn("gap_", gap).withColumn("fit_", F.when(~F.col("taken_") & (F.col("mix_size") <= F.col("gap_")), F.col("mix_size")).otherwise(0))
-        part = part.withColumn("taken_", F.col("taken_") | ((F.col("fit_") > 0) & (before(F.col("fit_").desc(), seeded) + F.col("fit_") <= F.col("gap_"))))
-    part = part.withColumn("gap_", gap).withColumn("off_", F.when(~F.col("taken_"), F.abs(F.col("mix_size") - F.col("gap_"))))
-    nearest = (F.row_number().over(block.orderBy(F.col("off_").asc_nulls_last(), seeded, "id_")) == 1) & F.coalesce(F.col("off_") < F.col("gap_"), F.lit(False))
-    part = part.withColumn("taken_", F.col("taken_") | nearest).drop("fit_", "gap_", "off_")
-    whole = joined.where("more_ <> 1").withColumn("taken_", F.col("more_") == 2)
-    rows = whole.unionByName(part).withColumn("mix_copies", F.col("full_") + F.col("taken_").cast("int"))
+    ranked = ranked.join(dealt, "number_").select("number_", "block_", "full_", "more_", "left_", "source_size", "source_target", wanted.alias("shards_"))
+    n_ranked = sum(p[2] for p in plan)
+
+    # how many rows of each group are taken of the blocks that are read in part
+    part = _filled(placed.select(*key, "rows_", "number_", "block_").join(hinted(ranked.where("more_ = 1").select("number_", "block_", "left_"), n_ranked, BROADCAST_ROWS), ["number_", "block_"]), coin)
+    part = saved(part.select(*[F.col(k).alias(f"p_{k}") for k in key], "rows_", "took_"), "mix-parts")
+    n_part = part.count()
+
+    rows = docs.select(packed(docs, columns), *own).join(sources, F.col("source_").eqNullSafe(F.col("of_"))).select("row_", *key, "number_", block)
+    joined = rows.join(hinted(ranked, n_ranked, BROADCAST_ROWS), ["number_", "block_"])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    joined = joined.join(hinted(part, n_part, BROADCAST_ROWS), same, "left")
+    split = F.coalesce((F.col("took_") > 0) & (F.col("took_") < F.col("rows_")), F.lit(False))
+    made = ["mix_size", "source_size", "source_target", "full_", "shards_"]
+    whole = joined.where(~split).select("row_", *made, ((F.col("more_") == 2) | (F.coalesce("took_", F.lit(0)) > 0)).cast("int").alias("once_"))
+    # the rows of a group are one row several times: it is written that often again, so that they need not be numbered
+    parted = joined.where(split).groupBy(*key, "rows_", "took_", *[m for m in made if m != "mix_size"]).agg(F.any_value("row_").alias("row_"))
+    again = lambda n, once: F.array_repeat(F.lit(once), n.cast("int"))
+    parted = parted.select("row_", *made, F.explode(F.concat(again(F.col("took_"), 1), again(F.col("rows_") - F.col("took_"), 0))).alias("once_"))
+    rows = whole.unionByName(parted).withColumn("mix_copies", F.col("full_") + F.col("once_"))
     kept = unpacked(columns, ("mix_size", "source_size", "source_target", "mix_copies", "mix_shards"))
     return rows.select(*kept, "mix_size", "source_size", "source_target", "mix_copies", F.slice("shards_", F.lit(1), F.col("mix_copies")).alias("mix_shards"))
 
 
+def _filled(part: DataFrame, coin: Callable[..., Column]) -> DataFrame:
+    """The groups of blocks that are read in part with took_: how many of their rows_ are taken, so that the words come near left_.
+
+    First the larger half of a block's groups, in a seeded order while they fit; then, largest first, the ones that still fit, so small ones close
+    the gap; at last one more if that comes nearer."""
+    block = Window.partitionBy("number_", "block_")
+    seeded = [coin(F.lit("row"), "id_", "mix_size", "content_"), "id_", "content_"]
+    taken = F.sum(F.col("mix_size") * F.col("took_")).over(block)
+    part = part.withColumn("took_", F.lit(0).cast("long")).withColumn("large_", F.percent_rank().over(block.orderBy(F.col("mix_size").desc())) < 0.5)
+    for turn in range(4):
+        part = part.withColumn("gap_", F.col("left_") - taken)
+        fits = (F.col("mix_size") > 0) & (F.col("mix_size") <= F.col("gap_")) & (F.col("large_") if turn == 0 else F.lit(True))
+        part = part.withColumn("open_", F.when(fits, F.col("rows_") - F.col("took_")).otherwise(0))
+        order = block.orderBy(*(seeded if turn == 0 else [F.col("mix_size").desc(), *seeded])).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.col("mix_size") * F.col("open_")).over(order), F.lit(0))
+        room = F.floor((F.col("gap_") - before) / F.when(F.col("mix_size") > 0, F.col("mix_size")))
+        part = part.withColumn("took_", F.col("took_") + F.greatest(F.lit(0), F.least(F.coalesce(room, F.lit(0)), "open_")).cast("long"))
+    part = part.withColumn("gap_", F.col("left_") - taken).withColumn("off_", F.when(F.col("took_") < F.col("rows_"), F.abs(F.col("mix_size") - F.col("gap_"))))
+    nearest = (F.row_number().over(block.orderBy(F.col("off_").asc_nulls_last(), *seeded)) == 1) & F.coalesce(F.col("off_") < F.col("gap_"), F.lit(False))
+    return part.withColumn("took_", F.col("took_") + nearest.cast("long"))
+
+
 def mixed_rows(mix: DataFrame, columns: Sequence[str], id_col: str = "doc_id", seed: int = 17) -> DataFrame:
     """The rows of the mix: ``columns`` (without a mix_shard) and mix_shard, once for each reading; dealt by shard and, for each shard, a piece of the
     seeded order, and shuffled within it. Records that the mix does not take have no row."""

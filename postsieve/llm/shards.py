@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import packed, unpacked
+from .common import packed, scratch, unpacked
 
-#: Three hex digits of a hash.
-SLOTS = 4096
+#: Three hex digits of a hash, and one more for the pieces of a slot in which its records are numbered.
+SLOTS, PIECES = 4096, 16
 
 
 def slot_of(*keys: Column) -> Column:
@@ -23,6 +23,12 @@ def slot_of(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 3), 16, 10).cast("int")
 
 
+def piece_of(*keys: Column) -> Column:
+    """The piece of its slot that a record is in, 0 to PIECES - 1; independent of the slot."""
+    text = F.concat_ws("\x1f", *[F.coalesce(k.cast("string"), F.lit("\x00")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 4, 1), 16, 10).cast("int")
+
+
 def slot_bytes(records: DataFrame, slot: str = "vslot", size: str = "size") -> DataFrame:
     """(slot, bytes) for each of the SLOTS slots, empty ones included."""
     spark = records.sparkSession
@@ -76,24 +82,33 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return kept.where(F.col("version") == version).select("version", "slot", "shard", "bytes")
 
 
+def stored_map(records: DataFrame, keys: list[str], size: Column, shards: int = 8) -> tuple[DataFrame, str]:
+    """Version 0 of the map for ``records``, written to a new table in the shared folder and read back, and the table's path."""
+    own = [F.col(f"`{k}`") for k in keys]
+    sized = records.select(F.coalesce(size, F.lit(0)).cast("long").alias("size"), slot_of(*own).alias("vslot"))
+    path = scratch(records.sparkSession, "shard-map")
+    store_map(slot_map(slot_bytes(sized), shards), path)
+    return load_map(records.sparkSession, path, 0), path
+
+
 def shard_by_slots(records: DataFrame, keys: list[str], size: Column, shards: int = 8, mapping: DataFrame | None = None) -> DataFrame:
     """``records`` with the columns size (long), vslot, shard (int) and slot (long): the place in the shard, from 0 without gaps.
 
     The slot comes from all ``keys``, so one hot value of one key does not fill a slot; the shard comes from
-    ``mapping``, or from a new map with near-equal bytes. Places are numbered slot by slot: counts of slots give each slot's
-    first place, and rows are numbered within their slot only, by their keys. Rows with equal keys are
+    ``mapping``, or from a new map with near-equal bytes. Places are numbered piece by piece: counts of the PIECES pieces of each slot give
+    each piece's first place, and rows are numbered within their piece only, by their keys. Rows with equal keys are
     interchangeable and get places in any order. Null keys and sizes are allowed (a null size counts as 0). Columns
     named like the new ones are replaced. An empty table gives no rows.
     """
     made = ("size", "vslot", "shard", "slot")
     own = {f"k{i}_": F.col(f"`{k}`") for i, k in enumerate(keys)}
-    sized = records.select(packed(records), *[c.alias(k) for k, c in own.items()], F.coalesce(size, F.lit(0)).cast("long").alias("size"), slot_of(*own.values()).alias("vslot"))
+    sized = records.select(packed(records), *[c.alias(k) for k, c in own.items()], F.coalesce(size, F.lit(0)).cast("long").alias("size"), slot_of(*own.values()).alias("vslot"), piece_of(*own.values()).alias("piece_"))
     if mapping is None:
         mapping = slot_map(slot_bytes(sized), shards)
-    counts = sized.groupBy("vslot").agg(F.count("*").alias("rows_"))
+    counts = sized.groupBy("vslot", "piece_").agg(F.count("*").alias("rows_"))
     mapping = mapping.select(F.col("slot").alias("vslot"), "shard").join(counts, "vslot")
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    mapping = mapping.select("vslot", "shard", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("first_"))
-    within = Window.partitionBy("vslot").orderBy(*own)
-    placed = sized.withColumn("place_", F.row_number().over(within) - 1).join(F.broadcast(mapping), "vslot")
+    before = Window.partitionBy("shard").orderBy("vslot", "piece_").rowsBetween(Window.unboundedPreceding, -1)
+    mapping = mapping.select("vslot", "piece_", "shard", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("first_"))
+    within = Window.partitionBy("vslot", "piece_").orderBy(*own)
+    placed = sized.withColumn("place_", F.row_number().over(within) - 1).join(F.broadcast(mapping), ["vslot", "piece_"])
     return placed.select(*unpacked(records.columns, made), "size", "vslot", "shard", (F.col("first_") + F.col("place_")).cast("long").alias("slot"))

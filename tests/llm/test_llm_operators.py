@@ -243,6 +243,36 @@ def test_mix_of_odd_rows(spark):
     assert mix.mix_sources(rows.limit(0), size).count() == 0
 
 
+def test_mix_never_reads_a_row_more_often_than_most(spark):
+    """A source of 399 texts without words and one of 40 words; its target is the limit of twice its words."""
+    rows = docs(spark, *[(n, None, "en", "a") for n in range(399)], (399, "w " * 40, "en", "a"), (400, "v " * 4000, "en", "b"))
+    out = mix.mix_sources(rows, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    got = out.groupBy("source").agg(F.max("mix_copies").alias("most"), F.sum(F.col("mix_copies") * F.col("mix_size")).alias("words"), F.max("source_target").alias("target"), F.count("*").alias("n")).collect()
+    assert {r.source: r.n for r in got} == {"a": 400, "b": 1} and all(r.most <= 2 for r in got)
+    assert {r.source: r.words for r in got}["a"] == 80 == {r.source: r.target for r in got}["a"]
+
+
+def test_mix_of_one_row_many_times(spark):
+    """A third of a source is one row; its readings still meet the target, and rows that are equal are written as often as they are read."""
+    rows = docs(spark, *[(7, "w " * 9, "en", "a")] * 300, *[(n, "v " * (n % 30 + 1), "en", "a") for n in range(1000, 1600)], *[(n, "u " * 20, "en", "b") for n in range(2000, 2900)])
+    for width in (mix.BROADCAST_ROWS, 0):
+        was, mix.BROADCAST_ROWS = mix.BROADCAST_ROWS, width
+        try:
+            out = mix.mix_sources(rows, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cache()
+            assert out.count() == 1800
+            for r in out.groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.max("source_target").alias("target"), F.max("mix_copies").alias("most")).collect():
+                assert r.most <= 2 and abs(r.taken - r.target) <= 10
+        finally:
+            mix.BROADCAST_ROWS = was
+        out.unpersist()
+
+
+def test_no_text_is_in_a_window_of_the_mix(spark):
+    out = mix.mix_sources(docs(spark, *[(n, "w " * n, "en", "a") for n in range(1, 200)]), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "row_" in plan and "Window" not in plan  # the windows are in the tables of groups and blocks
+
+
 # 2: chat
 
 
