@@ -2,8 +2,10 @@
 
 The tokens are characters: the vocabulary is every character of the documents, with one entry for all unseen ones and one for
 the boundary before a text. Both models are trigram models with the same smoothing over this vocabulary, one counted on the
-target documents and one on all documents (the background). The score of a document is the mean over its tokens of target
-loss minus background loss: below 0, it is more like the target than the corpus at large.
+target documents and one on all other documents (the background). The models are matched: background counts are scaled to as many tokens
+as the target has, which is what samples of that size would have on average, so the smoothing weighs the same in both and no document is left out.
+The score of a document is the mean over its tokens of target
+loss minus background loss: below 0, it is more like the target than the rest of the corpus.
 
 Counts cover every character of every document. They are tables of trigrams that grow with what the documents hold; none goes
 through the driver. Documents are dealt into blocks of about BLOCK_BYTES. Each distinct trigram of a block is counted and,
@@ -87,11 +89,11 @@ def block_counts(rows: DataFrame) -> DataFrame:
 
 
 def losses(counts: DataFrame) -> DataFrame:
-    """(cell, target, background) for each trigram of ``counts`` (cell, n_target, n_all), as a table: the loss in nats of its last character in
+    """(cell, target, background) for each trigram of ``counts`` (cell, n_target, n_rest), as a table: the loss in nats of its last character in
     both models. Each order is mixed with the next lower one."""
     mask = lambda n: F.lit((1 << n * BITS) - 1)
     cell = F.col("cell")
-    models = ("target", "all")
+    models = ("target", "rest")
 
     def summed(df: DataFrame, key: Column, name: str, prefix: str) -> DataFrame:
         return df.groupBy(key.alias(name)).agg(*[F.sum(f"n_{m}").alias(f"{prefix}_{m}") for m in models])
@@ -100,28 +102,32 @@ def losses(counts: DataFrame) -> DataFrame:
     single = saved(summed(pairs, cell.bitwiseAND(mask(1)), "last", "n1"), "lm-characters")
     known = single.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"n1_{m}"), F.lit(0)).alias(m) for m in models]).first()
     symbols = max(SYMBOLS, known.n + 2)
-    p1 = {m: (F.col(f"n1_{m}") + 1) / F.lit(float(known[m] + symbols)) for m in models}
+    scale = {"target": F.lit(1.0), "rest": F.lit(known.target / known.rest if known.rest else 0.0)}
+    times = lambda prefix, m: scale[m] * F.col(f"{prefix}_{m}")
+    # both have as many tokens, but for a corpus without other documents
+    tokens = {"target": known.target, "rest": known.target if known.rest else 0}
+    p1 = {m: (times("n1", m) + 1) / F.lit(float(tokens[m] + symbols)) for m in models}
     before = summed(pairs, F.shiftright(cell, BITS), "first", "c1")
     two = pairs.join(hinted(single, known.n, BROADCAST_ROWS), cell.bitwiseAND(mask(1)) == F.col("last"))
     two = two.join(hinted(before, known.n, BROADCAST_ROWS), F.shiftright(cell, BITS) == F.col("first"))
-    two = two.select(cell.alias("pair"), *[((F.col(f"n_{m}") + PRIOR * p1[m]) / (F.col(f"c1_{m}") + PRIOR)).alias(f"p2_{m}") for m in models])
+    two = two.select(cell.alias("pair"), *[((times("n", m) + PRIOR * p1[m]) / (times("c1", m) + PRIOR)).alias(f"p2_{m}") for m in models])
     three = counts.join(two, cell.bitwiseAND(mask(2)) == F.col("pair")).join(summed(counts, F.shiftright(cell, BITS), "context", "c2"), F.shiftright(cell, BITS) == F.col("context"))
-    loss = {m: -F.log((F.col(f"n_{m}") + PRIOR * F.col(f"p2_{m}")) / (F.col(f"c2_{m}") + PRIOR)) for m in models}
-    return saved(three.select("cell", loss["target"].alias("target"), loss["all"].alias("background")), "lm-losses")
+    loss = {m: -F.log((times("n", m) + PRIOR * F.col(f"p2_{m}")) / (times("c2", m) + PRIOR)) for m in models}
+    return saved(three.select("cell", loss["target"].alias("target"), loss["rest"].alias("background")), "lm-losses")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, difference) for each row of ``docs``; losses are means in nats per token.
 
     ``targets`` has the ids of the target documents; repeated and null ids in it do nothing, ids that are not in ``docs`` neither. With no
-    target document the target model is the uniform prior. A null or empty text has no tokens and null losses.
+    target document both models are the uniform prior, and where all are target documents the background is. A null or empty text has no tokens and null losses.
     Repeated rows are counted and scored as often as they occur. Other columns are not looked at. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     wanted = targets.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     rows = blocks(docs, wanted, id_col, text_col)
     counted = block_counts(rows)
-    cells = saved(counted.groupBy("cell").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all")), "lm-counts")
+    cells = saved(counted.groupBy("cell").agg(F.sum("n_target").alias("n_target"), (F.sum("n_all") - F.sum("n_target")).alias("n_rest")), "lm-counts")
     table = losses(cells)
     known = counted.select("block", "cell").join(hinted(table, table.count(), BROADCAST_ROWS), "cell").select("block", "cell", "target", "background")
 

@@ -470,17 +470,18 @@ def test_scores_match_brute_force(spark):
     v, end = lmscore.SYMBOLS, lmscore.BOUNDARY
     coded = {d: [end, end, *(names.get(c, 0) for c in t)] for d, t in texts.items()}
 
-    def model(ids):
+    def model(ids, tokens):
         n3, n2, n1 = Counter(), Counter(), Counter()
         c2, c1 = Counter(), Counter()
+        scale = tokens / sum(len(texts[d]) for d in ids)
         for d in ids:
             s = coded[d]
             for a, b, c in zip(s, s[1:], s[2:]):  # noqa: B905
-                n3[a, b, c] += 1
-                n2[b, c] += 1
-                n1[c] += 1
-                c2[a, b] += 1
-                c1[b] += 1
+                n3[a, b, c] += scale
+                n2[b, c] += scale
+                n1[c] += scale
+                c2[a, b] += scale
+                c1[b] += scale
         total = sum(n1.values())
 
         def loss(a, b, c):
@@ -490,7 +491,8 @@ def test_scores_match_brute_force(spark):
 
         return loss
 
-    target, background = model(set(texts) & good), model(texts)
+    tokens = sum(len(texts[d]) for d in set(texts) & good)
+    target, background = model(set(texts) & good, tokens), model(set(texts) - good, tokens)
     rows = {r.doc_id: r for r in queries.op6_lm_score(spark, SF).collect()}
     assert set(rows) == set(texts)
     for d in list(texts)[:25]:
@@ -516,7 +518,19 @@ def test_scores_of_odd_rows(spark):
     got = lmscore.cross_entropy_difference(clashing(rows), targets).collect()
     assert len(got) == 11 and all((r.n_tokens == 0) == (r.difference is None) for r in got)
     assert lmscore.cross_entropy_difference(rows.limit(0), targets).count() == 0
-    assert lmscore.cross_entropy_difference(rows, targets.limit(0)).count() == 11
+    none = lmscore.cross_entropy_difference(rows, targets.limit(0))
+    assert none.count() == 11 and none.where("difference <> 0").count() == 0
+    assert lmscore.cross_entropy_difference(rows, rows.select("doc_id")).count() == 11
+
+
+def test_copies_of_the_background_do_not_move_scores(spark):
+    """The models are matched: a background of the same texts ten times over is the same model."""
+    rng = random.Random(5)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
+    good, rest = [(n, text("abcdefg")) for n in range(20)], [(n, text("defghij")) for n in range(20, 40)]
+    targets = spark.createDataFrame([(n,) for n, _ in good], "doc_id long")
+    scores = lambda rows: {r.doc_id: r.difference for r in lmscore.cross_entropy_difference(docs(spark, *rows), targets).collect()}
+    assert scores(good + rest) == pytest.approx(scores(good + rest * 10), abs=2e-6)
 
 
 def test_characters_beyond_the_first_hundreds_stay_apart(spark):
