@@ -1,9 +1,10 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant (MCD).
 
 Each text gets exact counts and, from them, a short vector of transformed statistics. For each language and source
-the MCD location and scatter are estimated over all its texts: from medians and quartile ranges, concentration steps
-keep the most central three quarters and estimate again from exact sums over them. A text is rejected when its squared
-Mahalanobis distance exceeds a cut-off.
+the MCD location and scatter are estimated over all its texts. There are three starts: medians with quartile ranges, medians with the
+covariance of spatial signs, and mean with covariance. From each, concentration steps
+keep the most central three quarters and estimate again from exact sums over them, until the determinant falls no more; the start that ends with the
+smallest determinant gives the estimate. A text is rejected when its squared Mahalanobis distance exceeds a cut-off.
 
 The vectors are whole numbers (1/1024 units), so all sums are exact and do not depend on the order of the rows. A step is one
 aggregate over groups and distance bins, so no group is ever gathered in a task. Texts with equal vectors count once in the
@@ -32,12 +33,14 @@ MIN_WORDS = 50
 #: Transformed statistics, in this order.
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals")
 SCALE = 1024
-#: The spread, in transformed units, below which a statistic of a group is not taken to vary; keeps scatters regular.
-LEAST_SPREAD = (0.15, 0.5, 1.0, 1.0, 0.3)
-#: Share of a group that the estimate rests on, concentration steps, and the fewest distinct vectors that make an estimate.
-CORE, STEPS, MIN_GROUP = 0.75, 4, 50
+#: Share of a group that the estimate rests on, the most concentration steps, what counts as a fall of the logarithm of a determinant, and the
+#: fewest distinct vectors that make an estimate.
+CORE, STEPS, LEAST_FALL, MIN_GROUP = 0.75, 25, 1e-3, 50
 #: Squared distance that a text may have: the chi-squared quantile of 5 degrees of freedom with a tail of about 1e-8.
 CUTOFF = 46.0
+#: The spread, in transformed units, below which a statistic of a group is not taken to vary; keeps scatters regular. The shares of repeated
+#: lines and words end at 100 and, by the base rules, 50 of 100: theirs is such that the end of this range alone reaches the cut-off.
+LEAST_SPREAD = (0.15, 0.5, log(101) / CUTOFF**0.5, log(51) / CUTOFF**0.5, 0.3)
 #: Groups (a language and a source) whose estimates may be broadcast: some 300 bytes each.
 BROADCAST_GROUPS = 50_000
 
@@ -109,30 +112,55 @@ def group_key(language: Column, source: Column | None) -> Column:
     return F.concat(part(language), F.lit("\x1f"), part(source) if source is not None else F.lit("*"))
 
 
-_PARAMS = "grp string, center array<double>, inverse array<double>"
+_PARAMS = "grp string, start int, center array<double>, inverse array<double>, log_det double"
+_UPPER = np.triu_indices(D)
+#: Fraction bits of the products of spatial signs, which are summed as whole numbers.
+_SIGN = 1 << 20
+
+
+def _square(upper: list) -> np.ndarray:
+    out = np.zeros((D, D))
+    out[_UPPER] = np.array(upper, float)
+    return out + np.triu(out, 1).T
+
+
+def _params(rows: Iterator[tuple[str, int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Centres (in transformed units) and inverse scatters. In units of LEAST_SPREAD, a principal variance below 1 is raised to 1; others stay."""
+    out, units = [], np.outer(LEAST_SPREAD, LEAST_SPREAD)
+    for grp, start, center, scatter in rows:
+        values, axes = np.linalg.eigh(scatter / units)
+        scatter = (axes * np.maximum(values, 1.0)) @ axes.T * units
+        out.append((grp, start, center.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])))
+    return pd.DataFrame(out, columns=["grp", "start", "center", "inverse", "log_det"])
 
 
 def _start(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start 0: medians and quartile ranges."""
+    for part in parts:
+        spread = [(np.array(h) - np.array(lo)) / SCALE / 1.349 for lo, h in zip(part["low"], part["high"], strict=True)]
+        yield _params((g, 0, np.array(m, float) / SCALE, np.diag(s**2)) for g, m, s in zip(part["grp"], part["middle"], spread, strict=True))
+
+
+def _more_starts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start 1: medians, and spatial signs of what is standardised by start 0. Start 2: mean and covariance."""
     for part in parts:
-        center = [[m / SCALE for m in q] for q in part["middle"]]
-        spread = [np.maximum((np.array(h) - np.array(lo)) / SCALE / 1.349, LEAST_SPREAD) for lo, h in zip(part["low"], part["high"], strict=True)]
-        yield pd.DataFrame({"grp": part["grp"], "center": center, "inverse": [np.diag(s**-2.0).ravel().tolist() for s in spread]})
+        rows = []
+        for g, n, center, inverse, s, p, signs in zip(*(part[c] for c in ("grp", "n", "center", "inverse", "sums", "products", "signs")), strict=True):
+            spread = np.array(inverse).reshape(D, D).diagonal() ** -0.5
+            rows.append((g, 1, np.array(center), np.outer(spread, spread) * _square(signs) * D / n / _SIGN))
+            mean = np.array(s, float) / n
+            rows.append((g, 2, mean / SCALE, (_square(p) / n - np.outer(mean, mean)) / SCALE**2))
+        yield _params(rows)
 
 
 def _estimate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     factor = consistency()
-    upper = np.triu_indices(D)
     for part in parts:
-        centers, inverses = [], []
-        for n, s, p in zip(part["n"], part["sums"], part["products"], strict=True):
+        rows = []
+        for g, start, n, s, p in zip(*(part[c] for c in ("grp", "start", "n", "sums", "products")), strict=True):
             mean = np.array(s, float) / n
-            second = np.zeros((D, D))
-            second[upper] = np.array(p, float) / n
-            second = second + np.triu(second, 1).T
-            cov = factor * (second - np.outer(mean, mean)) / SCALE**2 + np.diag(np.square(LEAST_SPREAD))
-            centers.append((mean / SCALE).tolist())
-            inverses.append(np.linalg.inv(cov).ravel().tolist())
-        yield pd.DataFrame({"grp": part["grp"], "center": centers, "inverse": inverses})
+            rows.append((g, start, mean / SCALE, factor * (_square(p) / n - np.outer(mean, mean)) / SCALE**2))
+        yield _params(rows)
 
 
 def squared_distance(x: Column, center: Column, inverse: Column) -> Column:
@@ -156,24 +184,39 @@ def fit(vectors: DataFrame) -> tuple[DataFrame, int]:
     rows = saved(own.join(hinted(target, n_groups, BROADCAST_GROUPS), "grp").select(F.col("to").alias("grp"), "x"), "quality-rows")
     enough = rows.groupBy("grp").agg(F.count("*").alias("total")).where(F.col("total") >= MIN_GROUP)
 
-    at = lambda q: F.array(*[F.percentile(F.col("x")[j], q) for j in range(D)])  # noqa: E731  exact: a value is one of a few thousand whole numbers
+    x = F.col("x")
+    at = lambda q: F.array(*[F.percentile(x[j], q) for j in range(D)])  # noqa: E731  exact: a value is one of a few thousand whole numbers
     first = rows.groupBy("grp").agg(at(0.25).alias("low"), at(0.5).alias("middle"), at(0.75).alias("high"))
     params = saved(first.join(enough, "grp", "left_semi").mapInPandas(_start, _PARAMS), "quality-params")
     pairs = [(j, k) for j in range(D) for k in range(j, D)]
     names = [f"s{j}" for j in range(D)] + [f"p{j}_{k}" for j, k in pairs]
+    sums = [F.sum(x[j]).alias(f"s{j}") for j in range(D)] + [F.sum(x[j] * x[k]).alias(f"p{j}_{k}") for j, k in pairs]
+    moments = [F.array(*names[:D]).alias("sums"), F.array(*names[D:]).alias("products")]
+
+    off = F.array(*[(x[j] / SCALE - F.col("center")[j]) * F.sqrt(F.col("inverse")[j * D + j]) for j in range(D)])
+    length = sum((F.col("off")[j] * F.col("off")[j] for j in range(D)), F.lit(0.0))
+    signs = rows.join(hinted(params, n_groups, BROADCAST_GROUPS), "grp").withColumn("off", off).withColumn("length", length)
+    product = lambda j, k: F.when(F.col("length") > 0, F.round(F.col("off")[j] * F.col("off")[k] / F.col("length") * _SIGN)).otherwise(0).cast("long")
+    signs = signs.groupBy("grp").agg(F.count("*").alias("n"), *sums, *[F.sum(product(j, k)).alias(f"g{j}_{k}") for j, k in pairs])
+    signs = signs.join(params.select("grp", "center", "inverse"), "grp").select("grp", "n", "center", "inverse", *moments, F.array(*[f"g{j}_{k}" for j, k in pairs]).alias("signs"))
+    params = saved(params.unionByName(signs.mapInPandas(_more_starts, _PARAMS)).withColumn("log_det", F.lit(float("inf"))), "quality-params")
+
     for _ in range(STEPS):
-        near = rows.join(hinted(params, n_groups, BROADCAST_GROUPS), "grp")
-        x = F.col("x")
+        near = rows.join(hinted(params, 3 * n_groups, BROADCAST_GROUPS), "grp")
         # a bin of distances is 1/64 of a doubling of 1 + distance
         near = near.withColumn("bin", F.floor(64 * F.log2(1 + squared_distance(x, F.col("center"), F.col("inverse")))))
-        sums = [F.sum(x[j]).alias(f"s{j}") for j in range(D)] + [F.sum(x[j] * x[k]).alias(f"p{j}_{k}") for j, k in pairs]
-        bins = near.groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums)
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("n").over(Window.partitionBy("grp"))
-        core = bins.withColumn("core", before < CORE * total).where("core").groupBy("grp").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
-        core = core.select("grp", "n", F.array(*names[:D]).alias("sums"), F.array(*names[D:]).alias("products"))
-        params = saved(core.mapInPandas(_estimate, _PARAMS), "quality-params")
-    named = counts.select("grp").join(target, "grp").join(params.withColumnRenamed("grp", "to"), "to").select("grp", "center", "inverse")
+        bins = near.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *sums)
+        one = Window.partitionBy("grp", "start")
+        before = F.coalesce(F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        core = bins.withColumn("core", before < CORE * F.sum("n").over(one)).where("core").groupBy("grp", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+        step = core.select("grp", "start", "n", *moments).mapInPandas(_estimate, _PARAMS)
+        was = params.select("grp", "start", *[F.col(c).alias(f"{c}_was") for c in ("center", "inverse", "log_det")])
+        falls = F.col("log_det") < F.col("log_det_was") - LEAST_FALL
+        params = saved(step.join(was, ["grp", "start"]).select("grp", "start", *[F.when(falls, F.col(c)).otherwise(F.col(f"{c}_was")).alias(c) for c in ("center", "inverse", "log_det")], falls.alias("fell")), "quality-params")
+        if params.where("fell").isEmpty():
+            break
+    best = params.groupBy("grp").agg(F.min(F.struct("log_det", "start", "center", "inverse")).alias("best")).select(F.col("grp").alias("to"), "best.center", "best.inverse")
+    named = counts.select("grp").join(target, "grp").join(best, "to").select("grp", "center", "inverse")
     return saved(named, "quality-estimates"), n_groups
 
 
@@ -200,9 +243,9 @@ def quality_rules(docs: DataFrame, columns: list[str], language: str = "lang", s
 
 
 def keep_good(docs: DataFrame, language: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the same columns. The text is read twice: for the estimates and for the verdicts."""
+    """The rows of ``docs`` that the rules keep, with the same columns. The text is read once; rows and statistics are then kept as a table."""
     bounded_batches(docs.sparkSession)
-    vectors = docs.select(F.col(language).alias("language"), F.col(source).alias("source"), stats(text).alias("stats")).where(~base_failed(F.col("stats")))
-    params, n_groups = fit(vectors.select("language", "source", "stats.x"))
     rows = docs.select(packed(docs), F.col(language).alias("language_"), F.col(source).alias("source_"), stats(text).alias("stats"))
+    rows = saved(rows.where(~base_failed(F.col("stats"))), "quality-rows")
+    params, n_groups = fit(rows.select(F.col("language_").alias("language"), F.col("source_").alias("source"), "stats.x"))
     return judged(rows, params, n_groups, "language_", "source_").where("kept").select(*unpacked(docs.columns))

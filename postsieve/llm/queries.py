@@ -66,6 +66,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "distance")
 
 
+def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the base rules of the quality query rest on."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", quality.stats("text").alias("stats"))
+    counts = [F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc_id", *counts, quality.base_failed(F.col("stats")).alias("base_failed"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the tables have no paths: a document is a file in the folder of its source, language and a bucket of ids, and every
     # document whose id is divisible by 50 is the license file of its bucket, or of one of the folders above
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_shards": op10_shards,
     "shard_map_grown": shard_map_grown,
+    "text_counts": text_counts,
 }
 
 _TURNS_SQL = r"""WITH turns AS (
@@ -181,5 +189,13 @@ losses AS MATERIALIZED (SELECT c.x, c.y, c.z, -ln((c.t + {lmscore.PRIOR} * two.t
 means AS (SELECT r, count(*) AS n, round(avg(l.t), 6) AS t, round(avg(l.o), 6) AS o FROM grams g JOIN losses l ON l.x = g.x AND l.y = g.y AND l.z = g.z GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_tokens, means.t AS target_loss, means.o AS background_loss, means.t - means.o AS difference FROM docs LEFT JOIN means USING (r)"""
 
+_COUNTS_SQL = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+repeats AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE n > 1) GROUP BY r),
+counts AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN repeats USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts"""
+
 #: The others have hashes, draws or estimates that SQL cannot express; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_chat": _TURNS_SQL, "op3_decontamination": _CONTAINED_SQL, "op4_url_filter": _URL_SQL, "op6_lm_score": _LM_SQL, "op9_ngram_join": _JOIN_SQL, "shard_map_grown": _MAP_SQL}
+ORACLES: dict[str, str] = {"op2_chat": _TURNS_SQL, "op3_decontamination": _CONTAINED_SQL, "op4_url_filter": _URL_SQL, "op6_lm_score": _LM_SQL, "op9_ngram_join": _JOIN_SQL, "shard_map_grown": _MAP_SQL, "text_counts": _COUNTS_SQL}

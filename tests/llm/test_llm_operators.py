@@ -588,21 +588,68 @@ def test_quality_counts_and_estimates(spark):
     pooled = rows.lang.eq("fr") & ~rows.base_failed
     assert all(sizes.get(("fr", s), 0) < quality.MIN_GROUP for s in rows.source.unique())
     own = np.unique(np.c_[x[pooled], pd.factorize(rows[pooled].source)[0]], axis=0)[:, : quality.D]
-    low, mid, high = (np.percentile(own, q, axis=0) for q in (25, 50, 75))
-    center, inverse = mid, np.diag(np.maximum((high - low) / 1.349, quality.LEAST_SPREAD) ** -2.0)
-    for _ in range(quality.STEPS):
-        off = own - center
-        bins = np.floor(64 * np.log2(1 + np.einsum("ij,jk,ik->i", off, inverse, off)))
-        last = np.sort(bins)[int(np.ceil(quality.CORE * len(own))) - 1]
-        core = own[bins <= last]
-        center = core.mean(0)
-        inverse = np.linalg.inv(quality.consistency() * np.cov(core.T, bias=True) + np.diag(np.square(quality.LEAST_SPREAD)))
+    center, inverse = brute_mcd(own)
     off = x[rows.lang == "fr"] - center
     want = np.einsum("ij,jk,ik->i", off, inverse, off)
     assert np.allclose(rows[rows.lang == "fr"].distance, want, rtol=1e-6)
     assert (rows.kept == (~rows.base_failed & (rows.distance <= quality.CUTOFF))).all()
 
 
+def brute_mcd(own):
+    """Centre and inverse scatter of distinct vectors: three starts, concentration to the end, the smallest determinant."""
+    d = quality.D
+    least = np.diag(quality.LEAST_SPREAD)
+
+    def regular(scatter):
+        values, axes = np.linalg.eigh(np.linalg.inv(least) @ scatter @ np.linalg.inv(least))
+        return least @ axes @ np.diag(values.clip(1)) @ axes.T @ least
+
+    low, mid, high = (np.percentile(own, q, axis=0) for q in (25, 50, 75))
+    spread = np.sqrt(np.diag(regular(np.diag(((high - low) / 1.349) ** 2))))
+    z = (own - mid) / spread
+    signs = z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+    starts = [(mid, np.diag(spread**2)), (mid, regular(np.outer(spread, spread) * (signs.T @ signs) * d / len(own))), (own.mean(0), regular(np.cov(own.T, bias=True)))]
+    ends = []
+    for center, scatter in starts:
+        best = math.inf
+        for _ in range(quality.STEPS):
+            off = own - center
+            bins = np.floor(64 * np.log2(1 + np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off)))
+            last = np.sort(bins)[int(np.ceil(quality.CORE * len(own))) - 1]
+            core = own[bins <= last]
+            new = regular(quality.consistency() * np.cov(core.T, bias=True))
+            det = np.linalg.slogdet(new)[1]
+            if not det < best - quality.LEAST_FALL:
+                break
+            center, scatter, best = core.mean(0), new, det
+        ends.append((best, center, np.linalg.inv(scatter)))
+    return min(ends, key=lambda e: e[0])[1:]
+
+
+def test_estimate_of_a_group_of_its_own(spark):
+    """A language and source with enough texts, some of them far off: the estimate is that of numpy and the far ones go."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    good = [" ".join(word(rng.randrange(3, 9)) for _ in range(rng.randrange(60, 300))) for _ in range(160)]
+    bad = [" ".join(word(rng.randrange(18, 30)).upper() + "$#|" for _ in range(rng.randrange(60, 200))) for _ in range(12)]
+    rows = docs(spark, *[(n, t, "en", "s") for n, t in enumerate(good + bad)], *[(n + 500, t, "en", "other") for n, t in enumerate(good[:70])])
+    out = quality.quality_rules(rows, ["doc_id"]).where("doc_id < 500").toPandas().sort_values("doc_id")
+    x = np.array([quality.text_stats(t)[5] for t in good + bad]) / quality.SCALE
+    center, inverse = brute_mcd(np.unique(x, axis=0))
+    assert np.allclose(out.distance, np.einsum("ij,jk,ik->i", x - center, inverse, x - center), rtol=1e-6)
+    assert out.kept.tolist() == [True] * 160 + [False] * 12
+
+
+def test_repeated_lines_alone_can_reject(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    plain = ["\n".join(line(rng.randrange(6, 14)) for _ in range(12)) for _ in range(120)]
+    same = line(1)
+    odd = "\n".join(x for _ in range(30) for x in (same, same, same, line(9)))
+    out = quality.quality_rules(docs(spark, *[(n, t, "en", "s") for n, t in enumerate([*plain, odd])]), ["doc_id"]).toPandas().sort_values("doc_id")
+    assert out.kept.tolist() == [True] * 120 + [False] and not out.base_failed.iloc[-1]
+
+
 def test_quality_keeps_good_and_rejects_junk(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op7_quality(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id").toPandas()
