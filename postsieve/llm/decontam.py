@@ -4,30 +4,34 @@ The minimum of an item's shingles under a random order is a uniform draw from th
 shingles that a document has estimates how much of the item the document contains, however long the document is. (Comparing
 two fixed signatures would need thousands of values: a short item in a long document has a Jaccard similarity near 0.)
 Items are partitioned by size: up to PROBES shingles all are looked up; larger items have PROBES minima, and
-the number that a document must have follows from the threshold and a tolerance. Candidates are then verified on the words themselves.
+the number that a document must have follows from the threshold and a tolerance.
+
+The probes are a table. Documents are scanned once, however many items there are: their shingles pass a bit filter of the probes, and
+those that may be one are joined to the table. Documents with enough probes of an item are its candidates, which are then verified on the words
+themselves. Documents are known by a hash of their text on the way, so copies are looked up once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 from math import ceil, comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import SHINGLE_WORDS, SIMILARITY, bounded_batches
+from .common import SHINGLE_WORDS, SIMILARITY, bounded_batches, hinted, packed, saved, unpacked
 from .words import mixed, shingles, texts_words, word_hashes
 
 PROBES = 32
 #: Probability with which a contained item may be passed over by its minima.
 TOLERANCE = 1e-9
-#: Bytes of item texts that one scan of the documents looks for; more items are looked for in several scans.
-BLOCK_BYTES = 8 << 20
+#: The filter has this many bits for each probe, and at most 2 to this power: 32 MB, which each executor holds once. With more
+#: probes than its bits can tell apart, more shingles reach the join, which stays exact.
+FILTER_BITS, MOST_FILTER = 64, 28
+#: Rows (of probes, candidates or documents to leave out) that may be broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def least_hits(threshold: float, probes: int = PROBES, tolerance: float = TOLERANCE) -> int:
@@ -39,121 +43,132 @@ def least_hits(threshold: float, probes: int = PROBES, tolerance: float = TOLERA
     return h
 
 
-class Matcher:
-    """Looks for a block of items in texts. Small: it holds the items' shingles only, and goes to each task."""
-
-    def __init__(self, items: list[tuple[int, str]], k: int = SHINGLE_WORDS, threshold: float = SIMILARITY):
-        self.k, self.threshold = k, threshold
-        self.ids: list[int] = []
-        self.sets: list[set] = []
-        self.width: list[int] = []
-        probe, owner, weight, need = [], [], [], []
-        seeds = mixed(np.arange(1, PROBES + 1, dtype=np.uint64))
-        hits = least_hits(threshold)
-        for item, text in items:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            if not words:
-                continue
-            w = min(k, len(words))
-            h = np.unique(shingles(word_hashes([b" ".join(words)])[0], k))
-            n = len(self.ids)
-            if len(h) <= PROBES:
-                chosen, times = h, np.ones(len(h), np.int64)
-                need.append(ceil(threshold * len(h) - 1e-9))
-            else:
-                least = [int(np.argmin(mixed(h ^ s))) for s in seeds]
-                at, times = np.unique(least, return_counts=True)
-                chosen = h[at]
-                need.append(hits)
-            probe.append(chosen)
-            owner.append(np.full(len(chosen), n))
-            weight.append(times)
-            self.ids.append(item)
-            self.width.append(w)
-            self.sets.append({tuple(words[i : i + w]) for i in range(len(words) - w + 1)})
-        self.need = np.array(need, np.int64)
-        self.widths = sorted(set(self.width))
-        probe = np.concatenate(probe) if probe else np.empty(0, np.uint64)
-        order = np.argsort(probe, kind="stable")
-        self.probe = probe[order]
-        self.owner = (np.concatenate(owner) if owner else np.empty(0, np.int64))[order]
-        self.weight = (np.concatenate(weight) if weight else np.empty(0, np.int64))[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.probe & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def find(self, words: np.ndarray, text: Callable[[], bytes]) -> list[tuple[int, int, int]]:
-        """(item, shared, size) of the items that the text with these word hashes contains."""
-        if not len(words) or not len(self.probe):
-            return []
-        h = np.concatenate([shingles(words, w) for w in self.widths if w <= len(words)] or [np.empty(0, np.uint64)])
-        h = np.unique(h[self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]])
-        lo, hi = np.searchsorted(self.probe, h, "left"), np.searchsorted(self.probe, h, "right")
-        at = [i for a, b in zip(lo, hi, strict=True) for i in range(a, b)]
-        if not at:
-            return []
-        score = np.bincount(self.owner[at], self.weight[at], len(self.ids))
-        found, grams = [], {}
-        for n in np.flatnonzero((score > 0) & (score >= self.need)):
-            w = self.width[n]
-            if w not in grams:
-                own = text().split()
-                grams[w] = {tuple(own[i : i + w]) for i in range(len(own) - w + 1)}
-            shared = len(self.sets[n] & grams[w])
-            if shared >= self.threshold * len(self.sets[n]) - 1e-9:
-                found.append((self.ids[n], shared, len(self.sets[n])))
-        return found
-
-
-def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text", k: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> Iterator[Matcher]:
-    """The items in blocks of about BLOCK_BYTES, one after the other."""
-    bounded_batches(items.sparkSession)
-    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, ceil(size / BLOCK_BYTES))
-    for b in range(blocks):
-        yield Matcher([(r.id, r.text) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()], k, threshold)
+def item_probes(text: str | None, k: int, threshold: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(words in a shingle, weight that a document needs, probes, their weights) of an item; no probes without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    if not words:
+        return 0, 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = np.unique(shingles(word_hashes([b" ".join(words)])[0], k))
+    if len(h) <= PROBES:
+        return min(k, len(words)), ceil(threshold * len(h) - 1e-9), h, np.ones(len(h), np.int64)
+    least = [int(np.argmin(mixed(h ^ s))) for s in mixed(np.arange(1, PROBES + 1, dtype=np.uint64))]
+    at, times = np.unique(least, return_counts=True)
+    return min(k, len(words)), least_hits(threshold), h[at], times
+
+
+def _probe_rows(k: int, threshold: float):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = []
+            for number, text in zip(part.column("number").to_pylist(), part.column("text").to_pylist(), strict=True):
+                width, need, probes, weights = item_probes(text, k, threshold)
+                rows += [(number, width, need, p, w) for p, w in zip(probes.view(np.int64).tolist(), weights.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["number", "width", "need", "probe", "weight"])
+
+    return run
+
+
+def _bit_filter(probes: DataFrame, n_probes: int) -> tuple[np.ndarray, int]:
+    """A bit for the low bits of each probe, as bytes, and the number of these bits. Its size is bounded, and so is what the driver reads."""
+    power = min(MOST_FILTER, max(10, (n_probes * FILTER_BITS - 1).bit_length()))
+    low = F.col("probe").bitwiseAND(F.lit((1 << power) - 1))
+    bytes_ = probes.groupBy(F.shiftright(low, 3).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), low.bitwiseAND(F.lit(7)).cast("int"))).cast("short").alias("bits"))
+    found = bytes_.toArrow()
+    out = np.zeros(1 << (power - 3), np.uint8)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
+    return out, power
+
+
+def candidates(rows: DataFrame, items: DataFrame, k: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+    """(crc_, items_): for each text hash, the items (item, text) that a text with this hash may contain. ``rows`` has crc and text, ``items`` item and text.
+
+    The items of one text are together about as long as the text, as it has most of their words."""
+    spark = rows.sparkSession
+    items = saved(items.distinct().withColumn("number", F.monotonically_increasing_id()), "decontam-items")
+    probes = saved(items.select("number", "text").mapInArrow(_probe_rows(k, threshold), "number long, width long, need long, probe long, weight long"), "decontam-probes")
+    n_probes = probes.count()
+    widths = sorted(r.width for r in probes.select("width").distinct().collect())  # k at most
+    bits, power = _bit_filter(probes, n_probes)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        low = np.uint64((1 << power) - 1)
+        for part in parts:
+            at, found = [], []
+            for row, words in texts_words(part.column("text")):
+                h = np.concatenate([shingles(words, w) for w in widths if w <= len(words)] or [np.empty(0, np.uint64)])
+                place = h & low
+                h = np.unique(h[(table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                at += [row] * len(h)
+                found.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("crc").take(pa.array(at, pa.int32())), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], names=["crc", "probe"])
+
+    met = rows.select("crc", "text").mapInArrow(scan, "crc long, probe long").distinct()
+    hits = met.join(hinted(probes, n_probes, BROADCAST_ROWS), "probe").groupBy("crc", "number", "need").agg(F.sum("weight").alias("weight"))
+    near = saved(hits.where("weight >= need").select(F.col("crc").alias("crc_"), "number"), "decontam-near")
+    return saved(near.join(items, "number").groupBy("crc_").agg(F.collect_list(F.struct("item", "text")).alias("items_")), "decontam-candidates")
+
+
+def _verified(k: int, threshold: float):
+    """For each row, its text and its candidates: a row for each item that the text contains."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at, which, shared, sizes = [], [], [], []
+            first = 0
+            lists = part.column("items_")
+            for row, text in enumerate(part.column("text").to_pylist()):
+                own, grams = (text or "").encode("utf-8", "surrogatepass").split(), {}
+                wanted = lists[row].as_py()
+                for n, item in enumerate(wanted):
+                    words = (item["text"] or "").encode("utf-8", "surrogatepass").split()
+                    w = min(k, len(words))
+                    if w not in grams:
+                        grams[w] = {tuple(own[i : i + w]) for i in range(len(own) - w + 1)}
+                    parts_ = {tuple(words[i : i + w]) for i in range(len(words) - w + 1)}
+                    both = len(parts_ & grams[w])
+                    if both >= threshold * len(parts_) - 1e-9:
+                        at.append(row)
+                        which.append(first + n)
+                        shared.append(both)
+                        sizes.append(len(parts_))
+                first += len(wanted)
+            names = lists.flatten().field(0)
+            columns = [part.column("id").take(pa.array(at, pa.int32())), part.column("crc").take(pa.array(at, pa.int32())), names.take(pa.array(which, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shared, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "crc", "item", "shared", "item_shingles"])
+
+    return run
+
+
+def _contained(rows: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(id, crc, item, shared, item_shingles) of all pairs; ``rows`` has id, crc and text."""
+    bounded_batches(rows.sparkSession)
+    near = candidates(rows, items, k, threshold)
+    met = rows.join(hinted(near, near.count(), BROADCAST_ROWS), F.col("crc") == F.col("crc_")).select("id", "crc", "text", "items_")
+    return met.mapInArrow(_verified(k, threshold), f"id {dict(rows.dtypes)['id']}, crc long, item {dict(items.dtypes)['item']}, shared long, item_shingles long")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("crc"), F.col(text_col).alias("text"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
     """(id, item, shared, item_shingles, containment): the pairs in which the document holds at least ``threshold`` of the item's shingles.
 
     An item of fewer than k words is one shingle of its own length. Null and empty texts and items without words are in no
-    pair. Repeated documents give repeated rows; repeated items count once. Null ids are carried. Other columns are not
+    pair. Repeated documents give repeated rows; repeated items count once. Ids may be of any type; null ids are carried. Other columns are not
     looked at. An empty table on either side gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {dict(rows.dtypes)['id']}, item long, shared long, item_shingles long"
-
-    def scan(matcher: Matcher):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                column, at, found = part.column("text"), [], []
-                for row, words in texts_words(column):
-                    hits = matcher.find(words, lambda row=row: column[row].as_py().encode("utf-8", "surrogatepass"))
-                    at += [row] * len(hits)
-                    found += hits
-                values = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int32())), *values], names=["id", "item", "shared", "item_shingles"])
-
-        return rows.mapInArrow(run, schema)
-
-    found = reduce(DataFrame.unionByName, [scan(m) for m in matchers(items, item_id, item_text, k, threshold)])
+    found = _contained(_rows(docs, id_col, text_col), items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), k, threshold)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
-def contains_any(text: Column, matcher: Matcher) -> Column:
-    """Whether a text contains an item of the block."""
-
-    @pandas_udf("boolean")
-    def any_item(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.string())
-        return pd.Series([bool(matcher.find(words, lambda row=row: column[row].as_py().encode("utf-8", "surrogatepass"))) for row, words in texts_words(column)], dtype=bool)
-
-    return any_item(text)
-
-
-def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
-    for matcher in matchers(items, item_id, item_text):
-        docs = docs.where(~contains_any(F.col(text_col), matcher))
-    return docs
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns. What holds for ``contained_items`` holds here; rows are known by their text."""
+    rows = docs.select(F.octet_length(F.col(text_col)).alias("id"), F.xxhash64(F.col(text_col)).alias("crc"), F.col(text_col).alias("text"))
+    found = _contained(rows, items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), k, threshold)
+    gone = saved(found.select(F.col("id").alias("gone_size_"), F.col("crc").alias("gone_crc_")).distinct(), "decontam-gone")
+    tagged = docs.select(packed(docs), F.octet_length(F.col(text_col)).alias("size_"), F.xxhash64(F.col(text_col)).alias("crc_"))
+    left = tagged.join(hinted(gone, gone.count(), BROADCAST_ROWS), (F.col("crc_") == F.col("gone_crc_")) & (F.col("size_") == F.col("gone_size_")), "left_anti")
+    return left.select(*unpacked(docs.columns))

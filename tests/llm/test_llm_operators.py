@@ -332,12 +332,19 @@ def test_least_hits():
     assert sum(math.comb(32, i) * 0.8**i * 0.2 ** (32 - i) for i in range(h)) <= 1e-9 and 5 < h < 20
 
 
-def test_items_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
-    items = spark.createDataFrame([(n, " ".join(f"q{n}w{i}" for i in range(12))) for n in range(30)], "item_id long, text string")
+def test_many_items_in_one_scan(spark, monkeypatch):
+    """A filter too small to tell the probes apart, and joins by shuffles, find the same; item ids may be texts."""
+    items = spark.createDataFrame([(f"item {n}", " ".join(f"q{n}w{i}" for i in range(12 if n % 2 else 70))) for n in range(60)], "item_id string, text string")
     rows = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("text"))
-    assert sorted((r.doc_id, r.item_id) for r in decontam.contained_items(rows, items).collect()) == [(n, n) for n in range(30)]
-    assert decontam.without_items(rows, items).count() == 0
+    scans = []
+    for power, width in ((28, 200_000), (10, 0)):
+        monkeypatch.setattr(decontam, "MOST_FILTER", power)
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", width)
+        found = decontam.contained_items(rows, items)
+        assert sorted((r.doc_id, r.item_id) for r in found.collect()) == sorted((f"item {n}",) * 2 for n in range(60))
+        assert decontam.without_items(rows, items).count() == 0
+        scans.append(found._jdf.queryExecution().analyzed().toString().count("MapInArrow"))
+    assert scans == [1, 1]
 
 
 # 4: URLs
