@@ -6,9 +6,13 @@ counted and few (a stream's static side too); otherwise Spark joins by a shuffle
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import fresh
+
 #: Rows of a snapshot that may be broadcast; of some hundred bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -18,20 +22,23 @@ def _small(snapshot: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(snapshot) if snapshot.limit(most + 1).count() <= most else snapshot
 
 
-def _joined(messages: DataFrame, snapshot: DataFrame, key: str, to: str, added: dict[str, Column]) -> DataFrame:
-    """``messages`` with the added columns; those of the same names are replaced."""
+def _joined(messages: DataFrame, snapshot: DataFrame, key: str, to: str, added: dict[str, Callable[[Callable[[str], Column]], Column]]) -> DataFrame:
+    """``messages`` with the added columns; those of the same names are replaced, all others stay, whatever their names.
+
+    ``added`` speaks of the columns of the snapshot, with its key as _to; here they are the fields of one struct."""
+    key_, found_ = fresh(messages.columns, "key_", "found_")
     right = _small(snapshot).withColumnRenamed(to, "_to")
-    left = messages.drop(*[c for c in added if c != key])
-    out = left.join(right, left[key] == right["_to"], "left")
-    rest = [c for c in right.columns if c not in added]
-    return out.withColumns(added).drop(*rest)
+    right = right.select(F.col("_to").alias(key_), F.struct(*right.columns).alias(found_))
+    out = messages.join(right, messages[key] == right[key_], "left")
+    made = {name: make(lambda c: F.col(f"{found_}.{c}")) for name, make in added.items()}
+    kept = [F.col(f"`{c}`") for c in messages.columns if c not in made]
+    return out.select(*kept, *[c.alias(name) for name, c in made.items()])
 
 
 def enrich_dns(messages: DataFrame, dns: DataFrame) -> DataFrame:
     """dns_resolved and sender_ip (empty without one), from ``dns`` (domain, ip); of several addresses of a domain the smallest."""
     one = dns.groupBy("domain").agg(F.min("ip").alias("_ip"))
-    found = F.col("_to").isNotNull()
-    return _joined(messages, one, "sender_domain", "domain", {"dns_resolved": found, "sender_ip": F.coalesce("_ip", F.lit(""))})
+    return _joined(messages, one, "sender_domain", "domain", {"dns_resolved": lambda c: c("_to").isNotNull(), "sender_ip": lambda c: F.coalesce(c("_ip"), F.lit(""))})
 
 
 def mx_by_domain(mx: DataFrame) -> DataFrame:
@@ -43,13 +50,13 @@ def mx_by_domain(mx: DataFrame) -> DataFrame:
 
 def enrich_mx(messages: DataFrame, mx: DataFrame) -> DataFrame:
     """mx_records (array of hosts by preference) and valid_mx."""
-    hosts = F.coalesce("_hosts", F.array().cast("array<string>"))
-    return _joined(messages, mx_by_domain(mx).select("domain", "_hosts"), "sender_domain", "domain", {"mx_records": hosts, "valid_mx": F.size(hosts) > 0})
+    hosts = lambda c: F.coalesce(c("_hosts"), F.array().cast("array<string>"))
+    return _joined(messages, mx_by_domain(mx).select("domain", "_hosts"), "sender_domain", "domain", {"mx_records": hosts, "valid_mx": lambda c: F.size(hosts(c)) > 0})
 
 
 def enrich_mx_family(messages: DataFrame, mx: DataFrame) -> DataFrame:
     """is_mx_ipv4 and is_mx_ipv6: whether a mail host of the domain has an address of the family."""
-    flags = {"is_mx_ipv4": F.coalesce("_v4", F.lit(False)), "is_mx_ipv6": F.coalesce("_v6", F.lit(False))}
+    flags = {"is_mx_ipv4": lambda c: F.coalesce(c("_v4"), F.lit(False)), "is_mx_ipv6": lambda c: F.coalesce(c("_v6"), F.lit(False))}
     return _joined(messages, mx_by_domain(mx).select("domain", "_v4", "_v6"), "sender_domain", "domain", flags)
 
 
@@ -59,7 +66,7 @@ def _listed(rbl: DataFrame, zone: str | None) -> DataFrame:
 
 def enrich_rbl(messages: DataFrame, rbl: DataFrame, zone: str | None = None) -> DataFrame:
     """rbl_listed and rbl_name (the first zone by name; empty if not listed), for sender_ip in ``rbl`` (ip, zone), of one zone or all."""
-    return _joined(messages, _listed(rbl, zone), "sender_ip", "ip", {"rbl_listed": F.col("_to").isNotNull(), "rbl_name": F.coalesce("_zone", F.lit(""))})
+    return _joined(messages, _listed(rbl, zone), "sender_ip", "ip", {"rbl_listed": lambda c: c("_to").isNotNull(), "rbl_name": lambda c: F.coalesce(c("_zone"), F.lit(""))})
 
 
 def only_listed(messages: DataFrame, rbl: DataFrame, zone: str | None = None) -> DataFrame:
@@ -75,7 +82,7 @@ def only_clean(messages: DataFrame, rbl: DataFrame, zone: str | None = None) ->
 def enrich_mx_rbl(messages: DataFrame, mx: DataFrame, rbl: DataFrame, zone: str | None = None) -> DataFrame:
     """mx_in_rbl: whether an address of a mail host of the domain is listed."""
     domains = mx.join(_small(_listed(rbl, zone)), "ip", "left_semi").select("domain").distinct()
-    return _joined(messages, domains, "sender_domain", "domain", {"mx_in_rbl": F.col("_to").isNotNull()})
+    return _joined(messages, domains, "sender_domain", "domain", {"mx_in_rbl": lambda c: c("_to").isNotNull()})
 
 
 def resolve_domain(messages: DataFrame, dns: DataFrame, mx: DataFrame | None = None, verify: bool = False) -> DataFrame:
@@ -97,5 +104,5 @@ def attach_config(messages: DataFrame, config: DataFrame) -> DataFrame:
     names = {c: F.max(c).alias(f"_{c}") for c in ("instance_name", "content_filter", "content_filter_name")}
     pairs = F.sort_array(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "value"))))
     by_instance = one.groupBy("instance").agg(*names.values(), F.map_from_entries(pairs).alias("_rules"))
-    added = {c: F.coalesce(f"_{c}", F.lit("")) for c in names} | {"content_filter_rules": F.coalesce("_rules", F.create_map().cast("map<string,string>"))}
+    added = {n: lambda c, n=n: F.coalesce(c(f"_{n}"), F.lit("")) for n in names} | {"content_filter_rules": lambda c: F.coalesce(c("_rules"), F.create_map().cast("map<string,string>"))}
     return _joined(messages, by_instance, "instance", "instance", added)

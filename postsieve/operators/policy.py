@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import text_or_empty
+from ..schema import fresh, text_or_empty
 
 _NO_TEXTS = "array<string>"
 _EDIT = "array<struct<name:string,value:string>>"
@@ -35,78 +35,97 @@ def _emit(kind: str, *args: str | int | bool | Column) -> Effect:
 
 
 def accept() -> Effect:
+    """Take the message."""
     return _emit("accept")
 
 
 def discard() -> Effect:
+    """Throw the message away."""
     return _emit("discard")
 
 
 def drop() -> Effect:
+    """Drop the message without a word."""
     return _emit("drop")
 
 
 def bounce() -> Effect:
+    """Send the message back."""
     return _emit("bounce")
 
 
 def quarantine() -> Effect:
+    """Hold the message back."""
     return _emit("quarantine")
 
 
 def fileinto(folder: str | Column) -> Effect:
+    """Put the message into a folder."""
     return _emit("fileinto", folder)
 
 
 def auto_reply(text: str | Column) -> Effect:
+    """Answer with a text."""
     return _emit("auto_reply", text)
 
 
 def divert_to(address: str | Column) -> Effect:
+    """Send the message to another address instead."""
     return _emit("divert_to", address)
 
 
 def screen_to(address: str | Column) -> Effect:
+    """Send a copy to an address."""
     return _emit("screen_to", address)
 
 
 def skip_malware_check(sender: str | Column) -> Effect:
+    """No malware check for a sender."""
     return _emit("skip_malware_check", sender)
 
 
 def skip_spam_check(sender: str | Column) -> Effect:
+    """No spam check for a sender."""
     return _emit("skip_spam_check", sender)
 
 
 def skip_whitelist_check(ip: str | Column) -> Effect:
+    """No whitelist check for an address."""
     return _emit("skip_whitelist_check", ip)
 
 
 def force_second_pass(server: str | Column) -> Effect:
+    """Filter the message again, by a server."""
     return _emit("force_second_pass", server)
 
 
 def set_dlp(mode: str | Column, target: str | Column) -> Effect:
+    """Set a mode of data loss prevention for a target."""
     return _emit("set_dlp", mode, target)
 
 
 def skip_dlp(mode: str | Column, target: str | Column) -> Effect:
+    """Leave out a mode of data loss prevention for a target."""
     return _emit("skip_dlp", mode, target)
 
 
 def add_to_next_digest() -> Effect:
+    """List the message in the next digest."""
     return _emit("add_to_digest")
 
 
 def reply_with_smtp_error(code: int | Column) -> Effect:
+    """Answer with an SMTP error code."""
     return _emit("smtp_error", code)
 
 
 def reply_with_smtp_dsn(dsn: str | Column) -> Effect:
+    """Answer with a delivery status."""
     return _emit("smtp_dsn", dsn)
 
 
 def set_content_filter_rules(rules: str | Column) -> Effect:
+    """Set the rules of the content filter."""
     return _emit("set_filter_rules", rules)
 
 
@@ -169,24 +188,28 @@ def applied_headers(headers: Column, modified: Column) -> Column:
 def apply_policy(messages: DataFrame, policy: Policy) -> DataFrame:
     """``messages`` with actions, logs (arrays) and modified_headers (map); columns of these names are replaced.
 
-    A message with an error emits nothing. Conditions are worked out first, then the place of the first stopping rule that holds; a
-    rule fires when it holds and does not come after that place. All of it is one projection without a shuffle.
+    A message with an error emits nothing. The first stopping rule that holds is found first, by one conditional expression that goes no
+    further than that rule, so conditions after it are not worked out; the condition of another rule is looked at only before that
+    place. All of it is one projection without a shuffle. Other columns may have any names.
     """
     n = len(policy.rules)
     had_error = F.col("error").isNotNull() if "error" in messages.columns else F.lit(False)
+    holds_, stop_, edits_ = fresh([*messages.columns, "actions", "logs", "modified_headers"], "holds_", "stop_", "edits_")
     holds = [F.coalesce(r.when, F.lit(False)) for r in policy.rules]
-    rows = messages.withColumn("_holds", F.array(*holds).cast("array<boolean>"))
-    stops = [F.when(F.col("_holds")[i], i) for i, r in enumerate(policy.rules) if r.stop]
-    rows = rows.withColumn("_stop", F.coalesce(*stops, F.lit(n)))
-    fired = [F.col("_holds")[i] & (F.col("_stop") >= i) for i in range(n)]
+    stop = F.when(had_error, -1)
+    for i, r in enumerate(policy.rules):
+        stop = stop.when(holds[i], i) if r.stop else stop
+    rows = messages.withColumn(stop_, stop.otherwise(n))
+    passing = [i for i, r in enumerate(policy.rules) if not r.stop]
+    rows = rows.withColumn(holds_, F.array(*[(F.col(stop_) > i) & holds[i] for i in passing]).cast("array<boolean>"))
+    fired = {i: F.col(stop_) == i for i in range(n)} | {i: F.col(holds_)[place] for place, i in enumerate(passing)}
 
     def gathered(kind: str, of) -> Column:
         arrays = [F.when(fired[i], F.array(*found)).otherwise(F.array().cast(kind)) for i, r in enumerate(policy.rules) if (found := [x for e in r.effects if (x := of(e)) is not None])]
-        joined = F.concat(*arrays) if arrays else F.array().cast(kind)
-        return F.when(had_error, F.array().cast(kind)).otherwise(joined)
+        return F.concat(*arrays) if arrays else F.array().cast(kind)
 
     edit = lambda e: F.struct(e.header[0].alias("name"), e.header[1].alias("value")) if e.header else None
-    rows = rows.withColumns({"actions": gathered(_NO_TEXTS, lambda e: e.action), "logs": gathered(_NO_TEXTS, lambda e: e.log), "_edits": gathered(_EDIT, edit)})
+    rows = rows.withColumns({"actions": gathered(_NO_TEXTS, lambda e: e.action), "logs": gathered(_NO_TEXTS, lambda e: e.log), edits_: gathered(_EDIT, edit)})
     if policy.default_accept:
         rows = rows.withColumn("actions", F.when((F.size("actions") == 0) & ~had_error, F.array(F.lit("accept"))).otherwise(F.col("actions")))
-    return rows.withColumn("modified_headers", header_edits(F.col("_edits"))).drop("_holds", "_stop", "_edits")
+    return rows.withColumn("modified_headers", header_edits(F.col(edits_))).drop(holds_, stop_, edits_)

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.messages import from_columns
-from ..sources.tables import read_table
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names, or in a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/postsieve/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+from ..sources.tables import scratch as scratch
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: message_num, sender, recipient, subject, body, spam_score, sender_domain, src_no."""
-    docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     rows = docs.join(labels, "doc_id", "left")
     number, inside = F.col("doc_id").cast("string"), F.col("doc_id") % 10 == 0

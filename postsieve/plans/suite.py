@@ -454,6 +454,37 @@ def inbox_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbox.read_inbox_json(spark, path).select("sender", "sender_domain", fields.get_header("Subject").alias("subject"), fields.get_header("X-Num").alias("x_num"), "body", "spam_score")
 
 
+@query(
+    with_tables(MAIL_SQL)
+    + """SELECT CASE WHEN message_num % 4 = 0 THEN '' ELSE sender END AS sender, CASE WHEN message_num % 4 = 1 THEN '' ELSE subject END AS subject, CASE WHEN message_num % 4 IN (2, 3) THEN '' ELSE body END AS body,
+  CASE WHEN message_num % 4 = 3 THEN 0.0 ELSE spam_score END AS spam_score FROM mail"""
+)
+def inbox_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inbox rows in which one field has another JSON type than it should: a number, a truth value, an object, a text."""
+    path = fixtures.scratch(spark, "inbox")
+    kind = F.col("message_num") % 4
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x")))  # noqa: E731  {"x":...}
+    value = lambda c: F.substr(quoted(c), F.lit(6), F.length(quoted(c)) - 6)
+    line = F.concat(
+        F.lit('{"sender":'), F.when(kind == 0, F.col("message_num").cast("string")).otherwise(value("sender")),
+        F.lit(',"subject":'), F.when(kind == 1, "true").otherwise(value("subject")),
+        F.lit(',"body_plain":'), F.when(kind == 2, F.concat(F.lit('{"a":'), value("body"), F.lit("}"))).when(kind == 3, "[1]").otherwise(value("body")),
+        F.lit(',"spam_score":'), F.when(kind == 3, F.concat(F.lit('"'), F.col("spam_score").cast("string"), F.lit('"'))).otherwise(F.col("spam_score").cast("string")), F.lit("}"),
+    )
+    fixtures.mail(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return inbox.read_inbox_json(spark, path).select("sender", fields.get_header("Subject").alias("subject"), "body", "spam_score")
+
+
+@query(with_tables(MAIL_SQL) + "SELECT message_num, CASE message_num % 3 WHEN 0 THEN '10.' || src_no || '.0.' || message_num % 250 WHEN 1 THEN '192.0.2.' || src_no ELSE '' END AS ip FROM mail")
+def received_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address in the newest Received header of messages with several ones."""
+    number = F.col("message_num")
+    newest = F.when(number % 3 == 0, F.format_string("from a ([10.%d.0.%d]) by b", "src_no", number % 250)).when(number % 3 == 1, F.format_string("from 192.0.2.%d; 1.2.3.4.5", "src_no")).otherwise("from nowhere 1.2.3")
+    raw = F.concat(F.lit("From: x\nReceived: "), newest, F.lit("\nReceived: from c ([203.0.113.9])\n\n"), "body")
+    rows = parse.parse_messages(fixtures.mail(spark, sf_dir).select("message_num", "src_no", raw.alias("raw")))
+    return rows.select("message_num", fields.received_ip().alias("ip"))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = F.when(F.col("message_num") % 2 == 0, F.array("recipient")).otherwise(F.array("recipient", "sender"))
     headers = F.create_map(F.lit("Subject"), F.col("subject"), F.lit("X-Envelope-From"), F.lit("forged"))
@@ -571,11 +602,16 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("message_num", shown("actions").alias("actions"), "accepted", "reason")
 
 
-@query(with_tables(MAIL_SQL, _SPAM_SQL) + "SELECT count(*) AS processed, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected, CAST(sum(strlen(body)) AS BIGINT) AS bytes FROM spammed")
+@query(
+    with_tables(MAIL_SQL, _SPAM_SQL, "came AS (SELECT *, message_num % 2 = 0 AS smtp, message_num % 7 = 0 AS failed FROM spammed)")
+    + "SELECT count(*) FILTER (smtp OR NOT failed) AS processed, count(*) FILTER (accepted AND NOT failed) AS accepted, count(*) FILTER ((smtp OR NOT failed) AND NOT (accepted AND NOT failed)) AS rejected, CAST(sum(strlen(body)) FILTER (smtp) AS BIGINT) AS bytes FROM came"
+)
 def running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = feeds.process_stream(_mail_stream(spark, sf_dir), policies.spam_policy(SUBJECT, PHRASES, TRUSTED))
+    """Counters of a stream whose messages come by both paths, some with an error."""
+    failed = _mail_stream(spark, sf_dir).withColumn("error", F.when(F.col("message_num") % 7 == 0, "failed"))
+    results = feeds.process_stream(failed, policies.spam_policy(SUBJECT, PHRASES, TRUSTED))
     name = f"running_stats_{abs(hash(sf_dir)) % 10**8}"
-    writer = feeds.running_stats(results).writeStream.format("memory").queryName(name).outputMode("complete")
+    writer = feeds.running_stats(results, F.when(F.col("message_num") % 2 == 0, "smtp").otherwise("rpc")).writeStream.format("memory").queryName(name).outputMode("complete")
     writer.option("checkpointLocation", fixtures.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fields import sender_domain
 from ..schema import INBOX, text_or_empty
@@ -31,8 +32,20 @@ def inbox_messages(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read_inbox_json(spark: SparkSession, path: str, stream: bool = False, multi_line: bool = False, max_files: int | None = None) -> DataFrame:
-    """Messages from JSON files (one row a line, or one array a file with ``multi_line``). Fields of another type read as empty."""
-    reader = (spark.readStream if stream else spark.read).schema(INBOX).option("multiLine", multi_line)
+    """Messages from JSON files (one row a line, or one array a file with ``multi_line``). A text that is not a JSON string reads as empty, and a
+    score that is not a number as 0; a line that is no JSON is an empty message."""
+    kinds = T.StructType([T.StructField(f.name, T.VariantType()) for f in INBOX])
+    reader = (spark.readStream if stream else spark.read).schema(kinds).option("multiLine", multi_line)
     if stream and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return inbox_messages(reader.json(path))
+    rows = reader.json(path)
+    return inbox_messages(rows.select(*[_typed(f).alias(f.name) for f in INBOX]))
+
+
+def _typed(field: T.StructField) -> Column:
+    """The value of a variant column where JSON had this type, else null."""
+    value = F.col(field.name)
+    text = F.schema_of_variant(value) == "STRING"
+    if field.dataType == T.StringType():
+        return F.when(text, F.try_variant_get(value, "$", "string"))
+    return F.when(~text & (F.schema_of_variant(value) != "BOOLEAN"), F.try_variant_get(value, "$", "double"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import first_messages, number_messages
+from .tables import saved
 
+#: The largest limit whose file names the driver holds; beyond, names are numbered as a table.
+MOST_LISTED = 10_000
 _BOUNDARY = "\nFrom "
 
 
@@ -43,7 +46,8 @@ def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbe
     """Raw messages (raw, file_path, folder_rank, error) of a Maildir: files of cur before those of new, by name; subfolders and tmp are not read.
 
     A file that cannot be read is a row with an error, and the scan goes on. A missing folder counts as empty. Many small files: see
-    spark.sql.files.openCostInBytes.
+    spark.sql.files.openCostInBytes. Numbers are dealt to the names alone: ranges of them, as a table, are counted and numbered within, so no task sees
+    all names. With a ``limit`` only the files of the first names are read.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -56,11 +60,30 @@ def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbe
         glob = paths[0] if len(paths) == 1 else f"{path}/{{cur,new}}"
         rows = spark.readStream.option("wholetext", True).text(glob).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"))
         return rows.withColumn("folder_rank", rank).withColumn("error", F.lit(None).cast("string"))
+    if limit or numbered:
+        return _numbered_maildir(spark, paths, rank, limit)
+    return _read_files(spark, paths, paths, rank)
+
+
+def _numbered_maildir(spark: SparkSession, paths: list[str], rank: Column, limit: int | None) -> DataFrame:
+    names = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file_path")).withColumn("folder_rank", rank)
+    if limit and limit <= MOST_LISTED:
+        first = [r.file_path for r in names.orderBy("folder_rank", "file_path").limit(limit).collect()]
+        if not first:
+            return _read_files(spark, paths, paths, rank).withColumn("message_num", F.lit(0).cast("long")).limit(0)
+        numbers = spark.createDataFrame([(p, n + 1) for n, p in enumerate(first)], "file_path string, message_num long")
+        return _read_files(spark, first, first, rank).join(F.broadcast(numbers), "file_path").select("raw", "file_path", "folder_rank", "error", "message_num")
+    ranges = names.repartitionByRange("folder_rank", "file_path").withColumn("range", F.spark_partition_id())
+    ranges = saved(ranges, "maildir-names")
+    numbers = number_messages(ranges, [F.col("range")], "file_path").select("file_path", "message_num")
+    rows = _read_files(spark, paths, paths, rank).join(first_messages(numbers, limit), "file_path")
+    return rows.select("raw", "file_path", "folder_rank", "error", "message_num")
+
+
+def _read_files(spark: SparkSession, paths: list[str], listed: list[str], rank: Column) -> DataFrame:
+    """(raw, file_path, error, folder_rank) of whole files; of a file that is listed but cannot be read, the error."""
     read = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths, wholetext=True)
     read = read.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"))
-    names = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file_path"))
+    names = spark.read.format("binaryFile").load(listed).select(F.col("_metadata.file_path").alias("file_path"))
     lost = names.join(read.select("file_path"), "file_path", "left_anti").select(F.lit("").alias("raw"), "file_path", F.concat(F.lit("failed to read file: "), "file_path").alias("error"))
-    rows = read.withColumn("error", F.lit(None).cast("string")).unionByName(lost).withColumn("folder_rank", rank)
-    if limit or numbered:
-        rows = number_messages(rows, [F.col("folder_rank"), F.col("file_path")], None)
-    return first_messages(rows, limit)
+    return read.withColumn("error", F.lit(None).cast("string")).unionByName(lost).withColumn("folder_rank", rank)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import sender_domain
-from ..schema import text_or_empty
+from ..schema import fresh, text_or_empty
 
 _ENTRIES = "array<struct<k:string,v:string>>"
 
@@ -55,12 +55,13 @@ def parse_messages(raw: DataFrame, header_mode: str = "first", raw_col: str = "r
     first = header_mode == "first"
     parts = F.split(text_or_empty(F.col(raw_col)), r"(?:^|\r?\n)\r?\n", 2)
     had_error = F.col("error") if "error" in raw.columns else F.lit(None).cast("string")
-    rows = raw.withColumns({"error": had_error, "_parts": parts}).drop(raw_col)
-    rows = rows.withColumns({"header_block": F.get("_parts", F.lit(0)), "body": text_or_empty(F.get("_parts", F.lit(1))), "_blank": F.size("_parts") == 2}).drop("_parts")
+    parts_, blank_ = fresh([*raw.columns, "header_block", "body", "entries"], "parts_", "blank_")
+    rows = raw.withColumns({"error": had_error, parts_: parts}).drop(raw_col)
+    rows = rows.withColumns({"header_block": F.get(parts_, F.lit(0)), "body": text_or_empty(F.get(parts_, F.lit(1))), blank_: F.size(parts_) == 2}).drop(parts_)
     if first:
         lines = F.split(F.regexp_replace("header_block", r"\r?\n[ \t]+", " "), r"\r?\n")
         bad = F.get(F.filter(lines, lambda x: ~x.rlike(r"^[^:\s][^:]*:") & (x != "")), F.lit(0))
-        none = (F.trim(F.col("header_block"), F.lit("\r\n")) == "") & ~F.col("_blank")
+        none = (F.trim(F.col("header_block"), F.lit("\r\n")) == "") & ~F.col(blank_)
         problem = F.when(bad.isNotNull(), F.concat(F.lit("parse error: malformed header line: "), bad)).when(none, F.lit("parse error: EOF"))
         rows = rows.withColumn("error", F.coalesce("error", problem))
     good = F.col("error").isNull()
@@ -68,4 +69,4 @@ def parse_messages(raw: DataFrame, header_mode: str = "first", raw_col: str = "r
     rows = rows.withColumns({"headers": headers_map(F.col("entries"), not first), "received_headers": values_of(F.col("entries"), "Received"), "body": F.when(good, F.col("body")).otherwise(F.lit(""))})
     header = lambda n: text_or_empty(F.try_element_at(F.col("headers"), F.lit(n)))
     rows = rows.withColumns({"mime_type": header("Content-Type"), "sender": header("From"), "subject": header("Subject")})
-    return rows.withColumn("sender_domain", sender_domain(F.col("sender"), domain_mode)).drop("_blank")
+    return rows.withColumn("sender_domain", sender_domain(F.col("sender"), domain_mode)).drop(blank_)

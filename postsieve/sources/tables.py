@@ -1,16 +1,27 @@
-"""Tables from Parquet."""
+"""Tables that an operation makes on its way, in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table below this size may be a single row group, which is a single task; it is dealt out over the cores once.
-SMALL_BYTES = 256 << 20
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names. Where that is unset, as in tests, a new local folder is
+    set for the session; on a cluster it has to be set, as executors do not share local folders."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/postsieve/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet table at ``path``, in any store that Spark reads. Large tables are read as they lie, without a shuffle."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    rows = spark.read.parquet(path)
-    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back, so that what is counted and what is numbered are the same rows."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.policy import Policy, apply_policy
+from ..operators.stats import gateway_stats
 from ..operators.verdicts import verdict
+from ..schema import fresh
 from ..sources.inbox import read_inbox_json
 
 
@@ -27,11 +29,12 @@ def monitor(spark: SparkSession, path: str, policy: Policy, out: str, checkpoint
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def running_stats(results: DataFrame) -> DataFrame:
-    """Counters since the start: processed, accepted, rejected, bytes. For complete or update mode."""
-    return results.groupBy().agg(
-        F.count("*").alias("processed"),
-        F.count_if("accepted").alias("accepted"),
-        F.count_if(~F.col("accepted")).alias("rejected"),
-        F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).cast("long").alias("bytes"),
-    )
+def running_stats(results: DataFrame, path: str | Column = "rpc") -> DataFrame:
+    """Counters since the start: processed, accepted, rejected, bytes. For complete or update mode.
+
+    ``path`` says by which path messages came, smtp or rpc: a text for all of them or a column. As in ``gateway_stats``, only the SMTP path
+    counts messages with an error, as rejected, and bytes.
+    """
+    path_, bytes_ = fresh(results.columns, "path_", "bytes_")
+    rows = results.withColumns({path_: path if isinstance(path, Column) else F.lit(path), bytes_: F.octet_length("body").cast("long")})
+    return gateway_stats(rows, path_, bytes_)
