@@ -1,8 +1,12 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above that has a license file.
 
 Every line of a whole text, every run of up to WINDOW lines and every run of as many terms as a template has, across line ends, is a
-candidate statement. Its TF-IDF vector is compared with those of
-the templates, with document frequencies over all files. Only runs that hold a telling term are compared: terms are telling
+candidate statement. Its TF-IDF vector is compared with those of the templates (statements, and whole license texts and notices), with
+document frequencies of all terms over all files.
+
+The frequencies are a table. A scan of the texts knows those of the terms of templates only, and takes the least possible weight for all other terms, so it
+gives an upper bound of each cosine; runs whose bound reaches the threshold are kept with their other terms, which are then joined
+to the table for the exact cosine. Only runs that hold a telling term are looked at: terms are telling
 unless the other ones of some template could reach the threshold by themselves, so nothing that could match is passed over.
 Where no grant is stated, the title of a license text counts, if its terms follow each other.
 """
@@ -14,57 +18,29 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .common import bounded_batches, hinted, packed, saved, unpacked
+from .license_texts import STATEMENTS, TEXTS, TITLES
 
-# Short statements by which works are put under public licenses, by SPDX id.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal public domain"),
-    ("LicenseRef-all-rights-reserved", "All rights reserved."),
-]
-#: Titles of license texts, compared term by term: a cosine of so few terms would take one of them for the whole.
-TITLES = [
-    ("Apache-2.0", "Apache License Version 2.0"),
-    ("Apache-2.0", "Apache License 2.0"),
-    ("MIT", "MIT License"),
-    ("GPL-3.0", "GNU General Public License Version 3"),
-    ("BSD-3-Clause", "BSD 3-Clause License"),
-    ("MPL-2.0", "Mozilla Public License Version 2.0"),
-    ("MPL-2.0", "Mozilla Public License 2.0"),
-    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
-    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
-    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
-    ("CC0-1.0", "CC0 1.0 Universal"),
-]
+#: Templates in order; of equally near ones the first counts.
+TEMPLATES = STATEMENTS + TEXTS
 #: The template that grants nothing; a title that stands beside it counts more.
 RESERVED = "LicenseRef-all-rights-reserved"
 THRESHOLD = 0.8
 WINDOW = 3
 #: Directories whose nearest licenses may be broadcast: some 200 bytes each.
 BROADCAST_DIRS = 50_000
-_TERM = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+#: Rows of a table of terms that may be broadcast; beyond, it is joined by a shuffle.
+BROADCAST_TERMS = 200_000
+TERM = r"[0-9a-z]+(?:[.-][0-9a-z]+)*"
+_TERM = re.compile(TERM)
+#: The least inverse document frequency that a term can have: that of one in all files.
+LEAST_IDF = 1.0
 
 
 def terms(text: str) -> list[str]:
@@ -76,29 +52,24 @@ VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
 _TITLES = [(name, f" {' '.join(terms(text))} ") for name, text in TITLES]
 
 
-def document_frequencies(files: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of files and, for each term of the templates, of files that hold it."""
+def document_frequencies(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n) for all terms of all files, as a table: the number of files that hold the term."""
+    each = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), 0))).alias("term"))
+    return saved(each.groupBy("term").agg(F.count("*").alias("n")), "license-terms")
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen, n = set(VOCABULARY), Counter(), 0
-        for part in parts:
-            for text in part.column(0).to_pylist():
-                n += 1
-                seen.update(wanted.intersection(terms(text or "")))
-        yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
 
-    rows = files.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r.term: r.n for r in rows}
-    return found.pop(None, 0), found
+def idf(n_files: int, n: int) -> float:
+    """The inverse document frequency of a term that n of the files hold."""
+    return log((n_files + 1) / (n + 1)) + 1
 
 
 class Scanner:
-    """Best template of a text. Holds the weights of the fixed templates only."""
+    """Runs of a text that may be near a template. Holds the weights of the terms of the templates only; all other terms have the least weight."""
 
     def __init__(self, n_files: int, frequency: dict[str, int], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.idf = {t: log((n_files + 1) / (frequency.get(t, 0) + 1)) + 1 for t in VOCABULARY}
-        self.unknown = log(n_files + 1) + 1
+        self.idf = {t: idf(n_files, frequency.get(t, 0)) for t in VOCABULARY}
+        self.unknown = LEAST_IDF
         self.names, self.vectors, self.lengths = [], [], [len(terms(text)) for _, text in TEMPLATES]
         for name, text in TEMPLATES:
             v = {t: c * self.idf[t] for t, c in Counter(terms(text)).items()}
@@ -117,31 +88,27 @@ class Scanner:
             for t, x in v.items():
                 self.index.setdefault(t, []).append((n, x))
 
-    def score(self, found: list[str]) -> tuple[float, int]:
-        """The highest cosine and its template; the first of equal ones."""
-        dots, norm = Counter(), 0.0
-        for t, c in Counter(found).items():
-            w = c * self.idf.get(t, self.unknown)
-            norm += w * w
+    def bounds(self, found: list[str]) -> list[tuple[int, float, float, Counter]]:
+        """For each template that a run may be near: (template, dot product, squared length by known terms, the other terms)."""
+        counts = Counter(found)
+        dots, known, others = Counter(), 0.0, Counter()
+        for t, c in counts.items():
+            w = self.idf.get(t)
+            if w is None:
+                others[t] = c
+                continue
+            known += (c * w) ** 2
             for n, x in self.index.get(t, ()):
-                dots[n] += w * x
-        if not dots:
-            return 0.0, -1
-        n = min(dots, key=lambda n: (-round(dots[n], 9), n))
-        return round(dots[n] / sqrt(norm), 6), n
-
-    def scan(self, text: str | None) -> tuple[str | None, float | None]:
-        """(license, cosine) of the best run of lines, or nothing where none reaches the threshold."""
-        lines = [terms(x) for x in (text or "").split("\n")]
-        lines = [x for x in lines if x]
+                dots[n] += c * w * x
+        least = known + sum((c * self.unknown) ** 2 for c in others.values())
+        return [(n, dot, known, others) for n, dot in sorted(dots.items()) if dot >= (self.threshold - 1e-6) * sqrt(least)]
+
+    def line_runs(self, text: str) -> Iterator[list[str]]:
+        """The terms of each run of lines that holds a telling term."""
+        lines = [x for x in (terms(x) for x in text.split("\n")) if x]
         near = [i for i, x in enumerate(lines) if not self.telling.isdisjoint(x)]
-        runs = {(a, a + k) for i in near for k in range(1, WINDOW + 1) for a in range(max(0, i - k + 1), i + 1) if a + k <= len(lines)}
-        best = (0.0, -1)
-        for a, b in sorted(runs):
-            s = self.score([t for x in lines[a:b] for t in x])
-            if s[0] > best[0] or s[0] == best[0] and s[1] < best[1]:
-                best = s
-        return (self.names[best[1]], best[0]) if best[0] >= self.threshold else (None, None)
+        for a, b in sorted({(a, a + k) for i in near for k in range(1, WINDOW + 1) for a in range(max(0, i - k + 1), i + 1) if a + k <= len(lines)}):
+            yield [t for x in lines[a:b] for t in x]
 
     def near(self, found: list[str], n: int) -> Iterator[int]:
         """First places of the runs of terms, of the length of template ``n``, that reach the threshold with it; those with a telling term of it are tried."""
@@ -165,42 +132,75 @@ class Scanner:
                 if dot >= (self.threshold - 1e-6) * sqrt(max(norm, 0.0)):
                     yield a
 
-    def statement(self, text: str | None) -> tuple[str | None, float | None]:
-        """(license, cosine) of the best run of lines or of terms, else of a title (cosine 1), or nothing where there is none."""
-        license, cosine = self.scan(text)
+    def runs(self, text: str | None) -> list[tuple[int, float, float, Counter]]:
+        """``bounds`` of all runs of lines or terms. Once a run without other terms, whose cosine is thus exact, is found, only runs that may be nearer are kept."""
+        kept: list[tuple[int, float, float, Counter]] = []
+        best = 0.0
+
+        def add(run: list[str], only: int | None = None) -> None:
+            nonlocal best
+            for n, dot, known, others in self.bounds(run):
+                if only is None or n == only:
+                    kept.append((n, dot, known, others))
+                    if not others:
+                        best = max(best, dot / sqrt(known))
+
+        for run in self.line_runs(text or ""):
+            add(run)
         found = terms(text or "")
         present = set(found)
-        if not self.telling.isdisjoint(present) and cosine != 1.0:
-            best = (cosine, self.names.index(license)) if license else (self.threshold, len(self.names))
+        if not self.telling.isdisjoint(present) and best < 1 - 1e-9:
             for n, v in enumerate(self.vectors):
                 # no run has a higher cosine than the template's share of the terms that the text has at all
                 if sum(x * x for t, x in v.items() if t in present) < self.threshold**2 - 1e-6:
                     continue
                 for a in self.near(found, n):
-                    s = self.score(found[a : a + self.lengths[n]])
-                    if s[0] > best[0] or s[0] == best[0] and s[1] < best[1]:
-                        best = s
-            if best[1] < len(self.names):
-                cosine, license = best[0], self.names[best[1]]
-        if license in (None, RESERVED) and not present.isdisjoint(("license", "creative", "cc0")):
-            joined = f" {' '.join(found)} "
-            for name, title in _TITLES:
-                if title in joined:
-                    return name, 1.0
-        return license, cosine
+                    add(found[a : a + self.lengths[n]], n)
+        bound = lambda r: r[1] / sqrt(r[2] + sum((c * self.unknown) ** 2 for c in r[3].values()))
+        left = {(n, round(dot, 12), round(known, 12), tuple(sorted(others.items()))): (n, dot, known, others) for n, dot, known, others in kept if bound((n, dot, known, others)) >= best - 1e-6}
+        return list(left.values())
+
+
+def title_of(text: str | None) -> str | None:
+    """The license whose title has its terms in a row in the text; the first one in the list."""
+    found = terms(text or "")
+    if {"license", "creative", "cc0"}.isdisjoint(found):
+        return None
+    joined = f" {' '.join(found)} "
+    return next((name for name, title in _TITLES if title in joined), None)
+
+
+_RUNS = "array<struct<template:int,dot:double,known:double,others:array<struct<term:string,n:int>>>>"
 
 
 def _scanned(scanner: Scanner, text: Column) -> Column:
-    kind = T.StructType([T.StructField("license", T.StringType()), T.StructField("cosine", T.DoubleType())])
+    """(title, runs) of a text."""
+    other = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.IntegerType())])
+    run = T.StructType([T.StructField("template", T.IntegerType()), T.StructField("dot", T.DoubleType()), T.StructField("known", T.DoubleType()), T.StructField("others", T.ArrayType(other))])
+    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("runs", T.ArrayType(run))])
 
     @pandas_udf(kind)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        found = [scanner.statement(t) for t in texts]
-        return pd.DataFrame({"license": [f[0] for f in found], "cosine": np.array([f[1] for f in found], float)})
+        rows = [(title_of(t), [{"template": n, "dot": dot, "known": known, "others": [{"term": x, "n": c} for x, c in others.items()]} for n, dot, known, others in scanner.runs(t)]) for t in texts]
+        return pd.DataFrame(rows, columns=["title", "runs"])
 
     return scan(text)
 
 
+def _nearest_templates(found: DataFrame, frequencies: DataFrame, n_files: int, threshold: float) -> DataFrame:
+    """``found`` (row_no, scan_, ...) with cosine_ and template_ of the nearest run, both null where none reaches the threshold."""
+    runs = found.where(F.size("scan_.runs") > 0).select("row_no", F.posexplode("scan_.runs").alias("run", "r"))
+    others = runs.select("row_no", "run", F.explode("r.others").alias("o")).select("row_no", "run", F.col("o.term").alias("term"), F.col("o.n").alias("times"))
+    weighed = others.join(hinted(frequencies, frequencies.count(), BROADCAST_TERMS), "term")
+    weight = F.col("times") * (F.log(F.lit(n_files + 1.0) / (F.col("n") + 1)) + 1)
+    lengths = weighed.groupBy("row_no", "run").agg(F.sum(weight * weight).alias("rest"))
+    cosine = F.round(F.col("r.dot") / F.sqrt(F.col("r.known") + F.coalesce("rest", F.lit(0.0))), 6)
+    exact = runs.join(lengths, ["row_no", "run"], "left").select("row_no", cosine.alias("cosine"), F.col("r.template").alias("template")).where(F.col("cosine") >= threshold)
+    best = exact.groupBy("row_no").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template")).alias("best"))
+    best = saved(best.select(F.col("row_no").alias("best_no"), (-F.col("best.less")).alias("cosine_"), F.col("best.template").alias("template_")), "license-best")
+    return found.join(hinted(best, best.count(), BROADCAST_DIRS), F.col("row_no") == F.col("best_no"), "left").drop("best_no")
+
+
 def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path", text_col: str = "text", file_names: str = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$") -> DataFrame:
     """``columns`` of each row of ``files`` with path, license, cosine, origin (header, inherited or none) and license_dir.
 
@@ -210,9 +210,15 @@ def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path",
     are replaced. An empty table gives no rows.
     """
     bounded_batches(files.sparkSession)
-    scanner = Scanner(*document_frequencies(files, text_col))
-    found = files.select(packed(files, columns), F.col(path_col).alias("path"), _scanned(scanner, F.col(text_col)).alias("own_"))
-    found = saved(found.select("*", F.col("own_.license").alias("license_"), F.when(F.col("own_.license").isNotNull(), F.col("own_.cosine")).alias("cosine_")).drop("own_"), "license-own")
+    n_files, frequencies = files.count(), document_frequencies(files, text_col)
+    known = {r.term: r.n for r in frequencies.where(F.col("term").isin(VOCABULARY)).collect()}
+    found = files.select(packed(files, columns), F.col(path_col).alias("path"), _scanned(Scanner(n_files, known), F.col(text_col)).alias("scan_"))
+    found = saved(found.withColumn("row_no", F.monotonically_increasing_id()), "license-runs")
+    found = _nearest_templates(found, frequencies, n_files, THRESHOLD)
+    stated = F.get(F.array(*[F.lit(name) for name, _ in TEMPLATES]), F.col("template_"))
+    titled = F.col("scan_.title").isNotNull() & (stated.isNull() | (stated == RESERVED))
+    found = found.select("row_", "path", F.when(titled, F.col("scan_.title")).otherwise(stated).alias("license_"), F.when(titled, 1.0).otherwise(F.col("cosine_")).alias("cosine_"))
+    found = saved(found, "license-own")
     parts = F.split("path", "/")
     home = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     name = F.element_at(parts, -1)
