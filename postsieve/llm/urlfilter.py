@@ -5,7 +5,7 @@ that starts with theirs. A URL is looked up under its canonical form and under e
 rule could have. Most keys end at the filter; the rest meet the list in a join on the key itself, which removes false positives.
 
 The filter has blocks of eight 32-bit words, and a key sets one bit of each word of one block. Its size is known from the
-number of entries before it is built. It is broadcast within MOST_BLOCKS; a longer list goes straight to the exact join.
+number of entries before it is built. It is broadcast within MOST_BLOCKS; the blocks of a longer list meet the keys in a join by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, saved, unpacked
+from .common import hinted, packed, saved, unpacked
 
 #: Entries for each block of 256 bits (one false positive in several thousand), and the blocks that may be broadcast.
 KEYS_PER_BLOCK, MOST_BLOCKS = 12, 1 << 17
@@ -62,11 +62,11 @@ def bloom_filter(keys: DataFrame, entries: int) -> tuple[DataFrame, int]:
 
 
 def possible(lookups: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
-    """The rows of ``lookups`` (key, ...) whose key may be listed."""
+    """The rows of ``lookups`` (key, ...) whose key may be listed. A filter of more than MOST_BLOCKS blocks is joined by a shuffle."""
     inside = F.lit(True)
     for i, b in enumerate(_bits(F.col("key"))):
         inside = inside & (F.col(f"w{i}").bitwiseAND(b) != 0)
-    probed = lookups.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(bloom), "block")
+    probed = lookups.withColumn("block", _block(F.col("key"), blocks)).join(hinted(bloom, blocks, MOST_BLOCKS), "block")
     return probed.where(inside).drop("block", *[f"w{i}" for i in range(8)])
 
 
@@ -79,7 +79,9 @@ def filter_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     rule and is not listed. Each distinct URL is judged once; a URL that very many rows share is met in a join that
     Spark may split. Columns of ``urls`` with the new names are replaced; others stay. Empty tables are allowed.
     """
-    distinct = saved(urls.select(F.col(url_col).alias("url_")).where("url_ is not null").distinct(), "url-distinct")
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out, as the list may be short but the work for each URL is not
+    distinct = saved(urls.select(F.col(url_col).alias("url_")).where("url_ is not null").distinct().repartition(parts, "url_"), "url-distinct")
     known = distinct.select("url_", host_of(F.col("url_")).alias("host_"), path_of(F.col("url_")).alias("path_"), canonical(F.col("url_")).alias("form_"))
 
     rules = rules.select(F.concat("host", "path").alias("rule_"), "host", "path", "verdict").where("rule_ is not null")
@@ -94,13 +96,12 @@ def filter_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     at_most = F.lit(shape.labels or 0)
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), at_most)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     suffixes = F.when((at_most > 0) & (F.col("host_") != ""), suffixes).otherwise(F.array().cast("array<string>"))
-    heads = F.array(*[F.substring("path_", 1, n) for n in sorted(shape.lengths or [])]).cast("array<string>")
+    lengths = F.filter(F.lit(sorted(shape.lengths)) if shape.lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path_"))
+    heads = F.transform(lengths, lambda n: F.substr("path_", F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda h: F.concat(F.lit("r"), s, F.lit("\x1f"), h))))
     keys = F.array_distinct(F.concat(pairs, F.array(F.concat(F.lit("u"), F.col("form_")))))
     lookups = known.select("url_", F.explode(keys).alias("key")).where("key is not null")
-    bloom, blocks = bloom_filter(entries, count)
-    if blocks <= MOST_BLOCKS:
-        lookups = possible(lookups, bloom, blocks)
+    lookups = possible(lookups, *bloom_filter(entries, count))
     exact = lookups.join(F.broadcast(entries) if count <= BROADCAST_ENTRIES else entries, "key")
     hits = exact.groupBy("url_").agg(
         F.min(F.when(F.col("rule_").isNotNull(), F.struct((-F.length("rule_")).alias("less"), "rule_", "rule_verdict_"))).alias("best"),

@@ -368,6 +368,14 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df, rules.limit(0), listed.limit(0)).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_long_filters_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "MOST_BLOCKS", 10)
+    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    bloom, blocks = urlfilter.bloom_filter(keys, 5000)
+    kept = urlfilter.possible(keys, bloom, blocks)
+    assert blocks > 10 and kept.count() == 5000 and "ResolvedHint" not in kept._jdf.queryExecution().analyzed().toString()
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom, blocks = urlfilter.bloom_filter(keys, 5000)
