@@ -155,12 +155,12 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = "postsieve") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text replaced by one that has pseudonyms, and pii (array of kind, value length and pseudonym for each found one, in order).
 
     The text is cut at the matches and put together again, so all else stays as it was. A null text stays null and has no
     finds; an empty text stays empty. A number that fails its check (a card's Luhn sum, a day that no calendar has) is left alone.
-    A column pii is replaced; others stay. Repeated rows get equal results. The key must be kept secret to keep pseudonyms so.
+    A column pii is replaced; others stay. Repeated rows get equal results. The ``key`` must be kept secret to keep pseudonyms so: who has it can undo them.
     """
     text = F.col(f"`{text_col}`")
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))

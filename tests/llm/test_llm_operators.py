@@ -414,7 +414,7 @@ def test_feistel_is_the_permutation_of_the_brute_force(spark):
 def test_pseudonyms(spark):
     text = "Card 4111 1111 1111 1111, 4111-1111-1111-1111 or 4111111111111111; not 4111111111111112. On 2024-02-29, not 2023-02-29; a.Bc-1@x-y.example.com +1 (599) 555-3756 ip 10.0.0.255 not 10.0.0.256 h 0123456789abcdef0123456789abcdef."
     df = docs(spark, (1, text), (2, text), (3, None), (4, ""), (5, "nothing 12 here"), (6, LONG), (7, "@" * 1000 + "a@" * 1000), (8, "1" * 100_000))
-    rows = {r.doc_id: r for r in pii.pseudonymize(clashing(df)).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymize(clashing(df), "k").collect()}
     one = rows[1]
     assert one.text == rows[2].text != text and rows[3].text is None and rows[4].text == "" and rows[5].text == "nothing 12 here" and rows[6].text == LONG and not rows[5].pii
     shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))
@@ -427,15 +427,94 @@ def test_pseudonyms(spark):
     assert all(0 <= int(x) < 256 for x in one.pii[6].pseudonym.split(".")) and re.fullmatch("[0-9a-f]{32}", one.pii[7].pseudonym)
     for left_alone in ("4111111111111112", "2023-02-29", "10.0.0.256"):
         assert left_alone in one.text
-    other = {r.doc_id: r.text for r in pii.pseudonymize(df, key="other").collect()}
+    other = {r.doc_id: r.text for r in pii.pseudonymize(df, "other").collect()}
     assert other[1] != one.text
-    assert pii.pseudonymize(df.limit(0)).count() == 0
+    assert pii.pseudonymize(df.limit(0), "k").count() == 0
+
+
+def brute_kind(value):
+    for kind, pattern in pii.KINDS.items():
+        if re.fullmatch(pattern, value):
+            if kind == "card" and not luhn([int(c) for c in value if c.isdigit()]):
+                return None
+            if kind == "date":
+                try:
+                    datetime.date.fromisoformat(value)
+                except ValueError:
+                    return None
+            return kind
+    return None
+
+
+def brute_characters(value, key, label, letters=26, spaced=True):
+    sets = ("0123456789", pii.LETTERS, pii.LETTERS.upper())
+    which = {c: n for n, x in enumerate(sets) for c in x}
+    known = [c for c in value if c in which]
+    shape = "".join(str(which.get(c, c)) for c in value) if spaced else ""
+    moved = iter(long_feistel([sets[which[c]].index(c) for c in known], [10 if which[c] == 0 else letters for c in known], key, label + shape))
+    return "".join(sets[which[c]][next(moved)] if c in which else c for c in value)
+
+
+def long_feistel(digits, radix, key, label):
+    """As brute_feistel, with the seeds of long values hashed first."""
+    n, half, state = len(digits), len(digits) // 2, list(digits)
+    for turn in range(pii.ROUNDS):
+        left = turn % 2 == 0
+        seed = f"{key},{label},{turn},{'.'.join(map(str, state[half:] if left else state[:half]))}"
+        seed = hashlib.sha256(seed.encode()).hexdigest() if n > 128 else seed
+        for i in range(half) if left else range(half, n):
+            h = hashlib.sha256(f"{seed}:{i // 5}".encode()).hexdigest()[i % 5 * 12 :][:12]
+            state[i] = (state[i] + int(h, 16)) % radix[i]
+    return state
+
+
+def brute_pseudonym(value, key):
+    kind = brute_kind(value)
+    if kind == "email":
+        local, domain = value.split("@", 1)
+        return brute_characters(local, key, "email") + "@" + domain
+    if kind == "secret":
+        return brute_characters(value, key, "secret", 6)
+    if kind == "phone":
+        prefix = re.match(pii._COUNTRY, value)[0]
+        return prefix + brute_characters(value[len(prefix) :], key, "phone", spaced=False)
+    if kind == "ip":
+        return ".".join(map(str, brute_feistel([int(x) for x in value.split(".")], [256] * 4, key, "ip")))
+    if kind == "card":
+        body = brute_feistel([int(c) for c in value if c.isdigit()][:15], [10] * 15, key, "card")
+        check = next(c for c in range(10) if luhn([*body, c]))
+        made = iter([*body, check])
+        return "".join(str(next(made)) if c.isdigit() else c for c in value)
+    if kind == "date":
+        first = datetime.date(int(value[:2]) * 100, 1, 1)
+        days = (datetime.date(first.year + 100, 1, 1) - first).days
+        pair = divmod((datetime.date.fromisoformat(value) - first).days, 192)
+        while True:
+            pair = brute_feistel(list(pair), [192] * 2, key, "date" + value[:2])
+            if pair[0] * 192 + pair[1] < days:
+                return (first + datetime.timedelta(pair[0] * 192 + pair[1])).isoformat()
+    return value
+
+
+def test_whole_texts_match_brute_force(spark):
+    """Finding, replacing and putting together, on all test texts and on some with every kind."""
+    extra = ["a@b.cc 4111 1111 1111 1111 2024-02-29 10.1.2.3 +49 (30) 1234-5678 " + "0123456789abcdef" * 20, "x" * 50 + "@" + "y.z" * 3, "2000-01-01,2099-12-31;1999-12-31 +1 555 1234567 1.2.3.4.5 _q@r.st_"]
+    frame = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - n, t) for n, t in enumerate(extra)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    found = 0
+    for r in pii.pseudonymize(frame, "a key").collect():
+        text = texts[r.doc_id]
+        values = [m[0] for m in re.finditer(pii.PATTERN, text)] if re.search(pii.HINT, text) else []
+        assert r.text == re.sub(pii.PATTERN, lambda m: brute_pseudonym(m[0], "a key"), text)
+        assert [(p.kind, p.length, p.pseudonym) for p in r.pii] == [(brute_kind(v), len(v), brute_pseudonym(v, "a key")) for v in values if brute_kind(v)]
+        found += len(r.pii)
+    assert found > 100
 
 
 def test_secrets_of_any_case_and_length(spark):
     tokens = ["9233A8EC" * 4, "0123456789abcdef" * 8, "AbCdEf01" * 5, "c0ffee" * 200]
     df = docs(spark, (1, f'TOKEN = "{tokens[0]}" {tokens[1]}, {tokens[2]}'), (2, tokens[3]), (3, "g" + tokens[0]), (4, tokens[0][:31]), (5, tokens[0]), (6, "A" * 100_000 + "g"))
-    rows = {r.doc_id: r for r in pii.pseudonymize(df).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
     made = [p.pseudonym for n in (1, 2) for p in rows[n].pii]
     case = lambda t: re.sub("[a-f]", "a", re.sub("[A-F]", "A", re.sub("[0-9]", "0", t)))
     assert [p.kind for n in (1, 2) for p in rows[n].pii] == ["secret"] * 4 and [case(m) for m in made] == [case(t) for t in tokens]
@@ -446,7 +525,7 @@ def test_secrets_of_any_case_and_length(spark):
 def test_phones_end_before_other_numbers_and_link(spark):
     phone = "+1 (826) 555-4081"
     texts = [phone, f"{phone} 190.137.223.204", f"{phone} 4111 1111 1111 1111", f"{phone} 2024-02-29", f"{phone} 190.5", "+1 826 555 4081", "+18265554081", "+44 20 7946 0958"]
-    rows = {r.doc_id: r for r in pii.pseudonymize(docs(spark, *enumerate(texts))).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymize(docs(spark, *enumerate(texts)), "k").collect()}
     kinds = [[p.kind for p in rows[n].pii] for n in range(len(texts))]
     assert kinds == [["phone"], ["phone", "ip"], ["phone", "card"], ["phone", "date"], ["phone"], ["phone"], ["phone"], ["phone"]]
     made = rows[0].pii[0].pseudonym
@@ -457,7 +536,7 @@ def test_phones_end_before_other_numbers_and_link(spark):
 
 def test_addresses_after_marks(spark):
     texts = ["_john@x.com_", "-john@x.com", "...john@x.com", "%+john@x.com", "see +john.doe@x.com.", "._%+-" * 20_000]
-    rows = {r.doc_id: r for r in pii.pseudonymize(docs(spark, *enumerate(texts))).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymize(docs(spark, *enumerate(texts)), "k").collect()}
     assert all([p.kind for p in rows[n].pii] == ["email"] and "john" not in rows[n].text and "@x.com" in rows[n].text for n in range(5))
     assert rows[0].text[0] == rows[0].text[-1] == "_" and rows[2].text.startswith("...") and rows[5].text == texts[5]
 
