@@ -39,8 +39,9 @@ CORE, STEPS, LEAST_FALL, MIN_GROUP = 0.75, 25, 1e-3, 50
 #: Squared distance that a text may have: the chi-squared quantile of 5 degrees of freedom with a tail of about 1e-8.
 CUTOFF = 46.0
 #: The spread, in transformed units, below which a statistic of a group is not taken to vary; keeps scatters regular. The shares of repeated
-#: lines and words end at 100 and, by the base rules, 50 of 100: theirs is such that the end of this range alone reaches the cut-off.
-LEAST_SPREAD = (0.15, 0.5, log(101) / CUTOFF**0.5, log(51) / CUTOFF**0.5, 0.3)
+#: lines and words end at 100 and, by the base rules, 50 of 100: theirs is such that five sixths of both ranges at once reach the cut-off.
+_REPEATS = 5 / 6 * ((log(101) ** 2 + log(51) ** 2) / CUTOFF) ** 0.5
+LEAST_SPREAD = (0.15, 0.5, _REPEATS, _REPEATS, 0.3)
 #: Groups (a language and a source) whose estimates may be broadcast: some 300 bytes each.
 BROADCAST_GROUPS = 50_000
 
