@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms of personal data, by a keyed Feistel network. Only DataFrame functions run.
 
-Found in a text: e-mail addresses, payment card numbers (16 digits that pass the Luhn check), telephone numbers, IPv4 addresses (four
-numbers up to 255), calendar dates and secrets (long hex tokens). Each is a row of digits in some mixed radix: decimal digits, letters,
+Found in a text: e-mail addresses, payment card numbers (14, 15, 16 or 19 digits that pass the Luhn check), bank account numbers (IBAN of their
+country's length that pass the check modulo 97), telephone numbers, IPv4 addresses (four numbers up to 255), calendar dates and secrets (long hex
+tokens). Domains of e-mail addresses stay, as do countries of accounts and telephones; IPv6 addresses are not looked for. Each is a row of digits in some mixed radix: decimal digits, letters,
 bytes or a day within its century. Eight Feistel rounds with a keyed hash permute the rows of a format among themselves, so a pseudonym has the
-format of what it stands for, and equal values have equal pseudonyms in all documents. The check digit of a card is computed again.
+format of what it stands for, and equal values have equal pseudonyms in all documents. Check digits of cards and accounts are computed again.
 """
 
 from __future__ import annotations
@@ -17,13 +18,36 @@ from .common import packed
 
 ROUNDS = 8
 
+# Lengths of bank account numbers (IBAN) by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT ST",
+    26: "IS TR",
+    27: "FR GR IT MC MR SM",
+    28: "AL AZ CY DO GT HU LB PL",
+    29: "BR PS QA UA",
+    30: "JO KW MU",
+    31: "MT SC",
+}
+_ACCOUNTS = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+# Groups of the digits of payment cards: 19 digits that begin with 62, 15 with 34 or 37, 14 with 30, 36 or 38, and any 16.
+_CARDS = "62[0-9]{2}(?:[ -]?[0-9]{4}){3}[ -]?[0-9]{3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3[068][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{4}|[0-9]{4}(?:[ -]?[0-9]{4}){3}"
 # What the kinds of personal data look like. Tried in this order at each place of a text.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
+    "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ACCOUNTS})(?![0-9A-Za-z])",
+    "card": rf"(?<![0-9])(?:{_CARDS})(?![0-9])",
 }
 # A group of a telephone number is not the start of another find, and its third one ends where no decimals follow.
 _GROUP = rf"(?![ -]?(?:{KINDS['ip']}|{KINDS['date']}|{KINDS['card']}(?![ -][0-9]{{4}})))[ -]?[0-9]{{2,4}}"
@@ -98,14 +122,45 @@ def _permuted_characters(value: Column, key: str, label: str, letters: int = 26,
     return bound(F.split(value, ""), lambda chars: bound(F.filter(chars, lambda c: which(c) < 3), lambda known: permuted(chars, known)))
 
 
+def _laid_out(value: Column, made: Column) -> Column:
+    """``value`` with its digits and letters replaced by the characters of ``made`` in turn; blanks and hyphens stay where they are."""
+    plain = lambda c: ~c.isin(" ", "-")
+    at = lambda chars, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), plain))
+    return bound(made, lambda m: bound(F.split(value, ""), lambda chars: F.array_join(F.transform(chars, lambda c, i: F.when(plain(c), F.substr(m, at(chars, i), F.lit(1))).otherwise(c)), "")))
+
+
 def _pseudo_card(value: Column, key: str) -> Column:
+    """All digits of 16 but the check digit are permuted; of other lengths, which tell by their first two digits, those stay."""
     digits = F.transform(F.split(F.regexp_replace(value, "[ -]", ""), ""), lambda c: c.cast("int"))
-    moved = feistel(F.slice(digits, 1, 15), F.array_repeat(F.lit(10), 15), key, F.lit("card"))
     check = lambda body: F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.array(F.lit(0)))), F.lit(10)), F.lit(10))
-    made = bound(moved, lambda body: F.array_join(F.transform(F.concat(body, F.array(check(body))), lambda d: d.cast("string")), ""))
-    # blanks and hyphens stay where they are: between groups of four
-    marks = F.split(value, "[0-9]{4}")
-    return bound(made, lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.get(marks, i), F.substr(m, 4 * i + 1, F.lit(4)))), ""))
+
+    def made(d: Column) -> Column:
+        n = F.size(d)
+        first = F.when(n == 16, F.slice(d, 1, 0)).otherwise(F.slice(d, 1, 2))
+        free = n - 1 - F.size(first)
+        label = F.concat(F.lit("card"), F.when(n == 16, F.lit("")).otherwise(F.concat(n.cast("string"), F.lit(","), F.array_join(first.cast("array<string>"), ""))))
+        moved = F.concat(first, feistel(F.slice(d, F.size(first) + 1, free), F.array_repeat(F.lit(10), free), key, label))
+        return bound(moved, lambda body: F.array_join(F.transform(F.concat(body, F.array(check(body))), lambda x: x.cast("string")), ""))
+
+    return _laid_out(value, bound(digits, made))
+
+
+def iban_rest(account: Column) -> Column:
+    """What an account number without blanks leaves modulo 97, its first four characters put last and letters read as 10 to 35; 1 if it is valid."""
+    chars = F.split(F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4))), "")
+    step = lambda a, c: F.when(c.between("0", "9"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55)
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.pmod(step(a, c), F.lit(97)))
+
+
+def _pseudo_iban(value: Column, key: str) -> Column:
+    """The country stays; digits and letters after the check digits are permuted within their class."""
+
+    def made(account: Column) -> Column:
+        country = F.substr(account, F.lit(1), F.lit(2))
+        check = lambda rest: F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+        return bound(_permuted_characters(F.substr(account, F.lit(5)), key, "iban"), lambda rest: F.concat(country, check(rest), rest))
+
+    return _laid_out(value, bound(F.regexp_replace(value, " ", ""), made))
 
 
 def _pseudo_ip(value: Column, key: str) -> Column:
@@ -125,13 +180,15 @@ def _pseudo_date(value: Column, key: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match, or null where it does not pass its check (Luhn, calendar)."""
+    """The kind of a match, or null where it does not pass its check (Luhn, modulo 97, calendar)."""
     digits = F.transform(F.split(F.regexp_replace(value, "[^0-9]", ""), ""), lambda c: c.cast("int"))
     out = F.when(F.lit(False), F.lit(""))
     for kind, test in _KIND_TESTS.items():
         good = F.lit(True)
         if kind == "card":
             good = F.pmod(luhn_sum(digits), F.lit(10)) == 0
+        elif kind == "iban":
+            good = bound(F.regexp_replace(value, " ", ""), iban_rest) == 1
         elif kind == "date":
             good = F.try_to_date(value).isNotNull()
         out = out.when(value.rlike(test), F.when(good, F.lit(kind)))
@@ -147,6 +204,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "card", _pseudo_card(value, key))
+        .when(kind == "iban", _pseudo_iban(value, key))
         .when(kind == "ip", _pseudo_ip(value, key))
         .when(kind == "date", _pseudo_date(value, key))
         .when(kind == "phone", phone)
@@ -159,7 +217,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with the text replaced by one that has pseudonyms, and pii (array of kind, value length and pseudonym for each found one, in order).
 
     The text is cut at the matches and put together again, so all else stays as it was. A null text stays null and has no
-    finds; an empty text stays empty. A number that fails its check (a card's Luhn sum, a day that no calendar has) is left alone.
+    finds; an empty text stays empty. A number that fails its check (a card's Luhn sum, an account's check digits, a day that no calendar has) is left alone.
     A column pii is replaced; others stay. Repeated rows get equal results. The ``key`` must be kept secret to keep pseudonyms so: who has it can undo them.
     """
     text = F.col(f"`{text_col}`")

@@ -432,11 +432,17 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(df.limit(0), "k").count() == 0
 
 
+def brute_iban_rest(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 def brute_kind(value):
     for kind, pattern in pii.KINDS.items():
         if re.fullmatch(pattern, value):
             if kind == "card" and not luhn([int(c) for c in value if c.isdigit()]):
                 return None
+            if kind == "iban" and brute_iban_rest(value.replace(" ", "")) != 1:
+                return None
             if kind == "date":
                 try:
                     datetime.date.fromisoformat(value)
@@ -481,10 +487,18 @@ def brute_pseudonym(value, key):
     if kind == "ip":
         return ".".join(map(str, brute_feistel([int(x) for x in value.split(".")], [256] * 4, key, "ip")))
     if kind == "card":
-        body = brute_feistel([int(c) for c in value if c.isdigit()][:15], [10] * 15, key, "card")
+        digits = [int(c) for c in value if c.isdigit()]
+        n, first = len(digits), digits[:2] if len(digits) != 16 else []
+        free = digits[len(first) : n - 1]
+        body = first + brute_feistel(free, [10] * len(free), key, "card" + (f"{n},{first[0]}{first[1]}" if first else ""))
         check = next(c for c in range(10) if luhn([*body, c]))
         made = iter([*body, check])
         return "".join(str(next(made)) if c.isdigit() else c for c in value)
+    if kind == "iban":
+        account = value.replace(" ", "")
+        rest = brute_characters(account[4:], key, "iban")
+        made = iter(f"{account[:2]}{98 - brute_iban_rest(account[:2] + '00' + rest):02d}{rest}")
+        return "".join(c if c == " " else next(made) for c in value)
     if kind == "date":
         first = datetime.date(int(value[:2]) * 100, 1, 1)
         days = (datetime.date(first.year + 100, 1, 1) - first).days
@@ -496,9 +510,26 @@ def brute_pseudonym(value, key):
     return value
 
 
+# The usual example numbers of accounts and cards.
+ACCOUNTS = "GB29 NWBK 6016 1331 9268 19 AND DE89370400440532013000, FR14 2004 1010 0505 0001 3M02 606. NO93 8601 1117 947 not DE89370400440532013001 MT84MALT011000012345MTLCAST001S"
+CARDS = "3782 822463 10005, 378282246310005; 3056-930902-5904 30569309025904 6205 5000 0000 0000 004 6205500000000000004 not 378282246310006"
+
+
+def test_accounts_and_cards_of_other_lengths(spark):
+    rows = {r.doc_id: r for r in pii.pseudonymize(docs(spark, (1, ACCOUNTS), (2, CARDS), (3, "DE89 " * 10_000), (4, ACCOUNTS.replace(" ", "  ")), (5, "+49 30 12345678 GB29NWBK60161331926819")), "k").collect()}
+    assert [p.kind for p in rows[1].pii] == ["iban"] * 5 and [p.kind for p in rows[2].pii] == ["card"] * 6
+    made = [p.pseudonym for p in rows[1].pii]
+    assert all(brute_iban_rest(m.replace(" ", "")) == 1 for m in made) and [m[:2] for m in made] == ["GB", "DE", "FR", "NO", "MT"]
+    assert "DE89370400440532013001" in rows[1].text and "378282246310006" in rows[2].text and made[0].index(" ") == 4 and len(rows[1].text) == len(ACCOUNTS)
+    cards = [re.sub("[^0-9]", "", p.pseudonym) for p in rows[2].pii]
+    assert all(luhn([int(c) for c in x]) for x in cards) and cards[0] == cards[1] != "378282246310005" and cards[2] == cards[3] and cards[4] == cards[5]
+    assert [x[:2] for x in cards[::2]] == ["37", "30", "62"] and not rows[3].pii
+    assert [p.kind for p in rows[5].pii] == ["phone", "iban"] and rows[5].pii[1].pseudonym == made[0].replace(" ", "")
+
+
 def test_whole_texts_match_brute_force(spark):
     """Finding, replacing and putting together, on all test texts and on some with every kind."""
-    extra = ["a@b.cc 4111 1111 1111 1111 2024-02-29 10.1.2.3 +49 (30) 1234-5678 " + "0123456789abcdef" * 20, "x" * 50 + "@" + "y.z" * 3, "2000-01-01,2099-12-31;1999-12-31 +1 555 1234567 1.2.3.4.5 _q@r.st_"]
+    extra = ["a@b.cc 4111 1111 1111 1111 2024-02-29 10.1.2.3 +49 (30) 1234-5678 " + "0123456789abcdef" * 20, "x" * 50 + "@" + "y.z" * 3, "2000-01-01,2099-12-31;1999-12-31 +1 555 1234567 1.2.3.4.5 _q@r.st_", ACCOUNTS, CARDS]
     frame = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - n, t) for n, t in enumerate(extra)], "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in frame.collect()}
     found = 0
