@@ -31,9 +31,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their source to its target weight reads them, so some more than once."""
+    """Documents as often as the mix of their source to its target weight reads them, so some more than once, in the order of the mix."""
     mixed = mix.mix_sources(docs, word_count(F.col("text")))
-    return mix.mixed_rows(mixed, docs.columns)
+    return mix.mixed_rows(mixed, docs.columns, shard_col=None)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,10 +183,11 @@ def _filled(part: DataFrame, coin: Callable[..., Column]) -> DataFrame:
     return part.withColumn("took_", F.col("took_") + nearest.cast("long"))
 
 
-def mixed_rows(mix: DataFrame, columns: Sequence[str], id_col: str = "doc_id", seed: int = 17) -> DataFrame:
-    """The rows of the mix: ``columns`` (without a mix_shard) and mix_shard, once for each reading; dealt by shard and, for each shard, a piece of the
-    seeded order, and shuffled within it. Records that the mix does not take have no row."""
-    out = mix.select(packed(mix, columns), F.col(id_col).alias("id_"), F.posexplode("mix_shards").alias("reading_", "mix_shard"))
-    order = F.xxhash64(F.lit(seed), F.lit("local"), "mix_shard", "reading_", "id_")
-    out = out.withColumn("order_", order).repartition("mix_shard", F.pmod("order_", F.lit(64)))
-    return out.sortWithinPartitions("mix_shard", "order_").select(*unpacked(columns), "mix_shard")
+def mixed_rows(mix: DataFrame, columns: Sequence[str], id_col: str = "doc_id", seed: int = 17, shard_col: str | None = "mix_shard") -> DataFrame:
+    """The rows of the mix: ``columns`` and, unless it is None, ``shard_col`` (which replaces a column of that name), once for each reading; dealt by
+    shard and, for each shard, a piece of the seeded order, and shuffled within it. Records that the mix does not take have no row."""
+    out = mix.select(packed(mix, columns), F.col(id_col).alias("id_"), F.posexplode("mix_shards").alias("reading_", "shard_"))
+    order = F.xxhash64(F.lit(seed), F.lit("local"), "shard_", "reading_", "id_")
+    out = out.withColumn("order_", order).repartition("shard_", F.pmod("order_", F.lit(64)))
+    out = out.sortWithinPartitions("shard_", "order_")
+    return out.select(*unpacked(columns, (shard_col,)), *([F.col("shard_").alias(shard_col)] if shard_col else []))

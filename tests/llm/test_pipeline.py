@@ -51,7 +51,7 @@ def test_stages(spark):
     assert third.columns == COLUMNS and {r.doc_id for r in third.collect()} == clean and third.count() == len(clean)
 
     fourth = saved(P.STAGES[3][1](spark, third, SF), "t")
-    assert set(COLUMNS) <= set(fourth.columns)
+    assert fourth.columns == COLUMNS
     rows = third.select("doc_id", "source", "text").toPandas()
     rows["size"] = [len(WORD.findall(t)) for t in rows.text]
     targets = brute_targets(rows.groupby("source")["size"].sum().to_dict())
@@ -76,6 +76,7 @@ def test_odd_rows(spark):
             assert frame.columns == COLUMNS, name
         assert frame.count() == want
         mixed = saved(P.STAGES[3][1](spark, frame, SF), "odd")
+        assert mixed.columns == COLUMNS
         # a source of one document has the target of at most twice its words
         copies = Counter(r.text for r in mixed.collect())
         assert set(copies) <= {r.text for r in frame.collect()} and all(1 <= n <= 2 for n in copies.values()) and bool(copies) == bool(want)
