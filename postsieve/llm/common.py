@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,19 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """As ``bounded_batches``, for what is computed inside of the block only."""
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    was = [spark.conf.get(n) for n in names]
+    bounded_batches(spark)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, was, strict=True):
+            spark.conf.set(n, v)
+
+
 def word_count(text: Column) -> Column:
     """Number of words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

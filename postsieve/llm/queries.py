@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lmscore, mix, ngramjoin, pii, quality, shards, urlfilter
+from . import chat, decontam, licenses, lmscore, mix, ngramjoin, pii, quality, shards, simhash, urlfilter
 from .common import table, word_count
 
 
@@ -113,6 +113,10 @@ def shard_map_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.load_map(spark, path, 0).unionByName(shards.load_map(spark, path)).select("version", F.col("slot").alias("vslot"), "shard", "bytes")
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_chat": op2_chat,
@@ -124,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_shards": op10_shards,
+    "op13_simhash": op13_simhash,
     "shard_map_grown": shard_map_grown,
     "text_counts": text_counts,
 }
