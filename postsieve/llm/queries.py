@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lmscore, mix, ngramjoin, pii, quality, shards, simhash, urlfilter
+from . import chat, decontam, lexical, licenses, lmscore, mix, ngramjoin, pii, quality, shards, simhash, spelling, urlfilter
 from .common import table, word_count
 
 
@@ -113,6 +113,14 @@ def shard_map_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.load_map(spark, path, 0).unionByName(shards.load_map(spark, path)).select("version", F.col("slot").alias("vslot"), "shard", "bytes")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -128,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_shards": op10_shards,
+    "op11_spelling": op11_spelling,
+    "op12_lexical": op12_lexical,
     "op13_simhash": op13_simhash,
     "shard_map_grown": shard_map_grown,
     "text_counts": text_counts,
@@ -206,5 +216,15 @@ counts AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS w
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN repeats USING (r))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts"""
 
+_TERMS_SQL = r"SELECT {id}, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM {table}"
+_SEARCH_SQL = f"""WITH counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM ({_TERMS_SQL.format(id="doc_id", table="documents")}) GROUP BY doc_id, term),
+lengths AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id), whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+items AS MATERIALIZED (SELECT DISTINCT item_id, term FROM ({_TERMS_SQL.format(id="item_id", table="benchmark")})),
+weights AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole WHERE term IN (SELECT term FROM items) GROUP BY term),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), whole GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
 #: The others have hashes, draws or estimates that SQL cannot express; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_chat": _TURNS_SQL, "op3_decontamination": _CONTAINED_SQL, "op4_url_filter": _URL_SQL, "op6_lm_score": _LM_SQL, "op9_ngram_join": _JOIN_SQL, "shard_map_grown": _MAP_SQL, "text_counts": _COUNTS_SQL}
+ORACLES: dict[str, str] = {"op2_chat": _TURNS_SQL, "op3_decontamination": _CONTAINED_SQL, "op4_url_filter": _URL_SQL, "op6_lm_score": _LM_SQL, "op9_ngram_join": _JOIN_SQL, "op12_lexical": _SEARCH_SQL, "shard_map_grown": _MAP_SQL, "text_counts": _COUNTS_SQL}
