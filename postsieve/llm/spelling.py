@@ -25,7 +25,7 @@ LEAST_LETTERS, LEAST_N, TIMES, DELETED = 7, 2, 10, 31
 LETTERS = r"A-Za-zÀ-ÿ"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words on which trees are fitted, the longest of them, and the number of a length's words that a leaf is to hold.
-SAMPLE, LONGEST, LEAF_WORDS = 65_536, 64, 2048
+SAMPLE, LONGEST, LEAF_WORDS = 65_536, 64, 4096
 #: Members and queries from which a leaf is dealt out in blocks of that size, and the words of a leaf of the tree within a task.
 BLOCK_MEMBERS, BLOCK_QUERIES, INNER_WORDS = 8192, 100_000, 256
 #: Rows of leaf sizes that may be broadcast; there are at most some ten thousand leaves, and one for each length.
@@ -39,6 +39,9 @@ _DIMS = 26 + 64
 _DIM = np.full(256, -1, np.int64)
 _DIM[97:123] = np.arange(26)
 _DIM[192:256] = 26 + np.arange(64)
+_CODE = np.concatenate([np.arange(97, 123), np.arange(192, 256)]).astype(np.uint8)
+#: The bit of a letter's group: a-z have one each, the others share six.
+_GROUP_BIT = np.left_shift(np.uint64(1), np.where(_DIM < 26, _DIM, 26 + _DIM % 6).clip(0).astype(np.uint64))
 
 
 def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,25 +60,36 @@ def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counted.where(F.col("n") >= LEAST_N)
 
 
-def letters(words: list[bytes]) -> np.ndarray:
-    """The letters of words of one length, as rows of codes."""
-    return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+class Letters:
+    """Words of one length: their letters as rows of codes, and counts of single letters as they are asked for."""
 
+    def __init__(self, words: list[bytes]):
+        self.rows = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        self.places = np.ascontiguousarray(self.rows.T)  # all first letters, all second ones, ...
+        self._counts: dict[int, np.ndarray] = {}
 
-def letter_counts(codes: np.ndarray) -> np.ndarray:
-    """Letter-count vectors of rows of codes."""
-    n = len(codes)
-    place = np.arange(n)[:, None] * _DIMS + _DIM[codes]
-    return np.bincount(place.ravel(), minlength=n * _DIMS).reshape(n, _DIMS).astype(np.int32)
+    def __len__(self) -> int:
+        return len(self.rows)
 
+    def count(self, axis: int) -> np.ndarray:
+        """How often each word has a letter."""
+        if axis not in self._counts:
+            self._counts[axis] = (self.places == _CODE[axis]).sum(axis=0, dtype=np.int32)
+        return self._counts[axis]
 
-def signatures(counts: np.ndarray) -> np.ndarray:
-    """64 bits of each vector: two for each of 32 groups of letters, for one and for two or more. Vectors differ by at least as much as these bits do."""
-    groups = np.zeros((len(counts), 32), np.int64)
-    for d in range(_DIMS):
-        groups[:, d if d < 26 else 26 + d % 6] += counts[:, d]
-    bits = np.concatenate([groups >= 1, groups >= 2], axis=1)
-    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+    def counts(self) -> np.ndarray:
+        """The whole letter-count vectors."""
+        place = np.arange(len(self))[:, None] * _DIMS + _DIM[self.rows]
+        return np.bincount(place.ravel(), minlength=len(self) * _DIMS).reshape(-1, _DIMS).astype(np.int32)
+
+    def signatures(self) -> np.ndarray:
+        """64 bits of each word: two for each of 32 groups of letters, for one and for two or more. Vectors differ by at least as much as these bits do."""
+        once, twice = np.zeros(len(self), np.uint64), np.zeros(len(self), np.uint64)
+        for place in self.places:
+            bit = _GROUP_BIT[place]
+            twice |= once & bit
+            once |= bit
+        return once | twice << np.uint64(32)
 
 
 class Tree:
@@ -115,10 +129,10 @@ class Tree:
             found = (axis, int((int(counts[:, axis].min()) + int(counts[:, axis].max())) // 2))
         return found
 
-    def visit(self, counts: np.ndarray, more: int, fewer: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows of ``counts``) for the leaves whose box holds a vector with at most ``more`` letters more and ``fewer`` letters fewer than the row."""
-        none = np.zeros(len(counts), np.int32)
-        todo = [(0, np.arange(len(counts)), none, none, {})]
+    def visit(self, words: Letters, more: int, fewer: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows of ``words``) for the leaves whose box holds a vector with at most ``more`` letters more and ``fewer`` letters fewer than the row."""
+        none = np.zeros(len(words), np.int32)
+        todo = [(0, np.arange(len(words)), none, none, {})]
         while todo:
             at, rows, up, down, box = todo.pop()
             if not len(rows):
@@ -128,7 +142,7 @@ class Tree:
                 yield cut, rows
                 continue
             low, high = box.get(axis, (0, _MOST_COUNT))
-            own = counts[rows, axis]
+            own = words.count(axis)[rows]
             # what the box asks of this axis takes the place of what it asked before
             new_up = up + np.maximum(cut + 1 - own, 0) - np.maximum(low - own, 0)
             new_down = down + np.maximum(own - cut, 0) - np.maximum(own - high, 0)
@@ -146,7 +160,7 @@ def fit(vocabulary: DataFrame) -> dict[int, Tree]:
     by_length: dict[int, list[bytes]] = {}
     for w in sample:
         by_length.setdefault(len(w), []).append(w)
-    return {size: Tree(letter_counts(letters(found)), capacity) for size, found in by_length.items()}
+    return {size: Tree(Letters(found).counts(), capacity) for size, found in by_length.items()}
 
 
 _ONE_LEAF = Tree(np.zeros((0, _DIMS), np.int32), 1)
@@ -163,9 +177,9 @@ def _routed(trees: dict[int, Tree]):
             for i, w in enumerate(words):
                 by_length.setdefault(len(w), []).append(i)
             for size, rows in by_length.items():
-                counts, rows = letter_counts(letters([words[i] for i in rows])), np.array(rows)
+                own, rows = Letters([words[i] for i in rows]), np.array(rows)
                 for role, longer, more, fewer in ((MEMBER, 0, 0, 0), (SAME, 0, 1, 1), (SHORTER, 1, 1, 0)):
-                    for leaf, at in trees.get(size + longer, _ONE_LEAF).visit(counts, more, fewer):
+                    for leaf, at in trees.get(size + longer, _ONE_LEAF).visit(own, more, fewer):
                         taken = pa.array(rows[at])
                         same = [pa.array(np.full(len(at), x, np.int32)) for x in (size + longer, leaf, role)]
                         yield pa.RecordBatch.from_arrays([*same, part.column("word").take(taken), part.column("n").take(taken)], names=["size", "leaf", "role", "word", "n"])
@@ -177,44 +191,36 @@ class Members:
     """Words of one length that queries are compared with."""
 
     def __init__(self, words: list[bytes], n: np.ndarray):
-        codes = letters(words)
-        counts = letter_counts(codes)
-        self.tree = Tree(counts, INNER_WORDS)
-        placed = list(self.tree.visit(counts, 0, 0))
-        self.order = {leaf: rows for leaf, rows in placed}
-        self.words, self.n, self.codes, self.counts, self.bits = words, n, codes, counts, signatures(counts)
-
-    def near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of ``codes``, member) for each pair one edit apart. The rows have the members' length, or one letter less."""
-        less = self.codes.shape[1] - codes.shape[1]
-        counts = letter_counts(codes)
-        bits, found = signatures(counts), []
-        for leaf, rows in self.tree.visit(counts, 1, 1 - less):
-            inside = self.order.get(leaf)
+        self.words, self.n, self.letters = words, n, Letters(words)
+        self.tree, self.bits = Tree(self.letters.counts(), INNER_WORDS), self.letters.signatures()
+        self.inside = dict(self.tree.visit(self.letters, 0, 0))
+
+    def near(self, asked: Letters) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``asked``, member) for each pair one edit apart. The rows have the members' length, or one letter less."""
+        less = self.letters.rows.shape[1] - asked.rows.shape[1]
+        bits, found = asked.signatures(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for leaf, rows in self.tree.visit(asked, 1, 1 - less):
+            inside = self.inside.get(leaf)
             if inside is None:
                 continue
+            theirs = self.bits[inside][None, :]
             for k in range(0, len(rows), _ROWS):
                 some = rows[k : k + _ROWS]
-                i, j = np.nonzero(np.bitwise_count(bits[some, None] ^ self.bits[inside][None, :]) <= 2 - less)
+                i, j = np.nonzero(np.bitwise_count(bits[some, None] ^ theirs) <= 2 - less)
                 found.append((some[i], inside[j]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        good = [self._one_edit(codes, counts, i[k : k + 50_000], j[k : k + 50_000]) for k in range(0, len(i), 50_000)]
-        good = np.concatenate(good) if good else np.zeros(0, bool)
+        some = max(1, 5_000_000 // max(1, asked.rows.shape[1]))
+        good = np.concatenate([np.zeros(0, bool), *[self._one_edit(asked.rows[i[k : k + some]], self.letters.rows[j[k : k + some]]) for k in range(0, len(i), some)]])
         return i[good], j[good]
 
-    def _one_edit(self, codes: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        less = self.codes.shape[1] - codes.shape[1]
-        good = np.abs(counts[i] - self.counts[j]).sum(axis=1) <= 2 - less
-        a, b = codes[i[good]], self.codes[j[good]]
-        if not less:
-            good[good] = (a != b).sum(axis=1) == 1
-        else:
-            before = np.logical_and.accumulate(a == b[:, :-1], axis=1).sum(axis=1)
-            after = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-            good[good] = before + after >= a.shape[1]
-        return good
+    @staticmethod
+    def _one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows of letters differ by one replaced letter, or by one that b has more."""
+        if a.shape[1] == b.shape[1]:
+            return (a != b).sum(axis=1) == 1
+        before = np.logical_and.accumulate(a == b[:, :-1], axis=1).sum(axis=1)
+        after = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+        return before + after >= a.shape[1]
 
 
 _NEAR = "word string, near string, near_n long"
@@ -239,7 +245,7 @@ def _searched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searched = searched or Members([w for m in members for w in m[0]], np.concatenate([m[1] for m in members]))
             for k in range(first, last, _QUERIES):
                 asked = words[k : min(last, k + _QUERIES)]
-                i, j = searched.near(letters(asked))
+                i, j = searched.near(Letters(asked))
                 ours, theirs = [asked[x].decode("latin-1") for x in i.tolist()], [searched.words[x].decode("latin-1") for x in j.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(ours, pa.string()), pa.array(theirs, pa.string()), pa.array(searched.n[j], pa.int64())], names=["word", "near", "near_n"])
                 if role == SHORTER:  # words of the same length ask for themselves

@@ -107,17 +107,23 @@ def test_near_words_of_any_trees_and_blocks(spark, monkeypatch, sample, leaf, bl
     assert set(pairs) == {(w, x, n[x]) for w, near in brute_near(words).items() for x in near}
 
 
+def random_letters(rng, n, size):
+    alphabet = [*range(97, 123), *range(192, 256)]
+    return spelling.Letters([bytes(rng.choice(alphabet, size).astype(np.uint8)) for _ in range(n)])
+
+
 def test_tree_prunes_and_loses_nothing():
-    rng = np.random.default_rng(2)
-    counts = rng.poisson(0.4, (4000, 90)).astype(np.int32)
+    words = random_letters(np.random.default_rng(2), 4000, 36)
+    counts = words.counts()
+    assert all((words.count(a) == counts[:, a]).all() for a in range(90))
     tree = spelling.Tree(counts, 16)
     leaf_of = np.full(len(counts), -1)
-    for leaf, rows in tree.visit(counts, 0, 0):
+    for leaf, rows in tree.visit(words, 0, 0):
         assert (leaf_of[rows] < 0).all()
         leaf_of[rows] = leaf
     assert (leaf_of >= 0).all() and tree.leaves > 200
     asked, visits = counts[:100].copy(), {}
-    for leaf, rows in tree.visit(asked, 1, 1):
+    for leaf, rows in tree.visit(words, 1, 1):
         for r in rows.tolist():
             visits.setdefault(r, set()).add(leaf)
     for r in range(100):
@@ -136,8 +142,10 @@ def test_equal_vectors_make_one_leaf():
 
 def test_signatures_never_exceed_the_distance():
     rng = np.random.default_rng(4)
-    a, b = (rng.poisson(0.7, (500, 90)).astype(np.int32) for _ in range(2))
-    assert (np.bitwise_count(spelling.signatures(a) ^ spelling.signatures(b)) <= np.abs(a - b).sum(axis=1)).all()
+    for size in (7, 30, 200):
+        a, b = (random_letters(rng, 500, size) for _ in range(2))
+        assert (np.bitwise_count(a.signatures() ^ b.signatures()) <= np.abs(a.counts() - b.counts()).sum(axis=1)).all()
+        assert (np.bitwise_count(a.signatures() ^ random_letters(rng, 500, size + 1).signatures()) > 0).any()
 
 
 def test_roots_follow_chains(spark):
