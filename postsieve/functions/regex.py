@@ -86,6 +86,50 @@ def translate(p: str) -> str | None:
         return None
 
 
+#: The most ways that a pattern may have to go on from one place of a text, for Java to try them.
+MOST_WAYS = 4096
+
+
+def bounded(p: str) -> bool:
+    """Whether Java's backtracking does a bounded amount of work at each place of a text, and does not recurse with its length, for a valid pattern ``p``.
+
+    So no group may be repeated, and characters only up to a bound. One unbounded repeat of a character is allowed behind ``^`` at the start, where only one place is tried.
+    """
+    unbounded, ways, alternatives, i, group = 0, 1, [1], 0, False  # group: what was read last is a group
+    flags = re.match(r"(?:\(\?[is]+\))*", p).end()
+    anchored, open_alternatives = p.startswith("^", flags), 0
+    while i < len(p) and ways <= MOST_WAYS:
+        c, was_group, group = p[i], group, False
+        count = _COUNT.match(p, i) if c == "{" else None
+        if c in "*+?" or count:
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(c) or (int(count[1]), int(count[3]) if count[3] else None if count[2] else int(count[1]))
+            i += len(count[0]) if count else 1
+            i += p[i : i + 1] == "?"
+            if was_group and (high is None or high > 1):
+                return False
+            unbounded += high is None
+            ways *= 1 if high is None else high - low + 1
+        elif c == "\\":
+            i = _escape(p, i, False)[1]
+        elif c == "[":
+            i = _class(p, i)[1]
+        elif c == "(":
+            m = re.compile(r"\(\?[^:)>]*([:)>])").match(p, i)
+            i = m.end() if m else i + 1
+            if not (m and m[1] == ")"):
+                alternatives.append(1)
+        elif c == ")":
+            ways *= alternatives.pop()
+            i, group = i + 1, True
+        else:
+            if c == "|":
+                alternatives[-1] += 1
+                open_alternatives += len(alternatives) == 1
+            i += 1
+    once = anchored and not open_alternatives and not re.search(r"\(\?\w*m", p)
+    return ways * alternatives[0] <= MOST_WAYS and (not unbounded or unbounded == 1 and once)
+
+
 def _boundary(p: str, i: int, after_word: bool, atom: re.Pattern) -> str:
     """The translation of the word boundary at p[i]. Next to a part that is surely a word character, only the other side is looked at,
     and first of all whether that part is there, which it is in few places of a text."""

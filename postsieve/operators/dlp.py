@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import translate
+from ..functions.predicates import regex_count
 
 # Patterns of a payment card number and of a social security number.
 PATTERNS = {"card": r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "ssn": r"\b\d{3}-\d{2}-\d{4}\b"}
@@ -21,8 +21,7 @@ def dlp_scan(messages: DataFrame, patterns: Mapping[str, str] = PATTERNS, text:
     text = F.coalesce(F.col("body") if text is None else text, F.lit(""))
     counts = []
     for name, pattern in patterns.items():
-        java = translate(pattern)
-        counts += [F.lit(name), (F.lit(0) if java is None else F.regexp_count(text, F.lit(java))).cast("int")]
+        counts += [F.lit(name), regex_count(pattern, text).cast("int")]
     rows = messages.withColumn("dlp_counts", F.create_map(*counts) if counts else F.create_map().cast("map<string,int>"))
     hits = F.filter(F.array(*[F.lit(n) for n in patterns]).cast("array<string>"), lambda n: F.element_at(F.col("dlp_counts"), n) > 0)
     return rows.withColumn("dlp_hits", hits)

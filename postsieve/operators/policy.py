@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..schema import fresh, text_or_empty
 
@@ -154,16 +157,45 @@ def add_header(name: str | Column, value: str | Column) -> Effect:
     return Effect(F.concat(F.lit("add_header:"), _text(name), F.lit(":"), _text(value)), header=(_text(name), _text(value)))
 
 
+@dataclass(frozen=True)
+class Vectorised:
+    """A condition in Python: ``function`` takes a pandas series for each column and gives one of booleans."""
+
+    function: Callable[..., pd.Series]
+    columns: tuple[Column, ...]
+
+    def hits(self, alive: Column) -> Column:
+        """Whether the condition holds for rows that are ``alive``; the function sees no others, and false is what they get."""
+        function = self.function
+
+        @arrow_udf("boolean")
+        def hit(rows: pa.Array) -> pa.Array:
+            out = pd.Series(False, index=range(len(rows)))
+            there = rows.drop_null()
+            if len(there):
+                found = function(*[x.to_pandas() for x in there.flatten()])
+                out[rows.is_valid().to_numpy(zero_copy_only=False)] = pd.Series(found).fillna(False).to_numpy(bool)
+            return pa.array(out.to_numpy(bool))
+
+        named = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(self.columns)])
+        return hit(F.when(alive, named))
+
+
+def vectorised(function: Callable[..., pd.Series], *columns: Column) -> Vectorised:
+    """A condition for ``rule`` that Spark functions cannot express. It is worked out only for messages that no earlier rule has stopped; null means that it does not hold."""
+    return Vectorised(function, columns)
+
+
 @dataclass(frozen=True)
 class Rule:
-    when: Column
+    when: Column | Vectorised
     effects: tuple[Effect, ...]
     stop: bool = False
 
 
-def rule(when: Column | bool, *effects: Effect, stop: bool = False) -> Rule:
+def rule(when: Column | Vectorised | bool, *effects: Effect, stop: bool = False) -> Rule:
     """A rule: where ``when`` holds (null: it does not) its effects are emitted; with ``stop`` no later rule is looked at then."""
-    return Rule(when if isinstance(when, Column) else F.lit(when), effects, stop)
+    return Rule(when if isinstance(when, Column | Vectorised) else F.lit(when), effects, stop)
 
 
 @dataclass(frozen=True)
@@ -190,16 +222,23 @@ def apply_policy(messages: DataFrame, policy: Policy) -> DataFrame:
 
     A message with an error emits nothing. The first stopping rule that holds is found first, by one conditional expression that goes no
     further than that rule, so conditions after it are not worked out; the condition of another rule is looked at only before that
-    place. All of it is one projection without a shuffle. Other columns may have any names.
+    place. All of it is one projection without a shuffle; a ``vectorised`` condition, which gets only messages that are not stopped before it, makes two of it. Other columns may have any names.
     """
     n = len(policy.rules)
     had_error = F.col("error").isNotNull() if "error" in messages.columns else F.lit(False)
-    holds_, stop_, edits_ = fresh([*messages.columns, "actions", "logs", "modified_headers"], "holds_", "stop_", "edits_")
-    holds = [F.coalesce(r.when, F.lit(False)) for r in policy.rules]
+    python = [i for i, r in enumerate(policy.rules) if isinstance(r.when, Vectorised)]
+    holds_, stop_, edits_, *hits_ = fresh([*messages.columns, "actions", "logs", "modified_headers"], "holds_", "stop_", "edits_", *[f"hit{i}_" for i in python])
+    hit_at, rows = dict(zip(python, hits_, strict=True)), messages
+    holds = [F.col(hit_at[i]) if i in hit_at else F.coalesce(r.when, F.lit(False)) for i, r in enumerate(policy.rules)]
     stop = F.when(had_error, -1)
     for i, r in enumerate(policy.rules):
+        if i in hit_at:
+            # the first stop so far is a column of its own; what comes after starts from it
+            rows = rows.withColumn(stop_, stop.otherwise(n))
+            rows = rows.withColumn(hit_at[i], r.when.hits(F.col(stop_) == n))
+            stop = F.when(F.col(stop_) < n, F.col(stop_))
         stop = stop.when(holds[i], i) if r.stop else stop
-    rows = messages.withColumn(stop_, stop.otherwise(n))
+    rows = rows.withColumn(stop_, stop.otherwise(n))
     passing = [i for i, r in enumerate(policy.rules) if not r.stop]
     rows = rows.withColumn(holds_, F.array(*[(F.col(stop_) > i) & holds[i] for i in passing]).cast("array<boolean>"))
     fired = {i: F.col(stop_) == i for i in range(n)} | {i: F.col(holds_)[place] for place, i in enumerate(passing)}
@@ -212,4 +251,4 @@ def apply_policy(messages: DataFrame, policy: Policy) -> DataFrame:
     rows = rows.withColumns({"actions": gathered(_NO_TEXTS, lambda e: e.action), "logs": gathered(_NO_TEXTS, lambda e: e.log), edits_: gathered(_EDIT, edit)})
     if policy.default_accept:
         rows = rows.withColumn("actions", F.when((F.size("actions") == 0) & ~had_error, F.array(F.lit("accept"))).otherwise(F.col("actions")))
-    return rows.withColumn("modified_headers", header_edits(F.col(edits_))).drop(holds_, stop_, edits_)
+    return rows.withColumn("modified_headers", header_edits(F.col(edits_))).drop(holds_, stop_, edits_, *hits_)

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 REASONS = {"discard": "Message discarded by filter", "quarantine": "Message quarantined", "bounce": "Message bounced", "drop": "Message dropped"}
 SPAM_FOLDER, SPAM_REASON = "fileinto:Spam", "Classified as spam"
 
+# The kinds of actions.
+KINDS = (
+    "accept", "discard", "drop", "bounce", "quarantine", "fileinto", "auto_reply", "divert_to", "screen_to", "skip_malware_check", "skip_spam_check", "skip_whitelist_check",
+    "force_second_pass", "set_dlp", "skip_dlp", "add_to_digest", "smtp_error", "smtp_dsn", "set_filter_rules", "rbl_check", "mx_rbl_check", "domain_resolve", "log", "add_header",
+)
+
 #: Actions with more than one argument, which may hold colons themselves only in the last one.
 _TWO_ARGUMENTS = ("add_header", "set_dlp", "skip_dlp", "mx_rbl_check", "domain_resolve")
 _TERMINAL = ("discard", "drop", "bounce", "quarantine")

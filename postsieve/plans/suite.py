@@ -14,6 +14,7 @@ from ..functions import fields, predicates
 from ..operators import dlp, enrich, order, policy, stats, verdicts
 from ..operators.policy import Policy, rule
 from ..sources import inbox, mailbox, messages, parse, sinks
+from ..sources.tables import saved
 from ..streaming import feeds
 from . import fixtures, policies
 from .fixtures import DNS_SQL, GATEWAY_SQL, MAIL_SQL, MX_SQL, RBL_SQL
@@ -534,7 +535,7 @@ _AT_SQL = "placed AS (SELECT message_num, coalesce(ip, '') AS sender_ip FROM mai
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.enrich_dns(fixtures.messages(spark, sf_dir), fixtures.dns(spark, sf_dir))
+    return enrich.enrich_dns(fixtures.messages(spark, sf_dir), saved(fixtures.dns(spark, sf_dir), "dns"))
 
 
 @query(
@@ -542,7 +543,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT message_num, zone IS NOT NULL AS rbl_listed, coalesce(zone, '') AS rbl_name, coalesce(zen, false) AS in_zen FROM placed LEFT JOIN one ON sender_ip = ip"
 )
 def rbl_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = fixtures.rbl(spark, sf_dir)
+    listed = saved(fixtures.rbl(spark, sf_dir), "rbl")  # a snapshot is a stored table, whose rows are counted by its footers
     rows = enrich.enrich_rbl(_placed(spark, sf_dir), listed, "zen.example").withColumn("in_zen", F.col("rbl_listed"))
     return enrich.enrich_rbl(rows, listed).select("message_num", "rbl_listed", "rbl_name", "in_zen")
 

@@ -10,7 +10,31 @@ from .tables import saved
 
 #: The largest limit whose file names the driver holds; beyond, names are numbered as a table.
 MOST_LISTED = 10_000
+#: How many times as many files are looked at when those so far hold too few messages for a limit.
+FILE_GROWTH = 4
 _BOUNDARY = "\nFrom "
+#: Names of messages in a Maildir have colons. Of local files, checksum files would get names that Hadoop can't read then; so they are read without.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def _after_envelope(value: Column) -> Column:
+    """A record without what is left of its envelope line, with which every record starts."""
+    return F.when(F.contains(value, F.lit("\n")), F.substr(value, F.instr(value, "\n") + 1)).otherwise(F.lit(""))
+
+
+def _first_files(spark: SparkSession, path: str, limit: int) -> list[str] | str:
+    """The first files by name that together hold ``limit`` messages. Ever more files are looked at, each time no further than the limit; if that
+    takes too many, or all files hold fewer, it is the path again."""
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path")).orderBy("file_path")
+    some = 1
+    while some <= MOST_LISTED:
+        files = [r.file_path for r in names.limit(some).collect()]
+        if len(files) < some:
+            break
+        if spark.read.option("lineSep", _BOUNDARY).text(files).where(_after_envelope(F.col("value")) != "").limit(limit).count() >= limit:
+            return files
+        some *= FILE_GROWTH
+    return path
 
 
 def read_mbox(spark: SparkSession, path: str, limit: int | None = None, unquote: bool = False, numbered: bool = False, stream: bool = False) -> DataFrame:
@@ -18,13 +42,14 @@ def read_mbox(spark: SparkSession, path: str, limit: int | None = None, unquote:
 
     Files are read in splits, so a large mbox is many tasks. The envelope line goes; a boundary right after a boundary makes no message. ``unquote`` turns ``>From`` at the
     start of a line back. The separator takes a message's last newline, which all but the last message of a file get back; a stream
-    cannot tell the last one and gives one to each message without. ``numbered`` adds message_num over all files; ``limit`` (0 or None: all) keeps the first ones and numbers them.
+    cannot tell the last one and gives one to each message without. ``numbered`` adds message_num over all files; ``limit`` (0 or None: all) keeps the first ones and
+    numbers them, and only the first files that hold so many are read.
     """
     reader = (spark.readStream if stream else spark.read).option("lineSep", _BOUNDARY)
     columns = [F.col("value"), F.col("_metadata.file_path").alias("file_path")]
     if not stream:
         columns += [F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_id")]
-    records = reader.text(path).select(*columns)
+    records = reader.text(_first_files(spark, path, limit) if limit and not stream else path).select(*columns)
     if stream:
         ended = F.when(F.col("value").endswith("\n"), F.col("value")).otherwise(F.concat("value", F.lit("\n")))
     else:
@@ -33,8 +58,7 @@ def read_mbox(spark: SparkSession, path: str, limit: int | None = None, unquote:
         at_end = (F.col("_last.block_start") == F.col("block_start")) & (F.col("_last.row_id") == F.col("row_id"))
         ended = F.when(at_end, F.col("value")).otherwise(F.concat("value", F.lit("\n")))
     records = records.withColumn("value", ended)
-    # every record starts with what is left of its envelope line
-    rest = F.when(F.contains("value", F.lit("\n")), F.substr("value", F.instr("value", "\n") + 1)).otherwise(F.lit(""))
+    rest = _after_envelope(F.col("value"))
     raw = F.regexp_replace(rest, r"(?m)^>(>*From )", "$1") if unquote else rest
     rows = records.withColumn("raw", raw).where("raw <> ''").drop("value", "_last")
     if limit or numbered:
@@ -42,12 +66,20 @@ def read_mbox(spark: SparkSession, path: str, limit: int | None = None, unquote:
     return first_messages(rows, limit)
 
 
-def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbered: bool = False, stream: bool = False) -> DataFrame:
+def base_name(file_path: Column) -> Column:
+    """The name of a message in a Maildir: its file's name without the flags, which follow ``:2,``."""
+    return F.regexp_extract(file_path, r"([^/]*?)(?:(?::|%3A)2,[^/]*)?$", 1)
+
+
+def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbered: bool = False, stream: bool = False, forget_after: str | None = None) -> DataFrame:
     """Raw messages (raw, file_path, folder_rank, error) of a Maildir: files of cur before those of new, by name; subfolders and tmp are not read.
 
     A file that cannot be read is a row with an error, and the scan goes on. A missing folder counts as empty. Many small files: see
     spark.sql.files.openCostInBytes. Numbers are dealt to the names alone: ranges of them, as a table, are counted and numbered within, so no task sees
     all names. With a ``limit`` only the files of the first names are read.
+
+    A stream gives each message once: moving a file from new to cur, or changing its flags, keeps its name up to ``:2,``, and the names that were read
+    are the stream's state. ``forget_after`` (such as "30 days") bounds it: a name is forgotten so long after the newest modification time that was seen.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -57,8 +89,12 @@ def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbe
     rank = F.when(F.regexp_extract("file_path", r"/(cur|new)/[^/]*$", 1) == "cur", 0).otherwise(1)
     paths = [f"{path}/{f}" for f in there]
     if stream:
-        glob = paths[0] if len(paths) == 1 else f"{path}/{{cur,new}}"
-        rows = spark.readStream.option("wholetext", True).text(glob).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"))
+        glob = f"{path}/{{cur,new}}"  # both, even if one is yet to come
+        rows = spark.readStream.options(**_PLAIN_FILES).text(glob, wholetext=True)
+        rows = rows.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_"))
+        rows = rows.withColumn("name_", base_name(F.col("file_path")))
+        rows = rows.withWatermark("modified_", forget_after).dropDuplicatesWithinWatermark(["name_"]) if forget_after else rows.dropDuplicates(["name_"])
+        rows = rows.drop("name_", "modified_")
         return rows.withColumn("folder_rank", rank).withColumn("error", F.lit(None).cast("string"))
     if limit or numbered:
         return _numbered_maildir(spark, paths, rank, limit)
@@ -66,7 +102,7 @@ def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbe
 
 
 def _numbered_maildir(spark: SparkSession, paths: list[str], rank: Column, limit: int | None) -> DataFrame:
-    names = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file_path")).withColumn("folder_rank", rank)
+    names = spark.read.options(**_PLAIN_FILES).format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file_path")).withColumn("folder_rank", rank)
     if limit and limit <= MOST_LISTED:
         first = [r.file_path for r in names.orderBy("folder_rank", "file_path").limit(limit).collect()]
         if not first:
@@ -82,8 +118,8 @@ def _numbered_maildir(spark: SparkSession, paths: list[str], rank: Column, limit
 
 def _read_files(spark: SparkSession, paths: list[str], listed: list[str], rank: Column) -> DataFrame:
     """(raw, file_path, error, folder_rank) of whole files; of a file that is listed but cannot be read, the error."""
-    read = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths, wholetext=True)
+    read = spark.read.options(**_PLAIN_FILES).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths, wholetext=True)
     read = read.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"))
-    names = spark.read.format("binaryFile").load(listed).select(F.col("_metadata.file_path").alias("file_path"))
+    names = spark.read.options(**_PLAIN_FILES).format("binaryFile").load(listed).select(F.col("_metadata.file_path").alias("file_path"))
     lost = names.join(read.select("file_path"), "file_path", "left_anti").select(F.lit("").alias("raw"), "file_path", F.concat(F.lit("failed to read file: "), "file_path").alias("error"))
     return read.withColumn("error", F.lit(None).cast("string")).unionByName(lost).withColumn("folder_rank", rank)

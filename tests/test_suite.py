@@ -3,7 +3,7 @@
 import pytest
 from compare import differences
 
-from postsieve.plans.suite import ORACLES, QUERIES
+from postsieve.plans.ongoing import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
