@@ -40,9 +40,10 @@ IBAN_LENGTHS = {
 _ACCOUNTS = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 # Groups of the digits of payment cards: 19 digits that begin with 62, 15 with 34 or 37, 14 with 30, 36 or 38, and any 16.
 _CARDS = "62[0-9]{2}(?:[ -]?[0-9]{4}){3}[ -]?[0-9]{3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3[068][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{4}|[0-9]{4}(?:[ -]?[0-9]{4}){3}"
-# What the kinds of personal data look like. Tried in this order at each place of a text.
+# What the kinds of personal data look like. Tried in this order at each place of a text. All repeats of groups are bounded, so that no text, however long,
+# makes the matcher recurse; the name of a domain has 127 parts at most.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}+",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
