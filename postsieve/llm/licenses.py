@@ -8,7 +8,7 @@ The frequencies are a table. A scan of the texts knows those of the terms of tem
 gives an upper bound of each cosine; runs whose bound reaches the threshold are kept with their other terms, which are then joined
 to the table for the exact cosine. Only runs that hold a telling term are looked at: terms are telling
 unless the other ones of some template could reach the threshold by themselves, so nothing that could match is passed over.
-Where no grant is stated, the title of a license text counts, if its terms follow each other.
+A title of a license text, whose terms follow each other, says which license a text names; that is no cosine and no grant. Only in a license file that states nothing else does it count.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ WINDOW = 3
 BROADCAST_DIRS = 50_000
 #: Rows of a table of terms that may be broadcast; beyond, it is joined by a shuffle.
 BROADCAST_TERMS = 200_000
-TERM = r"[0-9a-z]+(?:[.-][0-9a-z]+)*"
+TERM = r"[0-9a-z]++(?:[.-][0-9a-z]++)*+"  # possessive: without a way back, long terms are no deeper recursion
 _TERM = re.compile(TERM)
 #: The least inverse document frequency that a term can have: that of one in all files.
 LEAST_IDF = 1.0
@@ -202,10 +202,12 @@ def _nearest_templates(found: DataFrame, frequencies: DataFrame, n_files: int, t
 
 
 def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path", text_col: str = "text", file_names: str = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$") -> DataFrame:
-    """``columns`` of each row of ``files`` with path, license, cosine, origin (header, inherited or none) and license_dir.
+    """``columns`` of each row of ``files`` with path, license, cosine, origin (header, title, inherited or none), license_dir and named.
 
-    A file with a statement of its own has that license. Else it takes that of the nearest directory at or above its own which has a
-    license file (a file by such a name with a statement; the one with the highest cosine, then the first license by name). A null or
+    A file with a statement of its own has that license, and the cosine of the statement. A license file without one, or with all rights reserved alone, has the license whose
+    title it holds, and no cosine. Any other file takes the license of the nearest directory at or above its own which has a
+    license file (a file by such a name with a license; the one with the highest cosine, titles last, then the first license by name). named is the license whose title
+    a text holds, if only in passing. A null or
     empty text has no statement; a null path has no directory. Repeated rows get equal results. Columns named like the new ones
     are replaced. An empty table gives no rows.
     """
@@ -216,14 +218,16 @@ def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path",
     found = saved(found.withColumn("row_no", F.monotonically_increasing_id()), "license-runs")
     found = _nearest_templates(found, frequencies, n_files, THRESHOLD)
     stated = F.get(F.array(*[F.lit(name) for name, _ in TEMPLATES]), F.col("template_"))
-    titled = F.col("scan_.title").isNotNull() & (stated.isNull() | (stated == RESERVED))
-    found = found.select("row_", "path", F.when(titled, F.col("scan_.title")).otherwise(stated).alias("license_"), F.when(titled, 1.0).otherwise(F.col("cosine_")).alias("cosine_"))
-    found = saved(found, "license-own")
     parts = F.split("path", "/")
     home = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     name = F.element_at(parts, -1)
+    titled = F.coalesce(name.rlike(file_names), F.lit(False)) & F.col("scan_.title").isNotNull() & (stated.isNull() | (stated == RESERVED))
+    found = found.select(
+        "row_", "path", F.col("scan_.title").alias("named_"), titled.alias("titled_"), F.when(titled, F.col("scan_.title")).otherwise(stated).alias("license_"), F.when(~titled, F.col("cosine_")).alias("cosine_")
+    )
+    found = saved(found, "license-own")
     dirs = found.where(name.rlike(file_names) & F.col("license_").isNotNull()).groupBy(home.alias("dir"))
-    dirs = dirs.agg(F.min(F.struct((-F.col("cosine_")).alias("less"), "license_"))["license_"].alias("dir_license"))
+    dirs = dirs.agg(F.min(F.struct(F.coalesce(-F.col("cosine_"), F.lit(0.0)).alias("less"), "license_"))["license_"].alias("dir_license"))
     # directories are far fewer than files: each one, once, looks up all its ancestors
     homes = found.where("path is not null and license_ is null").select(home.alias("home")).distinct()
     steps = F.split("home", "/")
@@ -234,10 +238,11 @@ def scan_licenses(files: DataFrame, columns: list[str], path_col: str = "path",
     out = found.join(hinted(nearest, nearest.count(), BROADCAST_DIRS), home == F.col("home"), "left")
     own = F.col("license_").isNotNull()
     return out.select(
-        *unpacked(columns, ("path", "license", "cosine", "origin", "license_dir")),
+        *unpacked(columns, ("path", "license", "cosine", "origin", "license_dir", "named")),
         "path",
         F.coalesce("license_", "from_.dir_license").alias("license"),
         F.col("cosine_").alias("cosine"),
-        F.when(own, "header").when(F.col("from_").isNotNull(), "inherited").otherwise("none").alias("origin"),
+        F.when(F.col("titled_"), "title").when(own, "header").when(F.col("from_").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~own, F.col("from_.dir")).alias("license_dir"),
+        F.col("named_").alias("named"),
     )
