@@ -542,6 +542,16 @@ def test_whole_texts_match_brute_force(spark):
     assert found > 100
 
 
+@pytest.mark.parametrize("piece", ["b.", "a@b.", "a@", "1", "1-", "1.", "+1 ", "4111 ", "2020-01-", "DE12 ", "aA0", "%", "1111-", "a-b."])
+def test_a_megabyte_of_what_patterns_repeat(spark, piece):
+    """No text is too long for the patterns; what is found is what Python's matcher finds."""
+    texts = [pre + piece * (1_000_000 // len(piece)) + end for pre, end in (("", "com"), ("a@", "com"), ("x ", " john@x.org"))]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymize(df, "a key").collect()}
+    assert all(len(out[n].text) == len(t) for n, t in enumerate(texts))
+    assert "john" not in out[2].text and [p.kind for p in out[2].pii][-1] == "email"
+
+
 def test_secrets_of_any_case_and_length(spark):
     tokens = ["9233A8EC" * 4, "0123456789abcdef" * 8, "AbCdEf01" * 5, "c0ffee" * 200]
     df = docs(spark, (1, f'TOKEN = "{tokens[0]}" {tokens[1]}, {tokens[2]}'), (2, tokens[3]), (3, "g" + tokens[0]), (4, tokens[0][:31]), (5, tokens[0]), (6, "A" * 100_000 + "g"))
@@ -707,33 +717,42 @@ def test_quality_counts_and_estimates(spark):
     assert [tuple(x) for x in rows[names].itertuples(index=False)] == [brute_stats(t) for t in rows.text]
     assert (rows.base_failed == ((rows.n_words < 50) | (100 * rows.n_repeat_words > 50 * rows.n_words))).all()
 
-    # the estimate of one pool again, with numpy
-    x = np.array([quality.text_stats(t)[5] for t in rows.text]) / quality.SCALE
-    sizes = rows[~rows.base_failed].groupby(["lang", "source"]).size()
-    pooled = rows.lang.eq("fr") & ~rows.base_failed
-    assert all(sizes.get(("fr", s), 0) < quality.MIN_GROUP for s in rows.source.unique())
-    own = np.unique(np.c_[x[pooled], pd.factorize(rows[pooled].source)[0]], axis=0)[:, : quality.D]
-    center, inverse = brute_mcd(own)
-    off = x[rows.lang == "fr"] - center
-    want = np.einsum("ij,jk,ik->i", off, inverse, off)
-    assert np.allclose(rows[rows.lang == "fr"].distance, want, rtol=1e-6)
+    # the estimates again, with numpy: groups of their own, and languages whose small groups are pooled
+    x, r = (np.array([quality.text_stats(t)[k] for t in rows.text]) / quality.SCALE for k in (5, 6))
+    good = ~rows.base_failed
+    sizes = rows[good].groupby(["lang", "source"]).size()
+    small = np.array([sizes.get(k, 0) < quality.MIN_GROUP for k in zip(rows.lang, rows.source, strict=True)])
+    places = [(rows.lang == lang) & small for lang in rows.lang.dropna().unique()] + [(rows.lang == k[0]) & (rows.source == k[1]) for k, n in sizes.items() if n >= quality.MIN_GROUP]
+    dets = []
+    for place in places:
+        used = place & good
+        own = {}
+        for source, k, q in zip(pd.factorize(rows.source)[0][used], x[used], r[used], strict=True):
+            own[(*k, source)] = min(tuple(q), own.get((*k, source), (math.inf,)))
+        center, scatter, det, noise = brute_mcd(np.array(list(own))[:, : quality.D], np.array(list(own.values())))
+        want = brute_distance(x[place], r[place], center, scatter, noise)
+        assert np.allclose(rows[place].distance, want, rtol=1e-6)
+        dets.append(det)
+    assert len(dets) >= 4 and len({round(d, 3) for d in dets}) == len(dets)
     assert (rows.kept == (~rows.base_failed & (rows.distance <= quality.CUTOFF))).all()
 
 
-def brute_mcd(own):
-    """Centre and inverse scatter of distinct vectors: three starts, concentration to the end, the smallest determinant."""
-    d = quality.D
-    least = np.diag(quality.LEAST_SPREAD)
+def brute_distance(x, r, center, scatter, noise):
+    off, out = x - center, []
+    for o, own in zip(off, np.minimum(r**2, noise), strict=True):
+        out.append(o @ np.linalg.inv(scatter - np.diag(noise) + np.diag(own)) @ o)
+    return np.array(out)
 
-    def regular(scatter):
-        values, axes = np.linalg.eigh(np.linalg.inv(least) @ scatter @ np.linalg.inv(least))
-        return least @ axes @ np.diag(values.clip(1)) @ axes.T @ least
 
+def brute_mcd(own, r):
+    """Centre, scatter, log-determinant and noise of distinct vectors: three starts, concentration to the end, the smallest determinant."""
+    d = quality.D
+    noise = (r**2).mean(axis=0)
     low, mid, high = (np.percentile(own, q, axis=0) for q in (25, 50, 75))
-    spread = np.sqrt(np.diag(regular(np.diag(((high - low) / 1.349) ** 2))))
+    spread = np.sqrt(((high - low) / 1.349) ** 2 + noise)
     z = (own - mid) / spread
     signs = z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
-    starts = [(mid, np.diag(spread**2)), (mid, regular(np.outer(spread, spread) * (signs.T @ signs) * d / len(own))), (own.mean(0), regular(np.cov(own.T, bias=True)))]
+    starts = [(mid, np.diag(spread**2)), (mid, np.outer(spread, spread) * (signs.T @ signs) * d / len(own) + np.diag(noise)), (own.mean(0), np.cov(own.T, bias=True) + np.diag(noise))]
     ends = []
     for center, scatter in starts:
         best = math.inf
@@ -742,13 +761,30 @@ def brute_mcd(own):
             bins = np.floor(64 * np.log2(1 + np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off)))
             last = np.sort(bins)[int(np.ceil(quality.CORE * len(own))) - 1]
             core = own[bins <= last]
-            new = regular(quality.consistency() * np.cov(core.T, bias=True))
+            new = quality.consistency() * np.cov(core.T, bias=True) + np.diag(noise)
             det = np.linalg.slogdet(new)[1]
             if not det < best - quality.LEAST_FALL:
                 break
             center, scatter, best = core.mean(0), new, det
-        ends.append((best, center, np.linalg.inv(scatter)))
-    return min(ends, key=lambda e: e[0])[1:]
+        ends.append((best, center, scatter))
+    least = min(e[0] for e in ends)
+    det, center, scatter = next(e for e in ends if e[0] <= least + quality.TIE)
+    return center, scatter, det, noise
+
+
+def test_scatters_are_estimates_of_their_groups(spark):
+    """The core's scatter, not the resolution that keeps it regular, makes the determinants: they differ by group, and follow the data when it is spread out."""
+    rows = queries.table(spark, "/root/testdata/sf0.1", "documents").select("lang", "source", quality.stats("text").alias("s"))
+    rows = rows.where(~quality.base_failed(F.col("s"))).select(F.col("lang").alias("language"), "source", "s.x", "s.r")
+    estimates, n = quality.fit(rows)
+    found = estimates.toPandas()
+    assert len(found) == n >= 60
+    noise_alone = np.log(np.array(found.noise.tolist())).sum(axis=1)
+    assert (found.log_det > noise_alone + 1).mean() > 0.9
+    assert found.log_det.round(6).nunique() > 0.5 * n
+    # of word lengths, which every text has, nearly all of the variance is the data's
+    variances = np.linalg.inv(np.array(found.inverse.tolist()).reshape(-1, quality.D, quality.D))[:, 0, 0]
+    assert (np.array(found.noise.tolist())[:, 0] < 0.2 * variances).mean() > 0.9
 
 
 def test_estimate_of_a_group_of_its_own(spark):
@@ -759,9 +795,12 @@ def test_estimate_of_a_group_of_its_own(spark):
     bad = [" ".join(word(rng.randrange(18, 30)).upper() + "$#|" for _ in range(rng.randrange(60, 200))) for _ in range(12)]
     rows = docs(spark, *[(n, t, "en", "s") for n, t in enumerate(good + bad)], *[(n + 500, t, "en", "other") for n, t in enumerate(good[:70])])
     out = quality.quality_rules(rows, ["doc_id"]).where("doc_id < 500").toPandas().sort_values("doc_id")
-    x = np.array([quality.text_stats(t)[5] for t in good + bad]) / quality.SCALE
-    center, inverse = brute_mcd(np.unique(x, axis=0))
-    assert np.allclose(out.distance, np.einsum("ij,jk,ik->i", x - center, inverse, x - center), rtol=1e-6)
+    x, r = (np.array([quality.text_stats(t)[k] for t in good + bad]) / quality.SCALE for k in (5, 6))
+    own = {}
+    for k, q in zip(map(tuple, x), map(tuple, r), strict=True):
+        own[k] = min(q, own.get(k, (math.inf,)))
+    center, scatter, _, noise = brute_mcd(np.array(list(own)), np.array(list(own.values())))
+    assert np.allclose(out.distance, brute_distance(x, r, center, scatter, noise), rtol=1e-6)
     assert out.kept.tolist() == [True] * 160 + [False] * 12
 
 
@@ -832,8 +871,7 @@ def brute_licenses(texts):
                     cosine = round(sum(x * vectors[n].get(t, 0) for t, x in v.items()) / norm(v) / norm(vectors[n]), 6)
                     best = max(best, (cosine, -n))
         name = templates[-best[1]][0] if best[0] >= licenses.THRESHOLD else None
-        title = licenses.title_of(text)
-        out.append((title, 1.0) if title and name in (None, licenses.RESERVED) else (name, best[0] if name else None))
+        out.append((name, best[0] if name else None))
     return out
 
 
@@ -874,6 +912,23 @@ def test_statements(spark):
     assert [got[n][0] for n in range(len(texts))] == list(texts.values())
 
 
+def test_a_title_is_no_grant(spark):
+    """Prose that names a license has none by it; a license file that holds a title and no statement has that license, without a cosine."""
+    named = {
+        "This file is not under the MIT License and never was": "MIT", "We compared Apache License 2.0 with the GNU General Public License version 3 for our book.": "Apache-2.0",
+        "MIT License": "MIT", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Everyone": "GPL-3.0", "no title": None,
+    }
+    rows = [(i, f"d{i}/{name}", text) for i, (text, name) in enumerate((t, n) for t in named for n in ("x.txt", "LICENSE"))]
+    rows.append((99, "all/LICENSE", "Copyright 2020 X. All rights reserved. MIT License"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), ["doc_id"]).collect()}
+    for i, path, text in rows[:-1]:
+        r, own = got[i], path.endswith("LICENSE") and named[text]
+        assert r.named == named[text] and r.cosine is None
+        # x.txt lies in a directory of its own, without a license file
+        assert (r.license, r.origin) == ((named[text], "title") if own else (None, "none"))
+    assert (got[99].license, got[99].origin, got[99].cosine) == ("MIT", "title", None)
+
+
 def test_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
@@ -888,6 +943,14 @@ def test_inheritance(spark):
     assert licenses.scan_licenses(df.limit(0), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["a-", "a.", "a", "0-9.", "- ", "MIT License ", "under the "])
+def test_terms_of_a_megabyte(spark, piece):
+    rows = spark.createDataFrame([(1, "d/x", piece * (1_000_000 // len(piece)) + "a")], "doc_id long, path string, text string")
+    assert licenses.document_frequencies(rows).count() >= 1
+    if piece != "a.":
+        assert licenses.scan_licenses(rows, ["doc_id"]).count() == 1
+
+
 def test_planted_statements_are_found(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
