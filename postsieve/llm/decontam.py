@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, bounded_batches, hinted, packed, saved, unpacked
-from .words import mixed, shingles, texts_words, word_hashes
+from .words import encoded, mixed, shingles, texts_words, word_hashes
 
 PROBES = 32
 #: Probability with which a contained item may be passed over by its minima.
@@ -80,11 +80,10 @@ def _bit_filter(probes: DataFrame, n_probes: int) -> tuple[np.ndarray, int]:
 
 
 def candidates(rows: DataFrame, items: DataFrame, k: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
-    """(crc_, items_): for each text hash, the items (item, text) that a text with this hash may contain. ``rows`` has crc and text, ``items`` item and text.
+    """(crc_, items_): for each text hash, the items (number, text) that a text with this hash may contain. ``rows`` has crc and text; ``items``, a table, number and text, no text twice.
 
-    The items of one text are together about as long as the text, as it has most of their words."""
+    The items of one text differ, and the text has most of the words of each."""
     spark = rows.sparkSession
-    items = saved(items.distinct().withColumn("number", F.monotonically_increasing_id()), "decontam-items")
     probes = saved(items.select("number", "text").mapInArrow(_probe_rows(k, threshold), "number long, width long, need long, probe long, weight long"), "decontam-probes")
     n_probes = probes.count()
     widths = sorted(r.width for r in probes.select("width").distinct().collect())  # k at most
@@ -107,25 +106,28 @@ def candidates(rows: DataFrame, items: DataFrame, k: int = SHINGLE_WORDS, thresh
     met = rows.select("crc", "text").mapInArrow(scan, "crc long, probe long").distinct()
     hits = met.join(hinted(probes, n_probes, BROADCAST_ROWS), "probe").groupBy("crc", "number", "need").agg(F.sum("weight").alias("weight"))
     near = saved(hits.where("weight >= need").select(F.col("crc").alias("crc_"), "number"), "decontam-near")
-    return saved(near.join(items, "number").groupBy("crc_").agg(F.collect_list(F.struct("item", "text")).alias("items_")), "decontam-candidates")
+    return saved(near.join(items, "number").groupBy("crc_").agg(F.collect_list(F.struct("number", "text")).alias("items_")), "decontam-candidates")
 
 
 def _verified(k: int, threshold: float):
-    """For each row, its text and its candidates: a row for each item that the text contains."""
+    """For each row, its text and its candidates: a row for each item text that the text contains. Shingles are found by their hashes and compared by their words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             at, which, shared, sizes = [], [], [], []
             first = 0
-            lists = part.column("items_")
-            for row, text in enumerate(part.column("text").to_pylist()):
-                own, grams = (text or "").encode("utf-8", "surrogatepass").split(), {}
+            lists, texts = part.column("items_"), encoded(part.column("text"))
+            for row, text in enumerate(texts):
+                own, hashes, grams = text.split(), word_hashes([text])[0], {}
                 wanted = lists[row].as_py()
-                for n, item in enumerate(wanted):
-                    words = (item["text"] or "").encode("utf-8", "surrogatepass").split()
+                items = [(item["text"] or "").encode("utf-8", "surrogatepass").split() for item in wanted]
+                for n, words in enumerate(items):
                     w = min(k, len(words))
                     if w not in grams:
-                        grams[w] = {tuple(own[i : i + w]) for i in range(len(own) - w + 1)}
+                        # of the text, only the shingles that an item has are looked at as words
+                        known = np.unique(np.concatenate([shingles(word_hashes([b" ".join(x)])[0], w) for x in items if min(k, len(x)) == w]))
+                        places = np.flatnonzero(np.isin(shingles(hashes, w), known)).tolist() if len(own) >= w else []
+                        grams[w] = {tuple(own[i : i + w]) for i in places}
                     parts_ = {tuple(words[i : i + w]) for i in range(len(words) - w + 1)}
                     both = len(parts_ & grams[w])
                     if both >= threshold * len(parts_) - 1e-9:
@@ -136,7 +138,7 @@ def _verified(k: int, threshold: float):
                 first += len(wanted)
             names = lists.flatten().field(0)
             columns = [part.column("id").take(pa.array(at, pa.int32())), part.column("crc").take(pa.array(at, pa.int32())), names.take(pa.array(which, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shared, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "crc", "item", "shared", "item_shingles"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shared, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "crc", "number", "shared", "item_shingles"])
 
     return run
 
@@ -144,9 +146,13 @@ def _verified(k: int, threshold: float):
 def _contained(rows: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     """(id, crc, item, shared, item_shingles) of all pairs; ``rows`` has id, crc and text."""
     bounded_batches(rows.sparkSession)
-    near = candidates(rows, items, k, threshold)
+    # texts are searched for; items that share a text take its finds at the end
+    texts = saved(items.select("text").where("text is not null").distinct().withColumn("number", F.monotonically_increasing_id()), "decontam-texts")
+    near = candidates(rows, texts, k, threshold)
     met = rows.join(hinted(near, near.count(), BROADCAST_ROWS), F.col("crc") == F.col("crc_")).select("id", "crc", "text", "items_")
-    return met.mapInArrow(_verified(k, threshold), f"id {dict(rows.dtypes)['id']}, crc long, item {dict(items.dtypes)['item']}, shared long, item_shingles long")
+    found = met.mapInArrow(_verified(k, threshold), f"id {dict(rows.dtypes)['id']}, crc long, number long, shared long, item_shingles long")
+    named = saved(items.distinct().join(texts, "text").select("number", "item"), "decontam-items")
+    return found.join(hinted(named, named.count(), BROADCAST_ROWS), "number").select("id", "crc", "item", "shared", "item_shingles")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -347,6 +347,19 @@ def test_many_items_in_one_scan(spark, monkeypatch):
     assert scans == [1, 1]
 
 
+def test_many_items_of_one_text(spark, monkeypatch):
+    """Items that share a text are searched for once, and each of them is found."""
+    one, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(9))
+    items = spark.createDataFrame([(n, one) for n in range(500)] + [(900, other), (901, None), (None, other)], "item_id long, text string")
+    rows = docs(spark, *[(n, f"{n} {one} x{n}") for n in range(20)], (77, f"{other} {one}"))
+    tables = []
+    real = decontam.saved
+    monkeypatch.setattr(decontam, "saved", lambda df, what: tables.append((what, real(df, what))) or tables[-1][1])
+    found = {(r.doc_id, r.item_id) for r in decontam.contained_items(rows, items).collect()}
+    assert found == {(n, i) for n in [*range(20), 77] for i in range(500)} | {(77, 900), (77, None)}
+    assert max(len(r.items_) for what, df in tables if what == "decontam-candidates" for r in df.collect()) == 2
+
+
 # 4: URLs
 
 
