@@ -82,11 +82,12 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return kept.where(F.col("version") == version).select("version", "slot", "shard", "bytes")
 
 
-def stored_map(records: DataFrame, keys: list[str], size: Column, shards: int = 8) -> tuple[DataFrame, str]:
-    """Version 0 of the map for ``records``, written to a new table in the shared folder and read back, and the table's path."""
+def stored_map(records: DataFrame, keys: list[str], size: Column, shards: int = 8, path: str | None = None) -> tuple[DataFrame, str]:
+    """Version 0 of the map for ``records``, written to a table at ``path`` and read back, and the path. Later runs load the map from there, or add grown versions to it;
+    without a path it is a new table in the shared folder, for this run alone."""
     own = [F.col(f"`{k}`") for k in keys]
     sized = records.select(F.coalesce(size, F.lit(0)).cast("long").alias("size"), slot_of(*own).alias("vslot"))
-    path = scratch(records.sparkSession, "shard-map")
+    path = path or scratch(records.sparkSession, "shard-map")
     store_map(slot_map(slot_bytes(sized), shards), path)
     return load_map(records.sparkSession, path, 0), path
 
@@ -94,7 +95,8 @@ def stored_map(records: DataFrame, keys: list[str], size: Column, shards: int =
 def shard_by_slots(records: DataFrame, keys: list[str], size: Column, shards: int = 8, mapping: DataFrame | None = None) -> DataFrame:
     """``records`` with the columns size (long), vslot, shard (int) and slot (long): the place in the shard, from 0 without gaps.
 
-    The slot comes from all ``keys``, so one hot value of one key does not fill a slot; the shard comes from
+    The slot comes from all ``keys``, so one hot value of one key does not fill a slot. Rows that are equal in all keys can't be told apart and share a slot, so shards are near equal
+    only as long as no row is repeated so often that it outweighs a shard's share. The shard comes from
     ``mapping``, or from a new map with near-equal bytes. Places are numbered piece by piece: counts of the PIECES pieces of each slot give
     each piece's first place, and rows are numbered within their piece only, by their keys. Rows with equal keys are
     interchangeable and get places in any order. Null keys and sizes are allowed (a null size counts as 0). Columns
