@@ -24,7 +24,7 @@ from .common import hinted, saved
 LEAST_LETTERS, LEAST_N, TIMES, DELETED = 7, 2, 10, 31
 LETTERS = r"A-Za-zÀ-ÿ"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words on which trees are fitted, the longest of them, and the number of a length's words that a leaf is to hold.
+#: Words on which trees are fitted (about), the longest of them, and the number of a length's words that a leaf is to hold.
 SAMPLE, LONGEST, LEAF_WORDS = 65_536, 64, 4096
 #: Members and queries from which a leaf is dealt out in blocks of that size, and the words of a leaf of the tree within a task.
 BLOCK_MEMBERS, BLOCK_QUERIES, INNER_WORDS = 8192, 100_000, 256
@@ -152,10 +152,11 @@ class Tree:
 
 
 def fit(vocabulary: DataFrame) -> dict[int, Tree]:
-    """A tree for each length, fitted on the SAMPLE words with the smallest hashes; longer words than LONGEST have one leaf for each length."""
+    """A tree for each length, fitted on about SAMPLE words, those with small hashes; longer words than LONGEST have one leaf for each length."""
     n = vocabulary.count()
-    short = vocabulary.where(F.length("word") <= LONGEST).select("word")
-    sample = [r.word.encode("latin-1") for r in short.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
+    least = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    short = vocabulary.where((F.length("word") <= LONGEST) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < least)).select("word")
+    sample = [r.word.encode("latin-1") for r in short.collect()]
     capacity = max(8, LEAF_WORDS * len(sample) // max(n, 1))
     by_length: dict[int, list[bytes]] = {}
     for w in sample:
