@@ -63,6 +63,11 @@ def _part(fp: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _values(fp: Column) -> list[Column]:
+    """The values of a fingerprint's segments, told apart by segment."""
+    return [_part(fp, first, width) + F.lit(s << 22) for s, (first, width) in enumerate(SEGMENTS)]
+
+
 def _keys(fp: Column) -> Column:
     """An array of (place, key, value, met) of a fingerprint: for each segment one with its value as key, and one for each of its bits as a wildcard.
 
@@ -148,8 +153,9 @@ def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` of ``nodes`` within MOST_BITS bits of each other, over others where need be."""
     spark = nodes.sparkSession
-    keyed = nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("k")).select("fp", "k.*")
-    values = keyed.where("place >= 64").groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = nodes.repartition(parts).select("fp", F.explode(_keys(F.col("fp"))).alias("k")).select("fp", "k.*")  # the nodes are few bytes, their keys many
+    values = nodes.select(F.explode(F.array(*_values(F.col("fp")))).alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     values = saved(values.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "simhash-values")
     hot = values.count()
     own = hinted(values.withColumnRenamed("blocks", "own"), hot, BROADCAST_VALUES)
@@ -163,7 +169,6 @@ def links(nodes: DataFrame) -> DataFrame:
     j = F.when(alone, F.greatest("block", "other")).when(low, F.col("other")).otherwise(F.col("block"))
     key = F.shiftleft(F.col("place").cast("long"), 32) + F.col("key")
     dealt = dealt.select(key.alias("key"), i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("long").alias("side"), "fp")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return saved(dealt.mapInArrow(_linked, "a long, b long"), "simhash-links")
 
