@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import Column
@@ -23,7 +24,13 @@ def body_contains(piece: str | Column) -> Column:
 
 def _java(pattern: str) -> str | None:
     """The pattern for Java, where that takes a bounded time at each place of a text; None if RE2 has to run it; empty if it is invalid."""
-    java = translate(pattern)
+    try:
+        java = translate(pattern)
+    except NotImplementedError:
+        # names of Unicode classes, quoted pieces and swapped greed are for RE2; single bytes are not in the dialect
+        java = None
+        if re2.is_valid(pattern) and not re.search(r"(?<!\\)(?:\\\\)*\\C", pattern):
+            return None
     if java is None or not re2.is_valid(pattern):
         warnings.warn(f"invalid pattern never matches: {pattern!r}", stacklevel=3)
         return ""

@@ -2,6 +2,7 @@
 
 import random
 import time
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,19 @@ def test_long_texts_take_linear_time(spark, pattern, piece, end, hit):
     assert time.time() - began < 30
 
 
+@pytest.mark.parametrize(
+    ("pattern", "text", "hit"),
+    [
+        (r"\pL+\d", "xé7", True), (r"^\pN$", "\u0664", True), (r"\p{Greek}", "abc", False), (r"\p{Greek}", "aβc", True), (r"\Qa.b\E", "a.b", True), (r"\Qa.b\E", "axb", False), ("(?U)a+$", "aa", True),
+        (r"\C", "a", False), (r"\\C", "\\C", True), (r"\p{Nonsense}", "a", False),
+    ],
+)
+def test_patterns_that_only_re2_reads(spark, pattern, text, hit):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert spark.createDataFrame([(text,)], "t string").select(predicates.regex_match(pattern, F.col("t"))).first()[0] is hit
+
+
 @pytest.mark.parametrize(
     ("pattern", "kept"),
     [
