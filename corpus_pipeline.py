@@ -37,10 +37,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard: size (bytes and 1), vslot, shard and slot."""
+    """The documents with their shard: size (bytes and 1), vslot, shard and slot. The slot map is stored first and read back."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("text_crc32", F.crc32(text.cast("binary")))
-    return shards.shard_by_slots(keyed, ["doc_id", "text_crc32"], F.octet_length(text) + 1, 8)
+    keyed, keys, size = docs.withColumn("text_crc32", F.crc32(text.cast("binary"))), ["doc_id", "text_crc32"], F.octet_length(text) + 1
+    mapping, _ = shards.stored_map(keyed, keys, size, 8)
+    return shards.shard_by_slots(keyed, keys, size, mapping=mapping)
 
 
 STAGES = [
