@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,42 +82,40 @@ def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbe
     A stream gives each message once: moving a file from new to cur, or changing its flags, keeps its name up to ``:2,``, and the names that were read
     are the stream's state. ``forget_after`` (such as "30 days") bounds it: a name is forgotten so long after the newest modification time that was seen.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = [f for f in ("cur", "new") if store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}"))]
-    if not there:
-        return spark.createDataFrame([], "raw string, file_path string, folder_rank int, error string" + (", message_num long" if limit or numbered else ""))
     rank = F.when(F.regexp_extract("file_path", r"/(cur|new)/[^/]*$", 1) == "cur", 0).otherwise(1)
-    paths = [f"{path}/{f}" for f in there]
-    if stream:
-        glob = f"{path}/{{cur,new}}"  # both, even if one is yet to come
-        rows = spark.readStream.options(**_PLAIN_FILES).text(glob, wholetext=True)
-        rows = rows.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_"))
-        rows = rows.withColumn("name_", base_name(F.col("file_path")))
-        rows = rows.withWatermark("modified_", forget_after).dropDuplicatesWithinWatermark(["name_"]) if forget_after else rows.dropDuplicates(["name_"])
-        rows = rows.drop("name_", "modified_")
-        return rows.withColumn("folder_rank", rank).withColumn("error", F.lit(None).cast("string"))
-    if limit or numbered:
-        return _numbered_maildir(spark, paths, rank, limit)
-    return _read_files(spark, paths, paths, rank)
+    both = f"{path}/{{cur,new}}"  # either may be missing
+    try:
+        if stream:
+            rows = spark.readStream.options(**_PLAIN_FILES).text(both, wholetext=True)
+            rows = rows.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_"))
+            rows = rows.withColumn("name_", base_name(F.col("file_path")))
+            rows = rows.withWatermark("modified_", forget_after).dropDuplicatesWithinWatermark(["name_"]) if forget_after else rows.dropDuplicates(["name_"])
+            return rows.drop("name_", "modified_").withColumn("folder_rank", rank).withColumn("error", F.lit(None).cast("string"))
+        if limit or numbered:
+            return _numbered_maildir(spark, both, rank, limit)
+        return _read_files(spark, both, both, rank)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "raw string, file_path string, folder_rank int, error string" + (", message_num long" if limit or numbered else ""))
 
 
-def _numbered_maildir(spark: SparkSession, paths: list[str], rank: Column, limit: int | None) -> DataFrame:
-    names = spark.read.options(**_PLAIN_FILES).format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file_path")).withColumn("folder_rank", rank)
+def _numbered_maildir(spark: SparkSession, both: str, rank: Column, limit: int | None) -> DataFrame:
+    names = spark.read.options(**_PLAIN_FILES).format("binaryFile").load(both).select(F.col("_metadata.file_path").alias("file_path")).withColumn("folder_rank", rank)
     if limit and limit <= MOST_LISTED:
         first = [r.file_path for r in names.orderBy("folder_rank", "file_path").limit(limit).collect()]
         if not first:
-            return _read_files(spark, paths, paths, rank).withColumn("message_num", F.lit(0).cast("long")).limit(0)
+            return _read_files(spark, both, both, rank).withColumn("message_num", F.lit(0).cast("long")).limit(0)
         numbers = spark.createDataFrame([(p, n + 1) for n, p in enumerate(first)], "file_path string, message_num long")
         return _read_files(spark, first, first, rank).join(F.broadcast(numbers), "file_path").select("raw", "file_path", "folder_rank", "error", "message_num")
     ranges = names.repartitionByRange("folder_rank", "file_path").withColumn("range", F.spark_partition_id())
     ranges = saved(ranges, "maildir-names")
     numbers = number_messages(ranges, [F.col("range")], "file_path").select("file_path", "message_num")
-    rows = _read_files(spark, paths, paths, rank).join(first_messages(numbers, limit), "file_path")
+    rows = _read_files(spark, both, both, rank).join(first_messages(numbers, limit), "file_path")
     return rows.select("raw", "file_path", "folder_rank", "error", "message_num")
 
 
-def _read_files(spark: SparkSession, paths: list[str], listed: list[str], rank: Column) -> DataFrame:
+def _read_files(spark: SparkSession, paths: str | list[str], listed: str | list[str], rank: Column) -> DataFrame:
     """(raw, file_path, error, folder_rank) of whole files; of a file that is listed but cannot be read, the error."""
     read = spark.read.options(**_PLAIN_FILES).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths, wholetext=True)
     read = read.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"))
