@@ -412,7 +412,7 @@ def maildir_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fixtures.scratch(spark, "maildir")
     raw = fixtures.raw_messages(spark, sf_dir)
     for folder, part in (("cur", raw.where("message_num % 2 = 0")), ("new", raw.where("message_num % 2 = 1"))):
-        part.select("raw").write.option("maxRecordsPerFile", 1).text(f"{path}/{folder}")
+        mailbox.write_maildir(part, path, folder)
     return _read_again(mailbox.read_maildir(spark, path))
 
 

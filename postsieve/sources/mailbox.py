@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable, Iterator
+from urllib import parse
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +23,14 @@ FILE_GROWTH = 4
 _BOUNDARY = "\nFrom "
 #: Names of messages in a Maildir have colons. Of local files, checksum files would get names that Hadoop can't read then; so they are read without.
 _PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: What Spark gives of a whole file. Its text source would make a new Hadoop configuration for each one.
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+#: What opening a file counts when files are packed into tasks, in bytes: Spark's 4 MB would give each task of a Maildir some 30 messages only.
+OPEN_COST = 65_536
+#: Most tasks that look up the files of a stream's batch, of which Spark is told one by one.
+LISTING_TASKS = 256
+#: Tasks that put files into their folder themselves; else the driver alone moves them, one after the other.
+_MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def _after_envelope(value: Column) -> Column:
@@ -72,28 +87,81 @@ def base_name(file_path: Column) -> Column:
     return F.regexp_extract(file_path, r"([^/]*?)(?:(?::|%3A)2,[^/]*)?$", 1)
 
 
+def write_maildir(raw: DataFrame, path: str, folder: str = "new") -> None:
+    """The column ``raw`` as messages in a folder of a Maildir: one file each, which ends with a newline.
+
+    Tasks deliver as mail servers do: they write to tmp, and what tasks that succeeded have written is moved to the folder, so attempts that fail leave nothing there. Other stores
+    than file: are written by Spark, to a folder that is not there yet. (Spark's files would take a chmod process each where Hadoop's native library is missing.)
+    """
+    rows = raw.select(F.col("raw").cast("string"))
+    if not path.startswith("file:"):
+        return rows.write.options(**_MOVED_BY_TASKS).option("maxRecordsPerFile", 1).text(f"{path}/{folder}")
+    root, write = parse.unquote(parse.urlsplit(path).path), uuid.uuid4().hex
+    names = saved(rows.mapInArrow(_put_in_tmp(root, write), "name string"), "maildir-written")
+    names.mapInArrow(_move_from_tmp(root, folder), "n long").agg(F.sum("n")).collect()
+
+
+def _put_in_tmp(root: str, write: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(f"{root}/tmp", exist_ok=True)
+        task, n = TaskContext.get(), 0
+        for batch in batches:
+            names = [f"{write}.{task.partitionId()}.{task.taskAttemptId()}.{n + i}" for i in range(batch.num_rows)]
+            for name, text in zip(names, batch.column(0), strict=True):
+                with open(f"{root}/tmp/{name}", "wb") as file:
+                    file.write(text.as_buffer() if text.is_valid else b"")
+                    file.write(b"\n")
+            n += len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    return put
+
+
+def _move_from_tmp(root: str, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(f"{root}/{folder}", exist_ok=True)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    os.rename(f"{root}/tmp/{name}", f"{root}/{folder}/{name}")
+                except FileNotFoundError:
+                    os.stat(f"{root}/{folder}/{name}")  # an earlier attempt has moved it
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return move
+
+
+def _many_files(spark: SparkSession) -> None:
+    """Have many small files read by fewer tasks, unless the session asks for less. The settings stay for the session, as files are dealt out when a query runs."""
+    for name, most in (("files.openCostInBytes", OPEN_COST), ("sources.parallelPartitionDiscovery.parallelism", LISTING_TASKS)):
+        value = str(spark.conf.get(f"spark.sql.{name}")).removesuffix("b")
+        if not value.isdigit() or int(value) > most:
+            spark.conf.set(f"spark.sql.{name}", str(most))
+
+
 def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbered: bool = False, stream: bool = False, forget_after: str | None = None) -> DataFrame:
     """Raw messages (raw, file_path, folder_rank, error) of a Maildir: files of cur before those of new, by name; subfolders and tmp are not read.
 
-    A file that cannot be read is a row with an error, and the scan goes on. A missing folder counts as empty. Many small files: see
-    spark.sql.files.openCostInBytes. Numbers are dealt to the names alone: ranges of them, as a table, are counted and numbered within, so no task sees
+    A file that cannot be read is a row with an error, and the scan goes on. A missing folder counts as empty. Each file is opened once. Many files are
+    given to a task, for which spark.sql.files.openCostInBytes is lowered for the session. Numbers are dealt to the names alone: ranges of them, as a table, are counted and numbered within, so no task sees
     all names. With a ``limit`` only the files of the first names are read.
 
     A stream gives each message once: moving a file from new to cur, or changing its flags, keeps its name up to ``:2,``, and the names that were read
-    are the stream's state. ``forget_after`` (such as "30 days") bounds it: a name is forgotten so long after the newest modification time that was seen.
+    are the stream's state. A file that moves under its whole name is not opened again. ``forget_after`` (such as "30 days") bounds it: a name is forgotten so long after the newest modification time that was seen.
     """
     rank = F.when(F.regexp_extract("file_path", r"/(cur|new)/[^/]*$", 1) == "cur", 0).otherwise(1)
     both = f"{path}/{{cur,new}}"  # either may be missing
+    _many_files(spark)
     try:
         if stream:
-            rows = spark.readStream.options(**_PLAIN_FILES).text(both, wholetext=True)
-            rows = rows.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_"))
+            rows = spark.readStream.options(**_PLAIN_FILES).option("fileNameOnly", True).format("binaryFile").schema(_FILE).load(both)
+            rows = rows.select(F.col("content").cast("string").alias("raw"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_"))
             rows = rows.withColumn("name_", base_name(F.col("file_path")))
             rows = rows.withWatermark("modified_", forget_after).dropDuplicatesWithinWatermark(["name_"]) if forget_after else rows.dropDuplicates(["name_"])
             return rows.drop("name_", "modified_").withColumn("folder_rank", rank).withColumn("error", F.lit(None).cast("string"))
         if limit or numbered:
             return _numbered_maildir(spark, both, rank, limit)
-        return _read_files(spark, both, both, rank)
+        return _read_files(spark, both, rank)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -105,20 +173,20 @@ def _numbered_maildir(spark: SparkSession, both: str, rank: Column, limit: int |
     if limit and limit <= MOST_LISTED:
         first = [r.file_path for r in names.orderBy("folder_rank", "file_path").limit(limit).collect()]
         if not first:
-            return _read_files(spark, both, both, rank).withColumn("message_num", F.lit(0).cast("long")).limit(0)
+            return _read_files(spark, both, rank).withColumn("message_num", F.lit(0).cast("long")).limit(0)
         numbers = spark.createDataFrame([(p, n + 1) for n, p in enumerate(first)], "file_path string, message_num long")
-        return _read_files(spark, first, first, rank).join(F.broadcast(numbers), "file_path").select("raw", "file_path", "folder_rank", "error", "message_num")
+        return _read_files(spark, first, rank).join(F.broadcast(numbers), "file_path").select("raw", "file_path", "folder_rank", "error", "message_num")
     ranges = names.repartitionByRange("folder_rank", "file_path").withColumn("range", F.spark_partition_id())
     ranges = saved(ranges, "maildir-names")
     numbers = number_messages(ranges, [F.col("range")], "file_path").select("file_path", "message_num")
-    rows = _read_files(spark, both, both, rank).join(first_messages(numbers, limit), "file_path")
+    rows = _read_files(spark, both, rank).join(first_messages(numbers, limit), "file_path")
     return rows.select("raw", "file_path", "folder_rank", "error", "message_num")
 
 
-def _read_files(spark: SparkSession, paths: str | list[str], listed: str | list[str], rank: Column) -> DataFrame:
+def _read_files(spark: SparkSession, paths: str | list[str], rank: Column) -> DataFrame:
     """(raw, file_path, error, folder_rank) of whole files; of a file that is listed but cannot be read, the error."""
-    read = spark.read.options(**_PLAIN_FILES).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths, wholetext=True)
-    read = read.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file_path"))
-    names = spark.read.options(**_PLAIN_FILES).format("binaryFile").load(listed).select(F.col("_metadata.file_path").alias("file_path"))
-    lost = names.join(read.select("file_path"), "file_path", "left_anti").select(F.lit("").alias("raw"), "file_path", F.concat(F.lit("failed to read file: "), "file_path").alias("error"))
-    return read.withColumn("error", F.lit(None).cast("string")).unionByName(lost).withColumn("folder_rank", rank)
+    files = spark.read.options(**_PLAIN_FILES).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).format("binaryFile").load(paths)
+    names = files.select(F.col("_metadata.file_path").alias("file_path"))  # opens no file, so it has those that cannot be read
+    read = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("content").cast("string").alias("text_"))
+    error = F.when(F.col("text_").isNull(), F.concat(F.lit("failed to read file: "), "file_path"))
+    return names.join(read, "file_path", "left").select(F.coalesce("text_", F.lit("")).alias("raw"), "file_path", error.alias("error"), rank.alias("folder_rank"))

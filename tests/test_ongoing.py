@@ -198,6 +198,37 @@ def test_names_can_be_forgotten(spark, tmp_path):
     assert [(r.raw, r.folder_rank, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("S: 1\n\none", 1, None)]
 
 
+def test_maildir_is_delivered_and_read_in_few_tasks(spark, tmp_path):
+    texts = ["S: 1\n\none", "S: 2\n\nzw\u00f6lf\r\n", "", None] * 100
+    raw = spark.createDataFrame([(t,) for t in texts], "raw string").repartition(3)
+    name = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4m")
+        for folder in ("cur", "new", "new"):
+            mailbox.write_maildir(raw, f"file://{tmp_path}/a box".replace(" ", "%20"), folder)
+        box = tmp_path / "a box"
+        assert [len(list((box / f).iterdir())) for f in ("cur", "new", "tmp")] == [400, 800, 0]
+        (box / "new" / "21.host.gz").write_text("S: 3\n\nnot packed")
+        rows = mailbox.read_maildir(spark, str(box))
+        assert int(spark.conf.get(name)) <= mailbox.OPEN_COST
+        spark.conf.set(name, "1000")
+        mailbox.read_maildir(spark, str(box))
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, was)
+    found = rows.groupBy("raw", "folder_rank", "error").count().collect()
+    assert {(r.raw, r.folder_rank): r["count"] for r in found} == {(f"{t}\n", rank): n * (1 + (t == "")) for t in texts[:3] for rank, n in ((0, 100), (1, 200))} | {("S: 3\n\nnot packed", 1): 1}
+    assert {r.error for r in found} == {None}
+
+
+def test_a_failed_delivery_leaves_no_message(spark, tmp_path):
+    raw = spark.range(0, 100, 1, 2).select(F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise("S: 1\n\none").alias("raw"))
+    with pytest.raises(Exception, match="lost"):
+        mailbox.write_maildir(raw, f"file://{tmp_path}")
+    assert not (tmp_path / "new").exists()
+
+
 # streams
 
 
