@@ -119,7 +119,7 @@ def maildir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fixtures.scratch(spark, "maildir-stream")
     raw = fixtures.raw_messages(spark, sf_dir)
     for part in (0, 1):
-        raw.where(F.col("message_num") % 2 == part).select("raw").write.option("maxRecordsPerFile", 1).text(f"{path}/box/new")
+        mailbox.write_maildir(raw.where(F.col("message_num") % 2 == part), f"{path}/box")
         rows = mailbox.read_maildir(spark, f"{path}/box", stream=True)
         writer = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress")
         writer.trigger(availableNow=True).start().awaitTermination()

@@ -190,6 +190,21 @@ def test_moved_messages_come_once(spark, tmp_path):
         assert [r.raw[-3:] for r in rows] == ["one", "two", "our", "ree"][:limit] and [r.error for r in rows] == [None] * len(rows)
 
 
+def test_moved_messages_are_not_opened_again(spark, tmp_path):
+    box = tmp_path / "box"
+    mailbox.write_maildir(spark.range(5).select(F.concat(F.lit("S: 1\n\n"), "id").alias("raw")), f"file://{box}")
+    opened = []
+    for move in (False, True):
+        if move:
+            (box / "new").rename(box / "cur")
+            mailbox.write_maildir(spark.range(5, 8).select(F.concat(F.lit("S: 1\n\n"), "id").alias("raw")), f"file://{box}")
+        query = sinks.write_results(mailbox.read_maildir(spark, str(box), stream=True), str(tmp_path / "out"), None, checkpoint=str(tmp_path / "progress"))
+        query.awaitTermination()
+        opened.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert opened == [5, 3]
+    assert sorted(r.raw for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"S: 1\n\n{i}\n" for i in range(8)]
+
+
 def test_names_can_be_forgotten(spark, tmp_path):
     (tmp_path / "box" / "new").mkdir(parents=True)
     (tmp_path / "box" / "new" / "1.a").write_text("S: 1\n\none")
