@@ -5,6 +5,7 @@ Arrays are shown as texts joined by " | " and maps as sorted key=value pairs joi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -586,12 +587,24 @@ def attach_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _mail_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The messages as a stream of several files."""
+def _fed(rows: DataFrame, key: str, path: str, fmt: str, parts: int = 4) -> int:
+    """Write ``rows`` as files of ``parts`` parts, dealt out by a hash of ``key``, and say how many files make a part.
+
+    Each task writes its own rows to a file for each part, so a larger table has more files and not larger ones.
+    """
+    rows.withColumn("part_", F.pmod(F.xxhash64(key), F.lit(parts))).write.partitionBy("part_").format(fmt).save(path)
+    files = len(rows.sparkSession.read.schema(rows.schema).format(fmt).load(path).inputFiles())
+    if not files:  # an empty table is a file without rows
+        rows.limit(0).write.mode("append").format(fmt).save(path)
+    return max(1, math.ceil(files / parts))
+
+
+def _mail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as a stream of several files, in four batches."""
     path = fixtures.scratch(spark, "feed")
     rows = fixtures.messages(spark, sf_dir)
-    rows.repartition(parts).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    share = _fed(rows, "message_num", path, "parquet")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", share).parquet(path).select(*rows.columns)
 
 
 @query(with_tables(MAIL_SQL, _SPAM_SQL) + "SELECT message_num, array_to_string(actions, ' | ') AS actions, accepted, CASE WHEN accepted THEN 'Message accepted' ELSE reason END AS reason FROM spammed")
@@ -622,6 +635,6 @@ def monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of JSON inbox files, watched until all that is there has been handled."""
     path = fixtures.scratch(spark, "watched")
     plain = fixtures.mail(spark, sf_dir).select("sender", "subject", F.lit("").alias("raw_headers"), F.col("body").alias("body_plain"), F.lit("").alias("body_html"), "spam_score")
-    plain.repartition(4).write.json(f"{path}/in")
-    feeds.monitor(spark, f"{path}/in", policies.spam_policy(SUBJECT, PHRASES, TRUSTED), f"{path}/out", f"{path}/progress", interval=None, max_files=2).awaitTermination()
+    share = _fed(plain, "sender", f"{path}/in", "json")
+    feeds.monitor(spark, f"{path}/in", policies.spam_policy(SUBJECT, PHRASES, TRUSTED), f"{path}/out", f"{path}/progress", interval=None, max_files=2 * share).awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("sender", "accepted").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from test_semantics import made
 from postsieve.functions import predicates, regex
 from postsieve.operators import dlp, enrich, policy, rule_table, stats, verdicts
 from postsieve.operators.policy import Policy, apply_policy, rule, vectorised
-from postsieve.plans import policies
+from postsieve.plans import fixtures, ongoing, policies, suite
 from postsieve.sources import mailbox, parse, sinks
 from postsieve.streaming import feeds
 
@@ -255,6 +255,27 @@ def add_messages(spark, path, *bodies):
     spark.createDataFrame([(1, b, {}, None) for b in bodies], "message_num long, body string, headers map<string,string>, error string").coalesce(1).write.mode("append").parquet(path)
 
 
+@pytest.mark.parametrize("name", ["running_stats", "stored_counters", "stream_equals_batch", "monitor"])
+def test_files_of_a_feed_grow_in_number(spark, tmp_path, monkeypatch, name):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    fed, made, tasks, real, mail = [], [], [0], suite._fed, fixtures.mail
+
+    def feed(rows, key, path, *rest):
+        fed.append((path, real(rows, key, path, *rest)))
+        return fed[-1][1]
+
+    monkeypatch.setattr(suite, "_fed", feed)
+    monkeypatch.setattr(fixtures, "mail", lambda spark, sf_dir: mail(spark, sf_dir).repartition(tasks[0], "message_num") if tasks[0] else mail(spark, sf_dir))
+    for tasks[0] in (0, 1, 5):
+        docs.limit(120 if tasks[0] else 0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        made.append(sorted(ongoing.QUERIES[name](spark, str(tmp_path)).collect()))
+    kind = "json" if name == "monitor" else "parquet"
+    files = [len(spark.read.option("recursiveFileLookup", True).format(kind).load(path).inputFiles()) for path, _ in fed]
+    assert [share for _, share in fed] == [1, 1, 5] and files[0] == 1 and files[1] == 4 and 16 < files[2] <= 20
+    assert made[1] == made[2] and (made[0] == [] or made[0][0].processed == 0)
+
+
 def test_counters_survive_a_killed_batch(spark, tmp_path, monkeypatch):
     feed, store, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
     add_messages(spark, feed, "a", "bad", "ccc")
