@@ -276,6 +276,32 @@ def test_files_of_a_feed_grow_in_number(spark, tmp_path, monkeypatch, name):
     assert made[1] == made[2] and (made[0] == [] or made[0][0].processed == 0)
 
 
+def test_a_task_of_a_stream_reads_no_more_of_a_larger_table(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(100).coalesce(1)
+    paths, largest, real = [], [], fixtures.scratch
+
+    def scratch(spark, what):
+        paths.append((what, real(spark, what)))
+        return paths[-1][1]
+
+    monkeypatch.setattr(fixtures, "scratch", scratch)
+    cost, folder = "spark.sql.files.openCostInBytes", tmp_path / "labels.parquet"
+    was = spark.conf.get(cost)
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(folder))
+    try:
+        spark.conf.set(cost, str(1 << 30))  # each file of documents is a task
+        for copies in (2, 8):
+            for k in range(copies):
+                docs.withColumn("doc_id", F.col("doc_id") + k * 10**6).write.mode("append" if k else "overwrite").parquet(str(tmp_path / "documents.parquet"))
+            rows = ongoing.QUERIES["stream_equals_batch"](spark, str(tmp_path))
+            assert rows.count() == rows.select("message_num").distinct().count() == 100 * copies
+            feed = next(path for what, path in reversed(paths) if what == "feed")
+            largest.append(spark.read.parquet(feed).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+    finally:
+        spark.conf.set(cost, was)
+    assert largest[1] < 100 and largest[1] < 1.5 * largest[0]  # rows of a file
+
+
 def test_counters_survive_a_killed_batch(spark, tmp_path, monkeypatch):
     feed, store, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
     add_messages(spark, feed, "a", "bad", "ccc")
