@@ -117,9 +117,9 @@ def mbox_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maildir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the mail put into a Maildir's folder new and read by a stream, then moved to cur while the other half comes: each message is read once."""
     path = fixtures.scratch(spark, "maildir-stream")
-    raw = fixtures.raw_messages(spark, sf_dir)
-    for part in (0, 1):
-        mailbox.write_maildir(raw.where(F.col("message_num") % 2 == part), f"{path}/box")
+    raw, even = fixtures.raw_messages(spark, sf_dir), F.col("message_num") % 2 == 0
+    for part, half in enumerate((even, ~even)):
+        mailbox.write_maildir(raw.where(half), f"{path}/box")
         rows = mailbox.read_maildir(spark, f"{path}/box", stream=True)
         writer = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress")
         writer.trigger(availableNow=True).start().awaitTermination()

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Callable, Iterator
 from urllib import parse
 
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import first_messages, number_messages
+from . import maildir
 from .tables import saved
 
 #: The largest limit whose file names the driver holds; beyond, names are numbered as a table.
@@ -84,51 +80,22 @@ def read_mbox(spark: SparkSession, path: str, limit: int | None = None, unquote:
 
 def base_name(file_path: Column) -> Column:
     """The name of a message in a Maildir: its file's name without the flags, which follow ``:2,``."""
-    return F.regexp_extract(file_path, r"([^/]*?)(?:(?::|%3A)2,[^/]*)?$", 1)
+    return F.regexp_extract(F.substring_index(file_path, "/", -1), r"(?s)^(.*?)(?:(?::|%3A)2,.*)?$", 1)
 
 
-def write_maildir(raw: DataFrame, path: str, folder: str = "new") -> None:
-    """The column ``raw`` as messages in a folder of a Maildir: one file each, which ends with a newline.
+def write_maildir(raw: DataFrame, path: str, folder: str | Column = "new") -> None:
+    """The column ``raw`` as messages in a folder of a Maildir: one file each, which ends with a newline. A column says of each message whether it goes to cur or to new; both are written at once.
 
-    Tasks deliver as mail servers do: they write to tmp, and what tasks that succeeded have written is moved to the folder, so attempts that fail leave nothing there. Other stores
-    than file: are written by Spark, to a folder that is not there yet. (Spark's files would take a chmod process each where Hadoop's native library is missing.)
+    On a file: store tasks deliver as mail servers do: they write to tmp, and what tasks that succeeded have written is moved to the folder, so attempts that fail leave nothing there. Other stores
+    are written by Spark, to a folder that is not there yet. (Spark's files would take a chmod process each where Hadoop's native library is missing.)
     """
-    rows = raw.select(F.col("raw").cast("string"))
-    if not path.startswith("file:"):
-        return rows.write.options(**_MOVED_BY_TASKS).option("maxRecordsPerFile", 1).text(f"{path}/{folder}")
-    root, write = parse.unquote(parse.urlsplit(path).path), uuid.uuid4().hex
-    names = saved(rows.mapInArrow(_put_in_tmp(root, write), "name string"), "maildir-written")
-    names.mapInArrow(_move_from_tmp(root, folder), "n long").agg(F.sum("n")).collect()
-
-
-def _put_in_tmp(root: str, write: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(f"{root}/tmp", exist_ok=True)
-        task, n = TaskContext.get(), 0
-        for batch in batches:
-            names = [f"{write}.{task.partitionId()}.{task.taskAttemptId()}.{n + i}" for i in range(batch.num_rows)]
-            for name, text in zip(names, batch.column(0), strict=True):
-                with open(f"{root}/tmp/{name}", "wb") as file:
-                    file.write(text.as_buffer() if text.is_valid else b"")
-                    file.write(b"\n")
-            n += len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
-
-    return put
-
-
-def _move_from_tmp(root: str, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(f"{root}/{folder}", exist_ok=True)
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                try:
-                    os.rename(f"{root}/tmp/{name}", f"{root}/{folder}/{name}")
-                except FileNotFoundError:
-                    os.stat(f"{root}/{folder}/{name}")  # an earlier attempt has moved it
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return move
+    text, folders = F.col("raw").cast("string"), [folder] if isinstance(folder, str) else list(maildir.FOLDERS)
+    place = F.lit(0) if isinstance(folder, str) else F.when(folder == "cur", 0).when(folder == "new", 1).otherwise(F.raise_error(F.lit("a message goes to cur or to new")))
+    rows = raw.select(text.alias("raw"), place.cast("int").alias("place"))
+    if maildir.on_file_store(raw.sparkSession, path):
+        return maildir.deliver(rows, path if path.startswith("/") else parse.unquote(parse.urlsplit(path).path), folders)
+    for i, name in enumerate(folders):
+        rows.where(F.col("place") == i).select("raw").write.options(**_MOVED_BY_TASKS).option("maxRecordsPerFile", 1).text(f"{path}/{name}")
 
 
 def _many_files(spark: SparkSession) -> None:
@@ -142,7 +109,8 @@ def _many_files(spark: SparkSession) -> None:
 def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbered: bool = False, stream: bool = False, forget_after: str | None = None) -> DataFrame:
     """Raw messages (raw, file_path, folder_rank, error) of a Maildir: files of cur before those of new, by name; subfolders and tmp are not read.
 
-    A file that cannot be read is a row with an error, and the scan goes on. A missing folder counts as empty. Each file is opened once. Many files are
+    A file that cannot be read is a row with an error, and the scan goes on. A missing folder counts as empty. Each file is opened once. On a
+    file: store tasks list the folders and open the files (``maildir``); elsewhere, and where the path has a pattern, Spark does. Many files are then
     given to a task, for which spark.sql.files.openCostInBytes is lowered for the session. Numbers are dealt to the names alone: ranges of them, as a table, are counted and numbered within, so no task sees
     all names. With a ``limit`` only the files of the first names are read.
 
@@ -150,15 +118,19 @@ def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbe
     are the stream's state. A file that moves under its whole name is not opened again. ``forget_after`` (such as "30 days") bounds it: a name is forgotten so long after the newest modification time that was seen.
     """
     rank = F.when(F.regexp_extract("file_path", r"/(cur|new)/[^/]*$", 1) == "cur", 0).otherwise(1)
-    both = f"{path}/{{cur,new}}"  # either may be missing
     _many_files(spark)
+    root = maildir.local_root(spark, path)
+    if root and stream and (names := maildir.stream_names(spark, root, bool(forget_after))) is not None:
+        names = _once(names.withColumn("modified_", F.timestamp_micros("modified")), F.substring_index(F.col("name").cast("string"), ":2,", 1), forget_after)
+        return maildir.read_files(names, root).select("raw", "file_path", "folder_rank", "error")
+    if root and not stream:
+        return _listed_maildir(spark, root, limit, numbered)
+    both = f"{path}/{{cur,new}}"  # either may be missing
     try:
         if stream:
             rows = spark.readStream.options(**_PLAIN_FILES).option("fileNameOnly", True).format("binaryFile").schema(_FILE).load(both)
             rows = rows.select(F.col("content").cast("string").alias("raw"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_"))
-            rows = rows.withColumn("name_", base_name(F.col("file_path")))
-            rows = rows.withWatermark("modified_", forget_after).dropDuplicatesWithinWatermark(["name_"]) if forget_after else rows.dropDuplicates(["name_"])
-            return rows.drop("name_", "modified_").withColumn("folder_rank", rank).withColumn("error", F.lit(None).cast("string"))
+            return _once(rows, base_name(F.col("file_path")), forget_after).withColumn("folder_rank", rank).withColumn("error", F.lit(None).cast("string"))
         if limit or numbered:
             return _numbered_maildir(spark, both, rank, limit)
         return _read_files(spark, both, rank)
@@ -168,6 +140,26 @@ def read_maildir(spark: SparkSession, path: str, limit: int | None = None, numbe
         return spark.createDataFrame([], "raw string, file_path string, folder_rank int, error string" + (", message_num long" if limit or numbered else ""))
 
 
+def _once(rows: DataFrame, name: Column, forget_after: str | None) -> DataFrame:
+    """A stream's messages, each name once; ``modified_`` goes."""
+    rows = rows.withColumn("name_", name)
+    rows = rows.withWatermark("modified_", forget_after).dropDuplicatesWithinWatermark(["name_"]) if forget_after else rows.dropDuplicates(["name_"])
+    return rows.drop("name_", "modified_")
+
+
+def _listed_maildir(spark: SparkSession, root: str, limit: int | None, numbered: bool) -> DataFrame:
+    names, order = maildir.list_names(spark, root), ["folder_rank", "file_path"]
+    if limit and limit <= MOST_LISTED:
+        first = names.orderBy(*order).limit(limit).select("file_path", "folder_rank", "name").collect()
+        numbers = spark.createDataFrame([(*r, n + 1) for n, r in enumerate(first)], "file_path string, folder_rank int, name binary, message_num long")
+        return maildir.read_files(maildir.dealt_out(numbers, root), root, "message_num")
+    if limit or numbered:
+        ranges = saved(names.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "maildir-names")
+        numbers = first_messages(number_messages(ranges, [F.col("range")], "file_path"), limit).drop("range")
+        return maildir.read_files(maildir.dealt_out(numbers, root), root, "message_num")
+    return maildir.read_files(maildir.dealt_out(names, root), root).select("raw", "file_path", "error", "folder_rank")
+
+
 def _numbered_maildir(spark: SparkSession, both: str, rank: Column, limit: int | None) -> DataFrame:
     names = spark.read.options(**_PLAIN_FILES).format("binaryFile").load(both).select(F.col("_metadata.file_path").alias("file_path")).withColumn("folder_rank", rank)
     if limit and limit <= MOST_LISTED:

@@ -1,10 +1,12 @@
 """Linear patterns, tables of rules, limits, streams and repeated runs: cases that the registered queries do not show."""
 
+import os
 import random
 import time
 import warnings
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_semantics import made
 
@@ -12,7 +14,7 @@ from postsieve.functions import predicates, regex
 from postsieve.operators import dlp, enrich, policy, rule_table, stats, verdicts
 from postsieve.operators.policy import Policy, apply_policy, rule, vectorised
 from postsieve.plans import fixtures, ongoing, policies, suite
-from postsieve.sources import mailbox, parse, sinks
+from postsieve.sources import maildir, mailbox, parse, sinks
 from postsieve.streaming import feeds
 
 # patterns
@@ -244,6 +246,88 @@ def test_a_failed_delivery_leaves_no_message(spark, tmp_path):
     assert not (tmp_path / "new").exists()
 
 
+@pytest.mark.parametrize("kind", ["file://", ""])
+def test_a_stream_of_local_files_keeps_no_file_index(spark, tmp_path, kind):
+    box, new = f"{kind}{tmp_path}/box", tmp_path / "box" / "new"
+
+    def read():
+        rows = mailbox.read_maildir(spark, box, stream=True)
+        sinks.write_results(rows, str(tmp_path / "out"), None, checkpoint=str(tmp_path / "progress")).awaitTermination()
+        return sorted((r.raw, r.folder_rank, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    mailbox.write_maildir(spark.range(4).select(F.concat(F.lit("S: 1\n\n"), "id").alias("raw")), box)
+    assert read() == [(f"S: 1\n\n{i}\n", 1, None) for i in range(4)]
+    assert not [f for f in tmp_path.glob("progress/sources/**/*") if f.is_file() and b"box/new" in f.read_bytes()]  # Spark's source logs each file
+    (tmp_path / "box" / "cur").mkdir()
+    for i, file in enumerate(sorted(new.iterdir())):
+        file.rename(tmp_path / "box" / "cur" / f"{file.name}:2,{'S' * (i % 2)}")
+    (new / "21.z\u00fc").write_text("S: 1\n\n4\n")
+    (new / ".hidden").write_text("S: 1\n\n5\n")
+    assert read() == read() == [(f"S: 1\n\n{i}\n", 1, None) for i in range(5)]
+    rows = mailbox.read_maildir(spark, box, stream=True, forget_after="30 days")
+    sinks.write_results(rows, str(tmp_path / "out2"), None, checkpoint=str(tmp_path / "progress2")).awaitTermination()
+    assert sorted(r.raw for r in spark.read.parquet(str(tmp_path / "out2")).collect()) == [f"S: 1\n\n{i}\n" for i in range(5)]
+
+
+def test_lists_of_a_stream_are_kept_for_a_batch_that_is_handled_again(tmp_path):
+    (tmp_path / "new").mkdir()
+    for i in range(3):
+        (tmp_path / "new" / f"{i}.a").write_text("S: 1\n\n")
+    reader = maildir._NamesReader(str(tmp_path), str(tmp_path / "lists"), False)
+    names = lambda offset, start={"list": ""}: sorted(n for p in reader.partitions(start, offset) for b in reader.read(p) for n in b.column("name").to_pylist())
+    first = reader.latestOffset()
+    (tmp_path / "new" / "3.a").write_text("S: 1\n\n")
+    second = reader.latestOffset()
+    assert names(first) == [b"0.a", b"1.a", b"2.a"] and names(second) == [b"0.a", b"1.a", b"2.a", b"3.a"]
+    assert names(second, first) == [b"3.a"] and names(second, {"list": str(tmp_path / "lost")}) == names(second)
+    os.utime(tmp_path / "new", (1, 1))
+    third = reader.latestOffset()
+    assert reader.latestOffset() == third != second  # nothing has changed since, for long
+    reader.commit(second)
+    assert {f"{tmp_path}/lists/{n}" for n in os.listdir(tmp_path / "lists")} == {second["list"], third["list"]} and names(third, second) == []
+    empty = maildir._NamesReader(str(tmp_path / "none"), str(tmp_path / "lists"), True)
+    assert empty.latestOffset() == empty.initialOffset() and empty.partitions({}, empty.latestOffset()) == []
+
+
+def test_a_message_that_moves_after_it_was_listed_is_found(spark, tmp_path):
+    for f in ("cur", "new"):
+        (tmp_path / f).mkdir()
+    for i in range(4):
+        (tmp_path / "new" / f"{i}.a").write_text(f"S: 1\n\n{i}")
+    names = maildir.list_names(spark, str(tmp_path))
+    (tmp_path / "new" / "1.a").rename(tmp_path / "cur" / "1.a:2,S")
+    (tmp_path / "new" / "2.a").unlink()
+    rows = {r.file_path[-3:]: (r.raw, r.error is None) for r in maildir.read_files(names, str(tmp_path)).collect()}
+    assert rows == {"0.a": ("S: 1\n\n0", True), "1.a": ("S: 1\n\n1", True), "2.a": ("", False), "3.a": ("S: 1\n\n3", True)}
+
+
+def test_local_messages_are_those_that_spark_reads(spark, tmp_path, monkeypatch):
+    local = maildir.local_root
+    monkeypatch.setattr(maildir, "local_root", lambda spark, path: local(spark, path) if path.startswith("file:") else None)
+    for f in ("cur", "new", "cur/sub"):
+        (tmp_path / "a box" / f).mkdir(parents=True)
+    for name in ("cur/17.a:2,S", "cur/\u00fc 5%41.x", "cur/a#b?c", "cur/q[1]{2}^|\"<>`\\z", "cur/nb\u00a0sp", "cur/tab\tx", "cur/.hid", "cur/_hid", "cur/sub/y", "new/\u00e9"):
+        (tmp_path / "a box" / name).write_bytes(b"S: 2\n\n" + name.encode() + b"\xff")
+    for how in ({}, {"numbered": True}):
+        ours, theirs = (mailbox.read_maildir(spark, f"{kind}{tmp_path}/a box", **how) for kind in ("file://", ""))
+        assert ours.columns == theirs.columns and sorted(ours.collect()) == sorted(theirs.collect()) and ours.count() == 7
+    for limit in (3, mailbox.MOST_LISTED + 1):
+        assert sorted(mailbox.read_maildir(spark, f"file://{tmp_path}/a box", limit=limit).collect()) == sorted(ours.where(F.col("message_num") <= limit).collect())
+    assert mailbox.read_maildir(spark, f"file://{tmp_path}/none", limit=2).count() == 0 == mailbox.read_maildir(spark, f"file://{tmp_path}/none").count()
+
+
+def test_what_failed_attempts_have_written_is_not_delivered(spark, tmp_path):
+    for target in (tmp_path / "new", tmp_path / "old"):
+        held = tmp_path / "held"
+        held.mkdir()
+        for name in ("w.0.1.0", "w.0.1.1", "w.0.7.0"):
+            (held / name).write_text("S: 1\n\n")
+        if target.name == "old":
+            target.mkdir()
+        maildir._handed_over(spark, [Row(folder=0, attempt="w.0.1", n=2), Row(folder=0, attempt="w.1.2", n=0)], str(held), str(target))
+        assert sorted(f.name for f in target.iterdir()) == ["w.0.1.0", "w.0.1.1"] and not list(tmp_path.glob("held*"))
+
+
 # streams
 
 
