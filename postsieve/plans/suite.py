@@ -411,9 +411,7 @@ def mbox_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maildir_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mail written as a Maildir, one file for each message, and read again."""
     path = fixtures.scratch(spark, "maildir")
-    raw = fixtures.raw_messages(spark, sf_dir)
-    for folder, part in (("cur", raw.where("message_num % 2 = 0")), ("new", raw.where("message_num % 2 = 1"))):
-        mailbox.write_maildir(part, path, folder)
+    mailbox.write_maildir(fixtures.raw_messages(spark, sf_dir), path, F.when(F.col("message_num") % 2 == 0, "cur").otherwise("new"))
     return _read_again(mailbox.read_maildir(spark, path))
 
 

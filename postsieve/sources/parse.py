@@ -9,6 +9,8 @@ from ..functions.fields import sender_domain
 from ..schema import fresh, text_or_empty
 
 _ENTRIES = "array<struct<k:string,v:string>>"
+#: The headers with the first blank line. A split with a limit would go on to look for blank lines through the whole body.
+_HEAD = r"(?s)^.*?(?:^|\r?\n)\r?\n"
 
 
 def canonical_key(key: Column) -> Column:
@@ -53,11 +55,15 @@ def parse_messages(raw: DataFrame, header_mode: str = "first", raw_col: str = "r
     if header_mode not in ("first", "last"):
         raise ValueError(f"unknown header_mode {header_mode!r}")
     first = header_mode == "first"
-    parts = F.split(text_or_empty(F.col(raw_col)), r"(?:^|\r?\n)\r?\n", 2)
     had_error = F.col("error") if "error" in raw.columns else F.lit(None).cast("string")
-    parts_, blank_ = fresh([*raw.columns, "header_block", "body", "entries"], "parts_", "blank_")
-    rows = raw.withColumns({"error": had_error, parts_: parts}).drop(raw_col)
-    rows = rows.withColumns({"header_block": F.get(parts_, F.lit(0)), "body": text_or_empty(F.get(parts_, F.lit(1))), blank_: F.size(parts_) == 2}).drop(parts_)
+    text_, head_, blank_ = fresh([*raw.columns, "header_block", "body", "entries"], "text_", "head_", "blank_")
+    text = text_or_empty(F.col(raw_col))
+    text = F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_extract(text, "(?s)^.*", 0))  # bytes that are no text are replaced as everywhere else
+    rows = raw.withColumns({"error": had_error, text_: text}).drop(raw_col).withColumn(head_, F.regexp_extract(text_, _HEAD, 0))
+    blank = F.col(head_) != ""
+    block = F.when(blank, F.regexp_replace(head_, r"(?:^|\r?\n)\r?\n\z", "")).otherwise(F.col(text_))
+    body = F.when(blank, F.substr(text_, F.length(head_) + 1)).otherwise(F.lit(""))
+    rows = rows.withColumns({"header_block": block, "body": body, blank_: blank}).drop(text_, head_)
     if first:
         lines = F.split(F.regexp_replace("header_block", r"\r?\n[ \t]+", " "), r"\r?\n")
         bad = F.get(F.filter(lines, lambda x: ~x.rlike(r"^[^:\s][^:]*:") & (x != "")), F.lit(0))

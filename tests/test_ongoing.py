@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import time
 import warnings
 
@@ -301,6 +302,19 @@ def test_a_message_that_moves_after_it_was_listed_is_found(spark, tmp_path):
     assert rows == {"0.a": ("S: 1\n\n0", True), "1.a": ("S: 1\n\n1", True), "2.a": ("", False), "3.a": ("S: 1\n\n3", True)}
 
 
+@pytest.mark.parametrize("kind", ["file://", ""])
+def test_local_messages_are_read_without_a_file_index_and_a_join(spark, tmp_path, kind):
+    box = f"{kind}{tmp_path}/box"
+    raw = spark.range(100).select("id", F.concat(F.lit("S: 1\n\n"), "id").alias("raw"))
+    mailbox.write_maildir(raw, box, F.when(F.col("id") % 4 == 0, "cur").otherwise("new"))
+    assert [len(list((tmp_path / "box" / f).iterdir())) for f in ("cur", "new", "tmp")] == [25, 75, 0]
+    rows = mailbox.read_maildir(spark, box)
+    assert not any("box" in f for f in rows.inputFiles()) and "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((int(r.raw[6:]), r.folder_rank, r.error) for r in rows.collect()) == [(i, int(i % 4 > 0), None) for i in range(100)]
+    with pytest.raises(Exception, match="goes to cur or to new"):
+        mailbox.write_maildir(raw, box, F.lit("tmp"))
+
+
 def test_local_messages_are_those_that_spark_reads(spark, tmp_path, monkeypatch):
     local = maildir.local_root
     monkeypatch.setattr(maildir, "local_root", lambda spark, path: local(spark, path) if path.startswith("file:") else None)
@@ -328,6 +342,14 @@ def test_what_failed_attempts_have_written_is_not_delivered(spark, tmp_path):
         assert sorted(f.name for f in target.iterdir()) == ["w.0.1.0", "w.0.1.1"] and not list(tmp_path.glob("held*"))
 
 
+def test_headers_end_at_the_first_blank_line(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(["\n", "\r", "\r\n", "\n\n", "\r\n\r\n", "a: b", " ", "x", "\u00e9"]) for _ in range(draw.randint(0, 9))) for _ in range(2000)]
+    rows = parse.parse_messages(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string"), "last").collect()
+    parts = [re.split(r"(?:^|\r?\n)\r?\n", texts[r.i], maxsplit=1) for r in rows]
+    assert [[r.header_block, r.body] for r in rows] == [[p[0], p[1] if len(p) == 2 else ""] for p in parts]
+
+
 # streams
 
 
